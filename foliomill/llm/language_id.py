@@ -126,19 +126,18 @@ def _score(langs: list[str], logs):
                 p = 1 / np.exp(sums - sums.max(1, keepdims=True)).sum(1)
                 best += [langs[t] if h and langs else UNKNOWN for t, h in zip(top, has, strict=True)]
                 score += np.where(has & bool(langs), p, 0.0).tolist()
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best, pa.string()), pa.array(score, pa.float64()), *b.columns[2:]], ["doc_id", "lang_pred", "score", *b.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best, pa.string()), pa.array(score, pa.float64()), *b.columns[2:]], ["doc_id", "text", "lang_pred", "score", *b.schema.names[2:]])
 
     return run
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.ndarray], carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, lang_pred and score of every row, then the columns named in carry."""
+    """doc_id, text, lang_pred and score of every row, then the columns named in carry."""
     langs, logs = model
     shared = spark.sparkContext.broadcast(logs)
-    kind = ", ".join(f"{p}{docs.schema[c].dataType.simpleString()}" for c, p in [("doc_id", "doc_id "), *[]])
     more = "".join(f", carried_{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
     rows = docs.select("doc_id", F.col("text").cast("string"), *[F.col(c).alias(f"carried_{c}") for c in carry])
-    out = rows.mapInArrow(_score(langs, shared), f"{kind}, lang_pred string, score double{more}")
+    out = rows.mapInArrow(_score(langs, shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, lang_pred string, score double{more}")
     return out.withColumnsRenamed({f"carried_{c}": c for c in carry})
 
 

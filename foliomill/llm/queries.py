@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from .decontamination import OP9_SQL, op9_decontamination
 from .fingerprints import op2_fingerprints
 from .language_id import op10_language_id
 from .license_scan import op6_license_scan
+from .minhash_dedup import op4_minhash_dedup
+from .piece_encoding import op3_piece_encoding
 from .sharding import op5_sharding
 from .substring_dedup import op1_substring_dedup
 from .token_counts import op7_token_counts
@@ -15,11 +18,14 @@ QUERIES = {
     for f in (
         op1_substring_dedup,
         op2_fingerprints,
+        op3_piece_encoding,
+        op4_minhash_dedup,
         op5_sharding,
         op6_license_scan,
         op7_token_counts,
         op8_warc,
+        op9_decontamination,
         op10_language_id,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op9_decontamination": OP9_SQL}
