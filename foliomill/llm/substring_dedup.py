@@ -6,7 +6,8 @@ theirs, so that a run holds about one entry for five windows. The index is a lis
 Parquet tables of (fp, doc_id) sorted by fp. Each new batch becomes a run, which is merge-joined with
 the runs before it; hashes met in two documents are kept as candidates, and the runs are compacted
 when there are more than ``max_runs``. Candidates are then verified: the windows under a candidate
-hash get 128-bit digests, and a window is removed if its digest starts in a smaller doc_id.
+hash get 128-bit digests, and a window is removed if its digest starts in a smaller doc_id. A whole text
+that a smaller doc_id has too needs no digests: all its windows start there.
 
 Skew: hashes are joined, never gathered; first and last document of a hash are pre-aggregated before
 the shuffle, and the joins read written tables, so that AQE splits a hot hash.
@@ -131,7 +132,7 @@ def _cut(window: int):
         a, b = _hashers()
         for batch in batches:
             raw, texts = batch.column(1), as_bytes(batch.column(1))
-            flagged = batch.column(2)
+            flagged, copy = batch.column(2), batch.column(3).to_pylist()
             n_words, n_removed, kept = [], [], []
             for lo, hi in chunks(texts):
                 words = Words(texts[lo:hi])
@@ -139,6 +140,10 @@ def _cut(window: int):
                 for i in range(hi - lo):
                     f, t = words.bounds[i], words.bounds[i + 1]
                     n_words.append(int(t - f))
+                    if copy[lo + i] and t - f >= window:
+                        n_removed.append(int(t - f))
+                        kept.append(b"")
+                        continue
                     if not flagged[lo + i].is_valid or t - f < window:
                         n_removed.append(0)
                         kept.append(b" ".join(texts[lo + i].split()))
@@ -162,13 +167,21 @@ def _cut(window: int):
                     n_removed.append(int(gone.sum()))
                     kept.append(b" ".join([w for w, g in zip(texts[lo + i].split(), gone, strict=True) if not g]))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), raw, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *batch.columns[3:]],
-                ["doc_id", "text", "n_words", "n_removed", "kept_text", *batch.schema.names[3:]],
+                [batch.column(0), raw, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *batch.columns[4:]],
+                ["doc_id", "text", "n_words", "n_removed", "kept_text", *batch.schema.names[4:]],
             )
 
     return run
 
 
+def later_copies(ws: Workspace, docs: DataFrame) -> DataFrame:
+    """doc_id of documents (of one row) whose whole text a smaller doc_id has too."""
+    keys = ws.write(docs.filter("doc_id is not null and text is not null").select("doc_id", F.sha2(F.col("text").cast("string"), 256).alias("digest")), "keys")
+    first = ws.write(keys.groupBy("digest").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).filter("n > 1").select("digest", "first"), "copied")
+    alone = keys.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("digest").alias("digest")).filter("n = 1")
+    return ws.write(alone.join(first, "digest").filter("doc_id > first").select("doc_id"), "copies")
+
+
 def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, max_runs: int = MAX_RUNS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, text, n_words, n_removed, kept_text (kept words joined by one space), then the columns named in carry."""
     ws = Workspace(spark, "substrings")
@@ -186,16 +199,18 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
     both = functools.reduce(DataFrame.unionAll, shared).distinct()
     wanted = ws.write(index.all().join(both, "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "wanted")
     ws.drop(*index.runs)
+    copies = later_copies(ws, docs)
     narrow = docs.select("doc_id", F.col("text").cast("string"))
-    found = narrow.join(wanted, "doc_id").select(F.col("doc_id").cast("long"), "text", "fps").mapInArrow(_digests(window, shingle), "h1 long, h2 long, doc_id long")
+    found = narrow.join(wanted.join(copies, "doc_id", "left_anti"), "doc_id").select(F.col("doc_id").cast("long"), "text", "fps").mapInArrow(_digests(window, shingle), "h1 long, h2 long, doc_id long")
     found = ws.write(found, "digests")
     first = ws.write(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h1", "h2", "first"), "first")
     flagged = ws.write(found.join(first, ["h1", "h2"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("windows")), "flagged")
+    flagged = flagged.withColumn("copy", F.lit(False)).unionAll(copies.select(F.col("doc_id").cast("long"), F.lit(None).cast(flagged.schema["windows"].dataType), F.lit(True)))
     ws.drop("digests", "first", "wanted")
     rows = docs.select("doc_id", F.col("text").cast("string"), *[F.col(c).alias(f"carried_{c}") for c in carry]).join(flagged, "doc_id", "left")
     kinds = ", ".join(f"carried_{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    out = rows.select("doc_id", "text", "windows", *[f"carried_{c}" for c in carry]).mapInArrow(_cut(window), f"doc_id {kind}, text string, n_words long, n_removed long, kept_text string" + (f", {kinds}" if carry else ""))
+    out = rows.select("doc_id", "text", "windows", F.coalesce("copy", F.lit(False)).alias("copy"), *[f"carried_{c}" for c in carry]).mapInArrow(_cut(window), f"doc_id {kind}, text string, n_words long, n_removed long, kept_text string" + (f", {kinds}" if carry else ""))
     return out.withColumnsRenamed({f"carried_{c}": c for c in carry})
 
 
