@@ -61,22 +61,27 @@ def assign_shards(spark: SparkSession, docs: DataFrame, shards: int = SHARDS) ->
     cell = F.pmod(F.col("group"), F.lit(CELLS))
     alone = groups.filter(heavy).select("group", *measures).collect()  # at most 3 * HEAVY
     cells = groups.filter(~heavy).groupBy(cell.alias("cell")).agg(*[F.sum(m).alias(m) for m in measures]).collect()  # at most CELLS
-    names, items = [], []
+    parts = {}
     for g in alone:
-        part = max(g[m] / max(total[m], 1) for m in measures)
-        n = max(1, min(g["n"] // 16, int(np.ceil(part * PIECES)))) if part > 0.5 / shards else 1
-        names += [(g["group"], -1, p, n) for p in range(n)]
-        items += [[g[m] / n for m in measures]] * n
+        share = max(g[m] / max(total[m], 1) for m in measures)
+        parts[g["group"]] = max(1, min(g["n"] // 16, int(np.ceil(share * PIECES)))) if share > 0.5 / shards else 1
+    names = [(g["group"], -1, 0, 1) for g in alone if parts[g["group"]] == 1]
+    items = [[g[m] for m in measures] for g in alone if parts[g["group"]] == 1]
+    cut = spark.createDataFrame([(g, n) for g, n in parts.items()], "group long, pieces int")
+    piece = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.coalesce("pieces", F.lit(1))).cast("int")
+    split = rows.join(F.broadcast(cut.filter("pieces > 1")), "group").withColumn("piece", piece)
+    for r in split.groupBy("group", "pieces", "piece").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect():  # at most 6 * shards groups of PIECES
+        names.append((r["group"], -1, r["piece"], r["pieces"]))
+        items.append([r[m] for m in measures])
     names += [(0, c["cell"], 0, 1) for c in cells]
     items += [[c[m] for m in measures] for c in cells]
     where = pack(np.array(items, float).reshape(-1, len(measures)), shards)
     big = spark.createDataFrame([(g, p, n, int(s)) for (g, c, p, n), s in zip(names, where, strict=True) if c < 0], "group long, piece int, pieces int, big_shard int")
     small = spark.createDataFrame([(c, int(s)) for (_, c, _, _), s in zip(names, where, strict=True) if c >= 0], "cell long, cell_shard int")
-    counts = big.select("group", "pieces").distinct()
     placed = (
         rows.withColumn("cell", cell)
-        .join(F.broadcast(counts), "group", "left")
-        .withColumn("piece", F.pmod(F.xxhash64("doc_id"), F.coalesce("pieces", F.lit(1))).cast("int"))
+        .join(F.broadcast(cut), "group", "left")
+        .withColumn("piece", piece)
         .join(F.broadcast(big.drop("pieces")), ["group", "piece"], "left")
         .join(F.broadcast(small), "cell", "left")
         .select("doc_id", "size", "text_crc32", F.coalesce("big_shard", "cell_shard").alias("shard"))
