@@ -313,7 +313,10 @@ _encoders: dict[int, Encoder] = {}
 def _encode(shared):
     def run(batches):
         v = shared.value
-        encoder = _encoders.setdefault(id(v), Encoder(v))
+        if id(v) not in _encoders:  # a worker keeps the encoder of one vocabulary
+            _encoders.clear()
+            _encoders[id(v)] = Encoder(v)
+        encoder = _encoders[id(v)]
         for b in batches:
             texts, start = [t or "" for t in b.column(1).to_pylist()], 0
             while start < len(texts):
