@@ -34,32 +34,32 @@ def sentence_packs(paragraph: str) -> list[str]:
 def chunk_chapter(text: str) -> list[tuple[str, int]]:
     """(content, estimated tokens) of each chunk, in the order in which they are finished."""
     out: list[tuple[str, int]] = []
-    buffer: list[str] = []
-
-    def size(parts: list[str]) -> int:
-        return sum(map(tokens, parts))
+    buffer: list[tuple[str, int]] = []
+    total = 0
 
     def flush(carry: bool) -> None:
-        nonlocal buffer
+        nonlocal buffer, total
         if not buffer:
             return
-        out.append(("\n\n".join(buffer), size(buffer)))
-        kept: list[str] = []
-        while carry and len(kept) < len(buffer) and size(kept) < OVERLAP:
+        out.append(("\n\n".join(p for p, _ in buffer), total))
+        kept, total = [], 0
+        while carry and len(kept) < len(buffer) and total < OVERLAP:
             kept.insert(0, buffer[-1 - len(kept)])
+            total += kept[0][1]
         buffer = kept
 
     for p in filter(None, (x.strip() for x in re.split(r"\n\s*\n+", text))):
         n = tokens(p)
         if n > MOST:
-            if size(buffer) >= LEAST:
+            if total >= LEAST:
                 flush(False)
             out += [(s, tokens(s)) for s in sentence_packs(p)]
             continue
-        if size(buffer) + n > MOST and buffer:
+        if total + n > MOST:
             flush(True)
-        buffer.append(p)
-        if size(buffer) >= TARGET:
+        buffer.append((p, n))
+        total += n
+        if total >= TARGET:
             flush(True)
     flush(False)
     return out
