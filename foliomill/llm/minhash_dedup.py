@@ -6,11 +6,13 @@ branch by the token that is smallest under the node's hash, and a node of more t
 branches again, up to ``DEPTH``. Two sets of likeness 0.8 share a node of depth d in one of the trees
 with probability 1 - (1 - 0.8^d)^TREES: above 1 - 1e-7 to depth 2 and 1 - 1e-4 at depth 4.
 
-Inside a node, 64-value sketches are compared: exhaustively in small nodes, against leaders that cover
-the node in large ones. This only groups documents that may be linked (sketch likeness ``MAYBE`` or more,
-far below the threshold), in nodes dealt out in salted parts whose leaders meet once more. The texts
-of each group then come together, again in salted parts that share pivots, and links are confirmed on full
-sets: the part is searched breadth-first, so that members of one component aren't compared with each other.
+Inside a node, 64-value sketches are compared exhaustively, but for documents that are grouped already. This
+only groups documents that may be linked (sketch likeness ``MAYBE`` or more, far below the threshold). Nodes of
+over ``BLOCK`` documents are dealt out in salted parts, every two of which meet in one block. The texts of each
+group then come together and links are confirmed on full sets, breadth-first, so that members of one component
+aren't compared with each other. Groups of over ``PART`` documents are confirmed in salted parts that share
+pivots; then the documents outside the group's largest component are compared with every document of the group,
+in blocks of two parts, so that no link between parts is lost and no task holds more than two parts.
 
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing; texts with
 fewer than k words are one shingle; rows with equal doc_id get a row each and count as one document of the
@@ -24,7 +26,7 @@ import functools
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .words import U, Hasher, Words, as_bytes, chunks, mix, signed
@@ -35,10 +37,10 @@ PERCENT = 80
 TREES = 16
 DEPTH = 4
 SMALL = 128
+BLOCK = 8192
 PART = 2048
 PIVOTS = 32
 MAYBE = 0.5
-COVER = 0.75
 
 
 @functools.cache
@@ -108,8 +110,18 @@ def _steps(batches):
         yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *columns], ["doc_id", *[f"k{d}" for d in range(1, DEPTH + 1)]])
 
 
+def _blocks(salt: Column, salts: Column) -> Column:
+    """Blocks of a part: one with each other part; block 0 if there is one part."""
+    others = F.filter(F.sequence(F.lit(0), salts - 1), lambda x: x != salt)
+    blocks = F.transform(others, lambda x: F.least(x, salt).cast("long") * salts + F.greatest(x, salt))
+    return F.when(salts == 1, F.array(F.lit(0).cast("long"))).otherwise(blocks)
+
+
 def nodes(ws: Workspace, reps: DataFrame, small: int = SMALL) -> DataFrame:
-    """(node, salt, salts, doc_id): membership in nodes of two or more documents where branching ends."""
+    """(node, block, doc_id): membership in nodes of two or more documents where branching ends.
+
+    A node of over ``BLOCK`` documents has one block for every two of its parts.
+    """
     names = [f"k{d}" for d in range(1, DEPTH + 1)]
     rest = ws.write(reps.select("doc_id", "path").mapInArrow(_steps, "doc_id long, " + ", ".join(f"{x} long" for x in names)), "steps")
     found = []
@@ -117,58 +129,35 @@ def nodes(ws: Workspace, reps: DataFrame, small: int = SMALL) -> DataFrame:
         counts = ws.write(rest.groupBy(key).agg(F.count("*").alias("n")).filter("n > 1"), f"counts{d}")
         met = rest.join(counts, key)
         ends = met if d == DEPTH else met.filter(F.col("n") <= small)
-        salts = F.ceil(F.col("n") / PART).cast("int")
-        found.append(ends.select(F.col(key).alias("node"), F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"), salts.alias("salts"), "doc_id"))
+        salts = F.ceil(F.col("n") / BLOCK).cast("int")
+        dealt = ends.select(F.col(key).alias("node"), salts.alias("salts"), F.pmod(F.xxhash64("doc_id"), salts).cast("int").alias("salt"), "doc_id")
+        found.append(dealt.select("node", F.explode(_blocks(F.col("salt"), F.col("salts"))).alias("block"), "doc_id"))
         if d < DEPTH:
             met = met.filter(F.col("n") > small).select("doc_id", *names[d:])
             rest = ws.write(met, f"steps{d}")
     return functools.reduce(DataFrame.unionAll, found)
 
 
-class Union:
-    """Union-find over 0..n-1; the root is the smallest member."""
-
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def find(self, i: int) -> int:
-        while self.up[i] != i:
-            self.up[i] = self.up[self.up[i]]
-            i = self.up[i]
-        return i
-
-    def join(self, i: int, j: int) -> None:
-        i, j = self.find(i), self.find(j)
-        if i != j:
-            self.up[max(i, j)] = min(i, j)
-
-    def roots(self) -> np.ndarray:
-        return np.array([self.find(i) for i in range(len(self.up))])
-
-
 def alike(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Likeness of a sketch to each of many, corrected for values that agree by chance."""
     return ((x[None, :] == y).mean(1) - 1 / 256) / (1 - 1 / 256)
 
 
-def _group(sketches: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Root of each member of a node, and the leaders."""
-    m = len(sketches)
-    union, leaders = Union(m), []
-    if m <= SMALL:
-        for i in range(m - 1):
-            for j in np.flatnonzero(alike(sketches[i], sketches[i + 1 :]) >= MAYBE).tolist():
-                union.join(i, i + 1 + j)
-        return union.roots(), np.unique(union.roots())
-    covered = np.zeros(m, bool)
-    for i in range(m):
-        if not covered[i]:
-            leaders.append(i)
-            like = alike(sketches[i], sketches)
-            covered |= like >= COVER
-            for j in np.flatnonzero(like >= MAYBE).tolist():
-                union.join(i, j)
-    return union.roots(), np.array(leaders)
+def _group(sketches: np.ndarray) -> np.ndarray:
+    """Smallest member of the group of each member of a block."""
+    labels = np.arange(len(sketches))
+    for i in range(len(sketches) - 1):
+        rest = i + 1 + np.flatnonzero(labels[i + 1 :] != labels[i])
+        near = rest[alike(sketches[i], sketches[rest]) >= MAYBE]
+        _merge(labels, np.append(near, i))
+    return labels
+
+
+def _merge(labels: np.ndarray, members: np.ndarray) -> None:
+    """Give the groups of the members their smallest label."""
+    old = np.unique(labels[members])
+    if len(old) > 1:
+        labels[np.isin(labels, old)] = old[0]
 
 
 def runs(batches, keys: int):
@@ -197,42 +186,30 @@ def runs(batches, keys: int):
 
 
 def _pair(batches):
-    """Edges (a, b) of documents that may be linked; for nodes in parts, also the leaders (b is null)."""
-    a, b, node, sketch = [], [], [], []
+    """Edges (a, b) of documents that may be linked."""
+    a, b = [], []
     for t in runs(batches, 2):
-        if t.num_rows > 1 or t["salts"][0].as_py() > 1:
-            ids, rows = t["doc_id"].to_numpy(), t["sketch"].to_pylist()
-            roots, leaders = _group(np.frombuffer(b"".join(rows), np.uint8).reshape(t.num_rows, -1))
+        if t.num_rows > 1:
+            ids = t["doc_id"].to_numpy()
+            roots = _group(np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(t.num_rows, -1))
             at = np.flatnonzero(roots != np.arange(len(roots)))
             a += ids[at].tolist()
             b += ids[roots[at]].tolist()
-            node += [None] * len(at)
-            sketch += [None] * len(at)
-            if t["salts"][0].as_py() > 1:
-                a += ids[leaders].tolist()
-                b += [None] * len(leaders)
-                node += [t["node"][0].as_py()] * len(leaders)
-                sketch += [rows[i] for i in leaders]
         if len(a) > 20_000:
-            yield _edges(a, b, node, sketch)
-            a, b, node, sketch = [], [], [], []
-    yield _edges(a, b, node, sketch)
-
+            yield _edges(a, b)
+            a, b = [], []
+    yield _edges(a, b)
 
-def _edges(a, b, node, sketch) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(node, pa.int64()), pa.array(sketch, pa.binary())], ["a", "b", "node", "sketch"])
 
-
-EDGE = "a long, b long, node long, sketch binary"
+def _edges(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
 
 def maybe_linked(ws: Workspace, reps: DataFrame) -> DataFrame:
     """Distinct edges (a, b) whose components hold every link that the trees find."""
-    members = nodes(ws, reps).join(reps.select("doc_id", "sketch"), "doc_id").select("node", "salt", "salts", "doc_id", "sketch")
-    first = ws.write(members.repartition("node", "salt").sortWithinPartitions("node", "salt").mapInArrow(_pair, EDGE), "edges")
-    leaders = first.filter("b is null").select("node", F.lit(0).alias("salt"), F.lit(1).alias("salts"), F.col("a").alias("doc_id"), "sketch")
-    second = leaders.repartition("node").sortWithinPartitions("node").mapInArrow(_pair, EDGE)
-    return ws.write(first.filter("b is not null").unionAll(second).select("a", "b").distinct(), "maybe")
+    members = nodes(ws, reps).join(reps.select("doc_id", "sketch"), "doc_id").select("node", "block", "doc_id", "sketch")
+    edges = members.repartition("node", "block").sortWithinPartitions("node", "block").mapInArrow(_pair, "a long, b long")
+    return ws.write(edges.distinct(), "maybe")
 
 
 def components(ws: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:
@@ -255,15 +232,32 @@ def components(ws: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:
     return labels
 
 
+def _linked(sets: list[np.ndarray], sizes: np.ndarray, x: int, others: np.ndarray, percent: int) -> np.ndarray:
+    """Those of the others whose set is linked with that of x."""
+    fits = (100 * np.minimum(sizes[others], sizes[x]) >= percent * np.maximum(sizes[others], sizes[x])) & (sizes[others] > 0)
+    near = others[fits]
+    if not len(near):
+        return near
+    tokens = np.concatenate([sets[j] for j in near])
+    at = np.searchsorted(sets[x], tokens)
+    hit = sets[x][np.minimum(at, len(sets[x]) - 1)] == tokens
+    common = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(sizes[near])[:-1]]), dtype=np.int64)
+    return near[100 * common >= percent * (sizes[near] + sizes[x] - common)]
+
+
+def _sets(t: pa.Table, k: int) -> tuple[list[np.ndarray], np.ndarray]:
+    texts, sets = as_bytes(t["text"].combine_chunks()), []
+    for lo, hi in chunks(texts):
+        sets += shingle_sets(texts[lo:hi], k)
+    return sets, np.array([len(s) for s in sets])
+
+
 def _confirm(k: int, percent: int):
     """(doc_id, root): components of the documents of a part, linked on full sets."""
 
     def run(batches):
         for t in runs(batches, 2):
-            ids, texts, sets = t["doc_id"].to_numpy(), as_bytes(t["text"].combine_chunks()), []
-            for lo, hi in chunks(texts):
-                sets += shingle_sets(texts[lo:hi], k)
-            sizes = np.array([len(s) for s in sets])
+            ids, (sets, sizes) = t["doc_id"].to_numpy(), _sets(t, k)
             roots = np.arange(len(sets))
             order = np.argsort(ids, kind="stable")
             left = order.copy()
@@ -272,15 +266,7 @@ def _confirm(k: int, percent: int):
                 root = queue[0]
                 while queue and len(left):
                     x = queue.pop()
-                    fits = (100 * np.minimum(sizes[left], sizes[x]) >= percent * np.maximum(sizes[left], sizes[x])) & (sizes[left] > 0)
-                    near = left[fits]
-                    if not len(near):
-                        continue
-                    tokens = np.concatenate([sets[j] for j in near])
-                    at = np.searchsorted(sets[x], tokens)
-                    hit = sets[x][np.minimum(at, len(sets[x]) - 1)] == tokens
-                    common = np.add.reduceat(hit, np.concatenate([[0], np.cumsum(sizes[near])[:-1]]), dtype=np.int64)
-                    linked = near[100 * common >= percent * (sizes[near] + sizes[x] - common)]
+                    linked = _linked(sets, sizes, x, left, percent)
                     roots[linked] = root
                     queue += linked.tolist()
                     left = left[~np.isin(left, linked)]
@@ -289,6 +275,47 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _finish(k: int, percent: int):
+    """(a, b): links of the queries of a block with documents of other components, as edges of their roots."""
+
+    def run(batches):
+        for t in runs(batches, 2):
+            roots, (sets, sizes) = t["root"].to_numpy(), _sets(t, k)
+            labels = np.searchsorted(np.unique(roots), roots)
+            a, b = [], []
+            for x in np.flatnonzero(t["query"].to_numpy()).tolist():
+                linked = _linked(sets, sizes, x, np.flatnonzero(labels != labels[x]), percent)
+                _, one = np.unique(labels[linked], return_index=True)
+                a += [roots[x]] * len(one)
+                b += roots[linked[one]].tolist()
+                _merge(labels, np.append(linked, x))
+            yield _edges(a, b)
+
+    return run
+
+
+def _between_parts(ws: Workspace, narrow: DataFrame, members: DataFrame, links: DataFrame, k: int, percent: int) -> DataFrame:
+    """(a, b): edges between components of a group that its parts (id, group, salts, salt) didn't show.
+
+    A link between two components has an end outside the largest: these documents are queries against the whole group.
+    """
+    known = members.join(links.withColumnRenamed("doc_id", "id"), "id", "left").select("id", "group", "salts", "salt", F.coalesce("root", "id").alias("root"))
+    known = ws.write(known, "known")
+    sizes = known.groupBy("group", "root").agg(F.count("*").alias("n"))
+    group = sizes.groupBy("group").agg(F.max(F.struct("n", F.col("root").alias("top"))).alias("best"), F.sum("n").alias("all"))
+    group = ws.write(group.select("group", "best.top", F.ceil((F.col("all") - F.col("best.n")) / PART).cast("int").alias("rests")).filter("rests > 0"), "rests")
+    rows = known.join(group, "group").withColumn("query", F.col("root") != F.col("top"))
+    block = lambda rest, salt: rest.cast("long") * F.col("salts") + salt
+    asked = F.pmod(F.xxhash64("id", F.lit(2)), F.col("rests")).cast("int")
+    as_query = F.transform(F.sequence(F.lit(0), F.col("salts") - 1), lambda p: F.struct(block(asked, p).alias("block"), F.lit(True).alias("query")))
+    as_row = F.transform(F.sequence(F.lit(0), F.col("rests") - 1), lambda r: F.struct(block(r, F.col("salt")).alias("block"), F.lit(False).alias("query")))
+    own = F.filter(as_row, lambda x: ~F.col("query") | (x["block"] != block(asked, F.col("salt"))))
+    rows = rows.select("id", "group", "root", F.concat(F.when(F.col("query"), as_query).otherwise(F.filter(as_query, lambda x: F.lit(False))), own).alias("at"))
+    texts = narrow.join(rows, narrow["doc_id"] == rows["id"]).dropDuplicates(["id"]).select("group", "id", "root", "text", F.explode("at").alias("at"))
+    blocks = texts.select("group", F.col("at.block").alias("block"), "root", "text", F.col("at.query").alias("query"))
+    return ws.write(blocks.repartition("group", "block").sortWithinPartitions("group", "block").mapInArrow(_finish(k, percent), "a long, b long").distinct(), "between")
+
+
 def link_components(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
     ws = Workspace(spark, "minhash")
@@ -311,7 +338,10 @@ def link_components(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, perc
     parts = texts.select("group", "salt", "doc_id", "text").repartition("group", "salt").sortWithinPartitions("group", "salt")
     links = ws.write(parts.mapInArrow(_confirm(k, percent), "doc_id long, root long"), "links")
     if parted:
-        links = components(ws, links.select(F.col("doc_id").alias("a"), F.col("root").alias("b")), "parts").select(F.col("id").alias("doc_id"), "root")
+        edges = links.select(F.col("doc_id").alias("a"), F.col("root").alias("b"))
+        links = components(ws, edges, "parts").select(F.col("id").alias("doc_id"), "root")
+        between = _between_parts(ws, narrow, one.filter("salts > 1"), links, k, percent)
+        links = components(ws, edges.unionAll(between), "joined").select(F.col("id").alias("doc_id"), "root")
     classes = ws.write(reps.select("d1", "d2", "n", F.col("doc_id").alias("rep")).join(links, F.col("rep") == links["doc_id"], "left").select("d1", "d2", "n", F.coalesce("root", "rep").alias("component")), "classes")
     rows = all_rows.select("doc_id", "n", "d1", "d2").join(classes, ["d1", "d2", "n"], "left")
     return rows.select("doc_id", F.col("n").alias("n_shingles"), F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))

@@ -160,6 +160,21 @@ def test_op4_large_group(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
 
 
+def test_op4_links_between_parts(spark, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 32)
+    monkeypatch.setattr(minhash_dedup, "PART", 16)
+    rng = random.Random(10)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    form, docs = [word() for _ in range(150)], []
+    for i in range(150):  # pairs inside one large group of filled-in forms
+        w = form + [word() for _ in range(50)]
+        docs += [(2 * i, " ".join(w)), (2 * i + 1, " ".join([*w[:-5], word()]))]
+    docs += [(1000 + i, " ".join([*form, word()])) for i in range(40)]
+    out = minhash_dedup.link_components(spark, spark.createDataFrame(docs, "doc_id long, text string"), k=2).collect()
+    want = components(docs, 2)
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want and len({c for _, c in want.values()}) == 151
+
+
 def test_op5(spark, odd, none):
     out = sharding.assign_shards(spark, odd).collect()
     assert len(out) == odd.count()
