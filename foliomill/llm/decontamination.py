@@ -9,7 +9,7 @@ A document that holds a sampled hash is a candidate, if it is large enough; cand
 shingles themselves. Items with fewer than 5 words are searched with shingles of all their words.
 
 Benchmark tables of up to ``FEW`` items are probed as a literal set inside the scan; larger ones by a shuffled
-join of the documents' hashes. Pairs are a written table of ids, joined with the texts of candidates only.
+join of the documents' hashes. Items are broadcast only if they are few and their shingles take ``FEW_BYTES`` at most. Pairs are a written table of ids, joined with the texts of candidates only.
 
 Defined cases: null counts as empty text; texts without a word match nothing, as do items without one; rows
 with equal doc_id are one document if any of them matches; equal item_ids likewise; rows with a null id are
@@ -29,6 +29,7 @@ SHINGLE = 5
 PERCENT = 80
 SAMPLES = 16
 FEW = 2000
+FEW_BYTES = 16 << 20
 
 
 def words(text: Column) -> Column:
@@ -62,6 +63,13 @@ def _candidates(docs: DataFrame, items: DataFrame, k: int, percent: int, few: in
     return met.join(sampled, "hash").select("doc_id", "item_id").distinct()
 
 
+def _small(items: DataFrame, few: int) -> bool:
+    """Whether the items and their shingles are few enough to broadcast."""
+    size = F.aggregate("own", F.lit(0).cast("long"), lambda total, s: total + F.octet_length(s) + 16)
+    total = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(size), F.lit(0)).alias("bytes")).first()
+    return total["n"] <= few and total["bytes"] <= FEW_BYTES
+
+
 def find_items(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent: int = PERCENT, few: int = FEW) -> DataFrame:
     """doc_id, item_id, n_shingles (of the item), n_found and containment of every match."""
     ws = Workspace(spark, "decontaminate")
@@ -73,7 +81,7 @@ def find_items(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k: in
         own = items.filter(F.col("k") == n).select("item_id", shingles(F.col("words"), n).alias("own"), hashes(F.col("words"), n).alias("hashes")).withColumn("n", F.size("own"))
         pairs = ws.write(_candidates(texts, own, n, percent, few), f"pairs{n}")
         few_items = own.select("item_id", "own", "n")
-        both = texts.join(pairs, "doc_id").join(F.broadcast(few_items) if items.limit(few + 1).count() <= few else few_items, "item_id")
+        both = texts.join(pairs, "doc_id").join(F.broadcast(few_items) if _small(few_items, few) else few_items, "item_id")
         common = F.size(F.array_intersect(shingles(F.col("words"), n), F.col("own")))
         found.append(both.select("doc_id", "item_id", F.col("n").cast("long").alias("n_shingles"), common.cast("long").alias("n_found")))
     if not found:
