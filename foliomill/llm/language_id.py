@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .words import release
+
 FEATURES = 1 << 15
 ORDERS = 3
 MAX_TRAIN = 40_000
@@ -127,6 +129,7 @@ def _score(langs: list[str], logs):
                 best += [langs[t] if h and langs else UNKNOWN for t, h in zip(top, has, strict=True)]
                 score += np.where(has & bool(langs), p, 0.0).tolist()
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(best, pa.string()), pa.array(score, pa.float64()), *b.columns[2:]], ["doc_id", "text", "lang_pred", "score", *b.schema.names[2:]])
+        release()
 
     return run
 

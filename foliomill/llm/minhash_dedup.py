@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import U, Hasher, Words, as_bytes, chunks, mix, signed
+from .words import U, Hasher, Words, as_bytes, chunks, mix, release, signed
 from .workspace import Workspace
 
 SHINGLE = 5
@@ -94,6 +94,7 @@ def _describe(k: int):
                 [ids, pa.array(n, pa.int64()), pa.array(signed(np.array(d1, U))), pa.array(signed(np.array(d2, U))), pa.array(paths, pa.binary()), pa.array(sketches, pa.binary())],
                 ["doc_id", "n", "d1", "d2", "path", "sketch"],
             )
+        release()
 
     return run
 

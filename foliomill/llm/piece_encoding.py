@@ -23,8 +23,11 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
+from .words import release
+
 SPACE = "▁"
 DEPTH = 16
 WIDE = 192
@@ -189,7 +192,7 @@ def encode_segments(v: Vocabulary, segments: list[str]) -> tuple[np.ndarray, np.
     order, word = suffix_array(code)
     lo, hi = occurrences(v, order, word)
     counts = np.where(v.reached, hi - lo, 0)
-    piece = np.repeat(np.arange(len(counts)), counts)
+    piece = np.repeat(np.arange(len(counts), dtype=np.int32), counts)
     end = order[ragged(lo, counts)] + v.lengths[piece]
     by_end = np.argsort(end << 5 | (31 - v.lengths[piece]))
     piece = piece[by_end]
@@ -318,18 +321,20 @@ def _encode(shared):
             _encoders[id(v)] = Encoder(v)
         encoder = _encoders[id(v)]
         for b in batches:
-            texts, start = [t or "" for t in b.column(1).to_pylist()], 0
-            while start < len(texts):
+            sizes, start = pa.compute.fill_null(pa.compute.utf8_length(b.column(1)), 0).to_pylist(), 0
+            while start < len(b):
                 end, size = start, 0
-                while end < len(texts) and (size == 0 or size + len(texts[end]) <= BATCH_CHARS):
-                    size += len(texts[end])
+                while end < len(b) and (size == 0 or size + sizes[end] <= BATCH_CHARS):
+                    size += sizes[end]
                     end += 1
-                ids, edge = encoder.encode(texts[start:end])
+                texts = [t or "" for t in b.column(1).slice(start, end - start).to_pylist()]
+                ids, edge = encoder.encode(texts)
                 flat = ids.tolist()
-                same = [encoder.decode(flat[x:y]) == t.replace(SPACE, " ") for x, y, t in zip(edge, edge[1:], texts[start:end], strict=False)]
+                same = [encoder.decode(flat[x:y]) == t.replace(SPACE, " ") for x, y, t in zip(edge, edge[1:], texts, strict=False)]
                 lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, end - start), pa.array(np.diff(edge)), lists, pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids", "round_trip"])
                 start = end
+        release()
 
     return run
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .words import Hasher, Words, as_bytes, chunks, signed, sliding_min
+from .words import Hasher, Words, as_bytes, chunks, release, signed, sliding_min
 from .workspace import Workspace
 
 WINDOW = 13
@@ -62,6 +62,7 @@ def _postings(window: int, shingle: int):
                 new = np.ones(len(at), bool)
                 new[1:] = (fps[1:] != fps[:-1]) | (doc[1:] != doc[:-1])
                 yield pa.RecordBatch.from_arrays([pa.array(signed(fps[new])), pa.array(ids[lo:hi][doc[new]].astype(np.int64))], ["fp", "doc_id"])
+        release()
 
     return run
 
@@ -123,6 +124,7 @@ def _digests(window: int, shingle: int):
                 at, doc = at[keep], doc[keep]
                 w1, w2 = a.sequences(h1, window)[at], b.sequences(h2, window)[at]
                 yield pa.RecordBatch.from_arrays([pa.array(signed(w1)), pa.array(signed(w2)), pa.array(ids[lo:hi][doc].astype(np.int64))], ["h1", "h2", "doc_id"])
+        release()
 
     return run
 
@@ -170,6 +172,7 @@ def _cut(window: int):
                 [batch.column(0), raw, pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.binary()).cast(pa.string()), *batch.columns[4:]],
                 ["doc_id", "text", "n_words", "n_removed", "kept_text", *batch.schema.names[4:]],
             )
+        release()
 
     return run
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,6 +13,18 @@ U = np.uint64
 CHUNK = 1 << 20
 
 
+@functools.cache
+def _trim() -> Callable[[int], int] | None:
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def release() -> None:
+    """Give freed memory back at the end of a task: reused workers would keep it while other operators run."""
+    pa.default_memory_pool().release_unused()
+    if trim := _trim():
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Spread every input bit over 64 output bits."""
     x = x ^ (x >> U(32))
