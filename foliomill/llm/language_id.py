@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .words import release
+from .workspace import small_batches
 
 FEATURES = 1 << 15
 ORDERS = 3
@@ -96,6 +97,7 @@ def _tally(batches):
 
 def fit(spark: SparkSession, labelled: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
     """Languages and the matrix of log probabilities (FEATURES + 1 rows; the last holds the priors)."""
+    small_batches(spark)
     rows = labelled.filter("text is not null and lang is not null").select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string"))
     n = rows.count()
     if n > max_train:
@@ -136,6 +138,7 @@ def _score(langs: list[str], logs):
 
 def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.ndarray], carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, text, lang_pred and score of every row, then the columns named in carry."""
+    small_batches(spark)
     langs, logs = model
     shared = spark.sparkContext.broadcast(logs)
     more = "".join(f", carried_{c} {docs.schema[c].dataType.simpleString()}" for c in carry)

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .words import U, Hasher, Words, as_bytes, chunks, mix, release, signed
-from .workspace import Workspace
+from .workspace import Workspace, small_batches
 
 SHINGLE = 5
 PERCENT = 80
@@ -319,6 +319,7 @@ def _between_parts(ws: Workspace, narrow: DataFrame, members: DataFrame, links:
 
 def link_components(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
+    small_batches(spark)
     ws = Workspace(spark, "minhash")
     narrow = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     all_rows = ws.write(narrow.mapInArrow(_describe(k), "doc_id long, n long, d1 long, d2 long, path binary, sketch binary"), "described")

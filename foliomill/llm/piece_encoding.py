@@ -27,6 +27,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
 from .words import release
+from .workspace import small_batches
 
 SPACE = "▁"
 DEPTH = 16
@@ -346,6 +347,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_pieces, ids and whether decoding the ids gives the text again, for every row."""
+    small_batches(spark)
     shared = spark.sparkContext.broadcast(vocabulary(path))
     return docs.selectExpr("doc_id", "cast(text as string) as text").mapInArrow(_encode(shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_pieces long, ids array<int>, round_trip boolean")
 

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .words import Hasher, Words, as_bytes, chunks, release, signed, sliding_min
-from .workspace import Workspace
+from .workspace import Workspace, small_batches
 
 WINDOW = 13
 SHINGLE = 5
@@ -187,6 +187,7 @@ def later_copies(ws: Workspace, docs: DataFrame) -> DataFrame:
 
 def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, max_runs: int = MAX_RUNS, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per document: doc_id, text, n_words, n_removed, kept_text (kept words joined by one space), then the columns named in carry."""
+    small_batches(spark)
     ws = Workspace(spark, "substrings")
     shingle = min(SHINGLE, window)
     cuts = sorted(set(docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / batches for i in range(1, batches)], 0.02))) if batches > 1 else []

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+BATCH_BYTES = 8 << 20
 _own: str | None = None
 
 
@@ -22,6 +24,17 @@ def shared_root(spark: SparkSession) -> str:
     return _own
 
 
+def small_batches(spark: SparkSession) -> None:
+    """From now on the session's Arrow batches take ``BATCH_BYTES`` at most, or less if it says so; a longer row stands alone.
+
+    An operator holds a batch several times over (in the JVM, as texts, as results), in each task of an executor.
+    The setting stays, as results are evaluated later.
+    """
+    now = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(BATCH))
+    if not 0 < now <= BATCH_BYTES:
+        spark.conf.set(BATCH, str(BATCH_BYTES))
+
+
 class Workspace:
     """Named Parquet tables of one operator call.
 
