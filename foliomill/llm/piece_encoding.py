@@ -26,13 +26,14 @@ import pyarrow as pa
 import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 
-from .words import release
+from .words import chunks, release
 from .workspace import small_batches
 
 SPACE = "▁"
 DEPTH = 16
 WIDE = 192
-BATCH_CHARS = 3 << 20
+BATCH_CHARS = 1 << 20
+INDEX_CHARS = 1 << 18
 CACHE_SEGMENTS = 300_000
 NEVER = np.int64(1 << 40)
 SEGMENT = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
@@ -297,10 +298,11 @@ class Encoder:
         new = [s for s in dict.fromkeys(flat) if s not in known]
         known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
         index = np.fromiter(map(known.__getitem__, flat), np.int64, len(flat))
-        if new:
-            ids, edge = encode_segments(self.v, new)
-            self.edge = np.concatenate([self.edge, edge[1:] + self.edge[-1]])
-            self.ids = np.concatenate([self.ids, ids])
+        if new:  # indexed in slices, as an index takes about 200 bytes a character
+            done = [encode_segments(self.v, new[lo:hi]) for lo, hi in chunks(new, INDEX_CHARS)]
+            ends = itertools.accumulate((e[-1] for _, e in done), initial=self.edge[-1])
+            self.edge = np.concatenate([self.edge, *[e[1:] + at for (_, e), at in zip(done, ends, strict=False)]])
+            self.ids = np.concatenate([self.ids, *[ids for ids, _ in done]])
         counts = self.edge[index + 1] - self.edge[index]
         total = np.concatenate([[0], np.cumsum(counts)])
         parts = np.concatenate([[0], np.cumsum(np.fromiter(map(len, cut), np.int64, len(cut)))])
@@ -330,8 +332,7 @@ def _encode(shared):
                     end += 1
                 texts = [t or "" for t in b.column(1).slice(start, end - start).to_pylist()]
                 ids, edge = encoder.encode(texts)
-                flat = ids.tolist()
-                same = [encoder.decode(flat[x:y]) == t.replace(SPACE, " ") for x, y, t in zip(edge, edge[1:], texts, strict=False)]
+                same = [encoder.decode(ids[x:y].tolist()) == t.replace(SPACE, " ") for x, y, t in zip(edge, edge[1:], texts, strict=False)]
                 lists = pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(start, end - start), pa.array(np.diff(edge)), lists, pa.array(same, pa.bool_())], ["doc_id", "n_pieces", "ids", "round_trip"])
                 start = end

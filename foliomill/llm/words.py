@@ -40,8 +40,8 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.large_binary()).to_pylist()]
 
 
-def chunks(texts: list[bytes], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
-    """Ranges of texts of about limit bytes; a longer text stands alone."""
+def chunks(texts: list[bytes] | list[str], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
+    """Ranges of texts of about limit bytes (or characters); a longer text stands alone."""
     start = size = 0
     for i, t in enumerate(texts):
         if size and size + len(t) > limit:
