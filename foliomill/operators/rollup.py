@@ -11,13 +11,17 @@ LEVELS = ["chapter", "arc", "volume", "series"]
 def assign_ranges(chapters: DataFrame, ranges: DataFrame, strict: bool = False) -> DataFrame:
     """Chapters with the columns of the range that holds their number (ranges: a bounded dimension per book).
 
-    Ranges are expanded to their numbers, so that the join is an equi join. With strict, a chapter in no range raises.
+    Ranges are expanded to their numbers, so that the join is an equi join; a null book is a book. With strict, a
+    chapter in no range raises, whatever is selected or filtered afterwards: each of the range's columns is guarded,
+    since a filter on a plain one would make the join an inner one, and so is the row.
     """
-    numbers = ranges.withColumn("chapter_num", F.explode(F.sequence("range_start", "range_end"))).drop("range_start", "range_end")
-    out = chapters.join(numbers, ["book_id", "chapter_num"], "left" if strict else "inner")
+    own = [c for c in ranges.columns if c not in ("book_id", "range_start", "range_end")]
+    numbers = ranges.select(F.col("book_id").alias("of_book"), F.explode(F.sequence("range_start", "range_end")).alias("of_num"), *own, F.lit(True).alias("in_range"))
+    out = chapters.join(numbers, F.col("book_id").eqNullSafe(F.col("of_book")) & (F.col("chapter_num") == F.col("of_num")), "left" if strict else "inner")
     if strict:
-        out = out.withColumn("arc", F.when(F.col("arc").isNull(), F.raise_error(F.concat(F.lit("no range holds chapter "), F.col("chapter_num").cast("string")))).otherwise(F.col("arc")))
-    return out
+        outside = F.raise_error(F.concat(F.lit("no range holds chapter "), F.col("chapter_num").cast("string")))
+        out = out.filter(F.when(F.col("in_range"), F.lit(True)).otherwise(outside)).withColumns({c: F.when(F.col("in_range"), F.col(c)).otherwise(outside) for c in own})
+    return out.drop("of_book", "of_num", "in_range")
 
 
 def gaps(chapters: DataFrame) -> DataFrame:

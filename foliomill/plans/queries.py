@@ -124,14 +124,17 @@ ARCS = [(1, 10, 1, 1), (11, 25, 1, 2), (26, 50, 2, 3), (51, 100, 2, 4), (101, 50
 RANGES = "r(lo, hi, volume, arc) AS (VALUES " + ",".join(f"({a}::BIGINT,{b}::BIGINT,{c}::BIGINT,{d}::BIGINT)" for a, b, c, d in ARCS) + ")"
 
 
-def ranges(spark, books: DataFrame) -> DataFrame:
+def ranges(spark, chapters: DataFrame) -> DataFrame:
+    """ARCS of each book; the last one ends with the book where that has more chapters (numbered from 1)."""
+    books = chapters.groupBy("book_id").agg(F.count("*").alias("last"))
     r = spark.createDataFrame(ARCS, "range_start long, range_end long, volume long, arc long")
-    return books.crossJoin(F.broadcast(r))
+    end = F.when(F.col("range_end") == ARCS[-1][1], F.greatest("range_end", "last")).otherwise(F.col("range_end"))
+    return books.crossJoin(F.broadcast(r)).withColumn("range_end", end).drop("last")
 
 
 def arcs(spark, sf_dir):
     c = chapters(spark, sf_dir)
-    return rollup.assign_ranges(c, ranges(spark, c.select("book_id").distinct()))
+    return rollup.assign_ranges(c, ranges(spark, c), strict=True)
 
 
 ARC_ROWS = f"{CHAPTERS}, {RANGES}, a AS (SELECT c.*, volume, arc FROM c JOIN r ON chapter_num BETWEEN lo AND hi)"
@@ -145,7 +148,7 @@ def arc_assign(spark, sf_dir):
 @query(f"WITH {ARC_ROWS}, s AS (SELECT DISTINCT book_id, lo, hi FROM (SELECT DISTINCT book_id FROM c), r) SELECT s.book_id, 'arc' AS level, lo AS range_start, hi AS range_end, count(DISTINCT volume) AS volume_count, count(DISTINCT arc) AS arc_count, count(DISTINCT content_kind) AS content_kind_count, count(DISTINCT volume) FILTER (WHERE content_kind = 'main') AS main_volume_count, min(volume) AS volume, min(arc) FILTER (WHERE content_kind = 'main') AS main_arc, (count(DISTINCT volume) = 1 AND count(DISTINCT arc) = 1 AND count(DISTINCT content_kind) = 1) AS valid FROM s LEFT JOIN a ON a.book_id = s.book_id AND chapter_num BETWEEN lo AND hi GROUP BY 1, 3, 4")
 def range_join_rollup_meta(spark, sf_dir):
     a = arcs(spark, sf_dir)
-    s = ranges(spark, a.select("book_id").distinct()).select("book_id", F.lit("arc").alias("level"), "range_start", "range_end")
+    s = ranges(spark, chapters(spark, sf_dir)).select("book_id", F.lit("arc").alias("level"), "range_start", "range_end")
     return rollup.mixed(rollup.summary_metadata(s, a.select("book_id", "chapter_num", "volume", "arc", "content_kind")))
 
 

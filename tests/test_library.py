@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import aliases, chunking, llm_json, models, text
 from foliomill.operators import maintain, quality, retrieval, rollup
+from foliomill.plans import queries
 from foliomill.sources import readers
 from foliomill.streaming import incremental
 
@@ -119,6 +120,26 @@ def test_strict_ranges(spark):
         rollup.assign_ranges(c, r, strict=True).collect()
 
 
+def test_strict_ranges_under_a_filter(spark):
+    c = spark.createDataFrame([("b", 1), ("b", 9)], "book_id string, chapter_num long")
+    r = spark.createDataFrame([("b", 1, 5, 1, 1)], "book_id string, range_start long, range_end long, volume long, arc long")
+    with pytest.raises(Exception, match="no range holds chapter 9"):
+        rollup.assign_ranges(c, r, strict=True).filter("volume > 0").collect()
+
+
+def test_no_chapter_is_dropped(spark, tmp_path):
+    docs = spark.range(5004).selectExpr("id doc_id", "CASE WHEN id < 5002 THEN 'src0' WHEN id = 5002 THEN 'src1' END source", "'en' lang", "10L n_chars")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {n: queries.QUERIES[n](spark, str(tmp_path)).collect() for n in ("arc_assign", "range_join_rollup_meta", "rollup_targets_arc", "rollup_targets_volume", "rollup_targets_series", "plan_next_level")}
+    assert sorted(r["chapter_id"] for r in got["arc_assign"]) == list(range(5004))
+    assert [(r["volume"], r["arc"]) for r in got["arc_assign"] if r["chapter_num"] > 5000] == [(3, 6)] * 2
+    assert {(r["book_id"], r["range_end"], r["arc_count"]) for r in got["range_join_rollup_meta"] if r["range_start"] == 501} == {("src0", 5002, 1), ("src1", 5000, 0), (None, 5000, 0)}
+    assert sum(r["inputs"] for r in got["rollup_targets_arc"]) == 5004
+    assert {(r["book_id"], r["volume"], r["range_end"]) for r in got["rollup_targets_volume"] if r["volume"] == 3} == {("src0", 3, 5002)}
+    assert {(r["book_id"], r["range_end"]) for r in got["rollup_targets_series"]} == {("src0", 5002), ("src1", 1), (None, 1)}
+    assert "volume|src0|101|5002|Volume 3" in {r["key"] for r in got["plan_next_level"]}
+
+
 def test_retrieval(spark):
     rows = spark.createDataFrame([(1, "b", 3, "fool club", [1.0, 0.0]), (2, "b", 9, "fool fool", [0.0, 1.0]), (3, "c", 1, "x", [1.0, 1.0])], "chunk_id long, book_id string, chapter_num long, content string, embedding array<float>")
     top = [r["chunk_id"] for r in retrieval.hybrid(rows, [1.0, 0.0], "the fool", {"b": 5, "c": None}).collect()]
