@@ -5,7 +5,9 @@ over 1 / ``HEAVY`` of any total stand alone (at most 3 * HEAVY of them); all oth
 ``CELLS`` cells, whose sums Spark computes. The driver thus packs a bounded number of vectors: largest
 first, each to the shard where its dot product (bytes weighing more, as their balance is promised) with
 the residual capacity is highest. Groups stay whole unless one holds over half a shard's share of a total:
-it is placed in pieces of about a 1 / ``PIECES`` share, since one group can be larger than a shard.
+it is placed in pieces of about a 1 / ``PIECES`` share, since one group can be larger than a shard. Pieces are
+drawn by a hash of doc_id, or dealt row by row where they would have under ``ROWS_A_PIECE`` rows: so are
+groups of few long copies. Groups of under 2 * ``ROWS_A_PIECE`` rows that are large in nothing but rows stay whole.
 
 Slots are numbered without gathering a shard in one task: rows are counted by (shard, part of the
 doc_id hash), offsets are running sums of those counts, and rows are numbered inside each part.
@@ -26,6 +28,7 @@ SHARDS = 8
 HEAVY = 1024
 CELLS = 4096
 PIECES = 64
+ROWS_A_PIECE = 16
 WEIGHTS = (8, 1, 1)
 ROWS_A_PART = 20_000
 
@@ -61,15 +64,23 @@ def assign_shards(spark: SparkSession, docs: DataFrame, shards: int = SHARDS) ->
     cell = F.pmod(F.col("group"), F.lit(CELLS))
     alone = groups.filter(heavy).select("group", *measures).collect()  # at most 3 * HEAVY
     cells = groups.filter(~heavy).groupBy(cell.alias("cell")).agg(*[F.sum(m).alias(m) for m in measures]).collect()  # at most CELLS
-    parts = {}
+    parts, few = {}, set()
     for g in alone:
-        share = max(g[m] / max(total[m], 1) for m in measures)
-        parts[g["group"]] = max(1, min(g["n"] // 16, int(np.ceil(share * PIECES)))) if share > 0.5 / shards else 1
+        shares = [g[m] / max(total[m], 1) for m in measures]
+        pieces = int(np.ceil(max(shares) * PIECES)) if max(shares) > 0.5 / shards else 1
+        long = max(shares[:2]) > 0.5 / shards
+        parts[g["group"]] = max(1, min(g["n"] if long else g["n"] // ROWS_A_PIECE, pieces))
+        if parts[g["group"]] > 1 and g["n"] < ROWS_A_PIECE * parts[g["group"]]:
+            few.add(g["group"])  # under ROWS_A_PIECE * PIECES rows
     names = [(g["group"], -1, 0, 1) for g in alone if parts[g["group"]] == 1]
     items = [[g[m] for m in measures] for g in alone if parts[g["group"]] == 1]
-    cut = spark.createDataFrame([(g, n) for g, n in parts.items()], "group long, pieces int")
-    piece = F.pmod(F.xxhash64("doc_id", F.lit(3)), F.coalesce("pieces", F.lit(1))).cast("int")
-    split = rows.join(F.broadcast(cut.filter("pieces > 1")), "group").withColumn("piece", piece)
+    cut = spark.createDataFrame([(g, n, g in few) for g, n in parts.items()], "group long, pieces int, few boolean")
+    met = rows.join(F.broadcast(cut), "group", "left")
+    pieced = met.withColumn("piece", F.pmod(F.xxhash64("doc_id", F.lit(3)), F.coalesce("pieces", F.lit(1))).cast("int"))
+    if few:
+        own = F.row_number().over(Window.partitionBy("group").orderBy("doc_id"))
+        pieced = pieced.filter(~F.coalesce("few", F.lit(False))).unionByName(met.filter("few").withColumn("piece", F.pmod(own, "pieces").cast("int")))
+    split = pieced.filter("pieces > 1")
     for r in split.groupBy("group", "pieces", "piece").agg(F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count("*").alias("n")).collect():  # at most 6 * shards groups of PIECES
         names.append((r["group"], -1, r["piece"], r["pieces"]))
         items.append([r[m] for m in measures])
@@ -79,9 +90,7 @@ def assign_shards(spark: SparkSession, docs: DataFrame, shards: int = SHARDS) ->
     big = spark.createDataFrame([(g, p, n, int(s)) for (g, c, p, n), s in zip(names, where, strict=True) if c < 0], "group long, piece int, pieces int, big_shard int")
     small = spark.createDataFrame([(c, int(s)) for (_, c, _, _), s in zip(names, where, strict=True) if c >= 0], "cell long, cell_shard int")
     placed = (
-        rows.withColumn("cell", cell)
-        .join(F.broadcast(cut), "group", "left")
-        .withColumn("piece", piece)
+        pieced.withColumn("cell", cell)
         .join(F.broadcast(big.drop("pieces")), ["group", "piece"], "left")
         .join(F.broadcast(small), "cell", "left")
         .select("doc_id", "size", "text_crc32", F.coalesce("big_shard", "cell_shard").alias("shard"))

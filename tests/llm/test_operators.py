@@ -192,6 +192,19 @@ def test_op5(spark, odd, none):
     assert len(sizes) == 8 and max(sizes) < 1.03 * min(sizes)
 
 
+def test_op5_few_long_copies(spark):
+    for copies in (2, 20, 200):  # 30 % of all bytes and tokens
+        docs = spark.range(6000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < copies, F.repeat(F.lit("same "), 360_000 // copies)).otherwise(F.repeat(F.concat(F.col("id"), F.lit(" ")), 140)).alias("text"))
+        out = sharding.assign_shards(spark, docs).collect()
+        sizes, slots = defaultdict(int), defaultdict(list)
+        for r in out:
+            sizes[r["shard"]] += r["size"]
+            slots[r["shard"]].append(r["slot"])
+        total, piece = sum(sizes.values()), 1_800_000 // copies
+        assert sorted(r["doc_id"] for r in out) == list(range(6000)) and all(sorted(s) == list(range(len(s))) for s in slots.values())
+        assert len(sizes) == 8 and max(sizes.values()) < max(1.03 * total / 8, 1.01 * piece)
+
+
 def test_op6(spark, odd, none):
     out = license_scan.license_scan(odd).collect()
     text = dict(pairs(odd))
