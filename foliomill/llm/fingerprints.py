@@ -6,6 +6,9 @@ bits of a 2048-bit Bloom filter; after ``CAPACITY`` features the next filter of
 overlap of two filters beyond that expected by chance, over the largest possible one; each filter of the
 smaller chain counts with its best partner, weighted by its features.
 
+Texts under ``SHORT`` bytes have one or few such features. They get one more filter, of all their windows of
+``NARROW`` bytes, and two texts that have it are compared by it alone.
+
 Entropies are exact integer sums, so that a window's rank doesn't depend on what surrounds it.
 
 The neighbour of a document is the next in descending doc_id. Documents are dealt out by ranges of
@@ -13,7 +16,7 @@ doc_id, with the first row of the following range copied into each as a look-ahe
 read in order as a stream: texts are shuffled once and no task holds more than a batch.
 
 Defined cases: null counts as empty text, whose fingerprint has no filter; two empty fingerprints have
-likeness 1, an empty and another 0; texts under WINDOW bytes are one feature; equal doc_ids are ordered by
+likeness 1, an empty and another 0; texts under WINDOW bytes are one feature, those under NARROW one narrow one; equal doc_ids are ordered by
 a hash of their texts, null doc_ids come last; a single document is its own neighbour; an empty table gives
 an empty result; other columns are ignored.
 """
@@ -34,6 +37,8 @@ from pyspark.sql import functions as F
 from .words import Hasher, chunks, sliding_min
 
 WINDOW = 64
+SHORT = 256
+NARROW = 8
 POPULAR = 16
 CAPACITY = 160
 BITS = 2048
@@ -101,17 +106,43 @@ def _features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Chain:
-    """Bloom filters (rows of bytes) and the number of features in each."""
+    """Bloom filters (rows of bytes) and the number of features in each; a short text's narrow filter."""
 
-    __slots__ = ("counts", "filters", "ones")
+    __slots__ = ("counts", "filters", "narrow", "ones")
 
-    def __init__(self, filters: np.ndarray, counts: np.ndarray):
-        self.filters, self.counts = filters, counts
+    def __init__(self, filters: np.ndarray, counts: np.ndarray, narrow: "Chain | None" = None):
+        self.filters, self.counts, self.narrow = filters, counts, narrow
         self.ones = np.bitwise_count(filters.view(np.uint64)).sum(1).astype(float)
 
     def text(self) -> str:
         head = f"{len(self.counts)}:{int(self.counts[-1]) if len(self.counts) else 0}:"
-        return head + base64.b64encode(self.filters.tobytes()).decode()
+        return head + base64.b64encode(self.filters.tobytes()).decode() + (f"+{self.narrow.text()}" if self.narrow else "")
+
+
+def _filters(where: np.ndarray, hashes: np.ndarray, n: int) -> np.ndarray:
+    bits = np.zeros((n, BITS), bool)
+    for k in range(HASHES):
+        bits[where, (hashes >> np.uint64(11 * k)).astype(np.int64) % BITS] = True
+    return np.packbits(bits, axis=1)
+
+
+def _narrow(texts: list[bytes]) -> list[Chain | None]:
+    """The filter of all narrow windows of each short text."""
+    out: list[Chain | None] = [None] * len(texts)
+    short = [i for i, t in enumerate(texts) if 0 < len(t) < SHORT]
+    if not short:
+        return out
+    lengths = np.array([len(texts[i]) for i in short])
+    n = np.maximum(lengths - NARROW + 1, 1)
+    owner = np.repeat(np.arange(len(short)), n)
+    first = np.cumsum(lengths) - lengths
+    starts = first[owner] + np.arange(len(owner)) - (np.cumsum(n) - n)[owner]
+    ends = np.minimum(starts + NARROW, (first + lengths)[owner])
+    hashes = _tables()[2].words(np.frombuffer(b"".join(texts[i] for i in short), np.uint8), starts, ends)
+    packed = _filters(owner, hashes, len(short))
+    for j, i in enumerate(short):
+        out[i] = Chain(packed[j : j + 1], n[j : j + 1])
+    return out
 
 
 def fingerprints(texts: list[bytes]) -> list[Chain]:
@@ -124,11 +155,9 @@ def fingerprints(texts: list[bytes]) -> list[Chain]:
         chain = -(-n // CAPACITY)
         base = np.concatenate([[0], np.cumsum(chain)])
         where = base[docs] + (np.arange(len(docs)) - edge[docs]) // CAPACITY
-        bits = np.zeros((base[-1], BITS), bool)
-        for k in range(HASHES):
-            bits[where, (hashes >> np.uint64(11 * k)).astype(np.int64) % BITS] = True
-        packed, counts = np.packbits(bits, axis=1), np.bincount(where, minlength=base[-1])
-        out += [Chain(packed[base[i] : base[i + 1]], counts[base[i] : base[i + 1]]) for i in range(hi - lo)]
+        packed, counts = _filters(where, hashes, base[-1]), np.bincount(where, minlength=base[-1])
+        narrow = _narrow(texts[lo:hi])
+        out += [Chain(packed[base[i] : base[i + 1]], counts[base[i] : base[i + 1]], narrow[i]) for i in range(hi - lo)]
     return out
 
 
@@ -145,6 +174,8 @@ def _toward(a: Chain, b: Chain) -> float:
 
 def likeness(a: Chain, b: Chain) -> float:
     """0 (nothing in common but chance) to 1."""
+    if a.narrow and b.narrow:
+        return likeness(a.narrow, b.narrow)
     n, m = int(a.counts.sum()), int(b.counts.sum())
     if not n or not m:
         return float(n == m)

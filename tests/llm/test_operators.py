@@ -91,6 +91,18 @@ def test_op2(spark, odd, none):
     assert fingerprints.compare_neighbours(spark, odd.filter("id = 13")).first()["near_next"] == 1
 
 
+def test_op2_short_texts():
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    for n in (30, 63, 64, 100, 141, 200):
+        for _ in range(50):
+            a, b = text(n), text(n)
+            x, y, z = fingerprints.fingerprints([a.encode(), fingerprints.edited(a, b).encode(), b.encode()])
+            assert 0.4 < fingerprints.likeness(x, y) < 0.8 and fingerprints.likeness(x, x) == 1 and fingerprints.likeness(x, z) < 0.3
+    one, two = fingerprints.fingerprints([b"one", b"two"])
+    assert fingerprints.likeness(one, one) == 1 and fingerprints.likeness(one, two) < 0.3
+
+
 def test_op3(spark, odd, none):
     import sentencepiece
 
