@@ -4,9 +4,9 @@ A document is the set of its distinct k-word shingles. Equal sets are one class,
 smallest doc_id. Each of ``TREES`` independent trees starts with all representatives; a node's documents
 branch by the token that is smallest under the node's hash, and a node of more than ``SMALL`` documents
 branches again, up to ``DEPTH``. Two sets of likeness 0.8 share a node of depth d in one of the trees
-with probability 1 - (1 - 0.8^d)^TREES: above 1 - 1e-7 to depth 2 and 1 - 1e-4 at depth 4.
+with probability 1 - (1 - 0.8^d)^TREES: above 1 - 1e-10 to depth 2, 1 - 4e-8 at depth 3 and 1 - 4e-6 at depth 4.
 
-Inside a node, 64-value sketches are compared exhaustively, but for documents that are grouped already. This
+Inside a node, 96-value sketches are compared exhaustively, but for documents that are grouped already. This
 only groups documents that may be linked (sketch likeness ``MAYBE`` or more, far below the threshold). Nodes of
 over ``BLOCK`` documents are dealt out in salted parts, every two of which meet in one block. The texts of each
 group then come together and links are confirmed on full sets, breadth-first, so that members of one component
@@ -34,7 +34,7 @@ from .workspace import Workspace, small_batches
 
 SHINGLE = 5
 PERCENT = 80
-TREES = 16
+TREES = 24
 DEPTH = 4
 SMALL = 128
 BLOCK = 8192

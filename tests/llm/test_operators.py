@@ -155,6 +155,10 @@ def test_op4(spark, odd, none):
     assert minhash_dedup.link_components(spark, none).count() == 0
 
 
+def test_op4_miss():
+    assert (1 - (minhash_dedup.PERCENT / 100) ** minhash_dedup.DEPTH) ** minhash_dedup.TREES < 4e-6
+
+
 def test_op4_large_group(spark, monkeypatch):
     monkeypatch.setattr(minhash_dedup, "SMALL", 16)
     monkeypatch.setattr(minhash_dedup, "PART", 64)
