@@ -155,8 +155,29 @@ def test_op4(spark, odd, none):
     assert minhash_dedup.link_components(spark, none).count() == 0
 
 
+@pytest.mark.parametrize("k", [2, 5])
+def test_op4_recall_on_documents(spark, k):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = minhash_dedup.link_components(spark, docs, k=k).collect()
+    want = components(pairs(docs), k)
+    assert len(out) == docs.count() and {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
+
+
 def test_op4_miss():
-    assert (1 - (minhash_dedup.PERCENT / 100) ** minhash_dedup.DEPTH) ** minhash_dedup.TREES < 4e-6
+    q = 0.0
+    assert 0.36**minhash_dedup.FIRST < 3e-11
+    for _ in range(minhash_dedup.DEPTH - 2):
+        s = 1 - 0.8 * (1 - q)
+        q = 0.75 * s + 0.25 * s * s
+    assert (0.36 + 0.64 * q) ** minhash_dedup.FIRST < 3.1e-6
+
+
+def test_op4_one_doc_id_with_two_texts(spark):
+    rng = random.Random(8)
+    a, b = ([f"w{rng.randint(0, 10**6)}" for _ in range(60)] for _ in range(2))
+    rows = [(5, " ".join(a)), (5, " ".join(b)), (7, " ".join([*a, "x"])), (9, " ".join(["y", *b])), (11, "other words"), (None, " ".join(a)), (13, ""), (13, " ".join(a))]
+    out = minhash_dedup.link_components(spark, spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in out), key=repr) == sorted([(5, 59, 5), (5, 59, 5), (7, 60, 5), (9, 60, 5), (11, 1, 11), (None, 59, None), (13, 0, 13), (13, 59, 5)], key=repr)
 
 
 def test_op4_large_group(spark, monkeypatch):
@@ -176,9 +197,11 @@ def test_op4_large_group(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want
 
 
-def test_op4_links_between_parts(spark, monkeypatch):
-    monkeypatch.setattr(minhash_dedup, "BLOCK", 32)
+@pytest.mark.parametrize("depth", [2, 3, 5])
+def test_op4_blocks_of_large_nodes(spark, monkeypatch, depth):
+    monkeypatch.setattr(minhash_dedup, "SMALL", 8)
     monkeypatch.setattr(minhash_dedup, "PART", 16)
+    monkeypatch.setattr(minhash_dedup, "DEPTH", depth)
     rng = random.Random(10)
     word = lambda: f"w{rng.randint(0, 10**6)}"
     form, docs = [word() for _ in range(150)], []
@@ -191,6 +214,26 @@ def test_op4_links_between_parts(spark, monkeypatch):
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in out} == want and len({c for _, c in want.values()}) == 151
 
 
+def test_op4_work_grows_with_the_input(spark, monkeypatch):
+    """Unlinked forms of likeness 0.6: rows compared grow in proportion, and next to none is read for confirmation."""
+    kept, written = {}, minhash_dedup.Workspace.write
+
+    def write(self, df, name):
+        kept[name] = written(self, df, name)
+        return kept[name]
+
+    monkeypatch.setattr(minhash_dedup.Workspace, "write", write)
+    rng = random.Random(12)
+    form, made = [f"w{rng.randint(0, 10**7)}" for _ in range(150)], {}
+    for n in (1000, 4000):
+        docs = [(i, " ".join([*form, *(f"w{rng.randint(0, 10**7)}" for _ in range(50))])) for i in range(n)]
+        kept.clear()
+        out = minhash_dedup.link_components(spark, spark.createDataFrame(docs, "doc_id long, text string"), k=2)
+        assert out.filter("component_id <> doc_id").isEmpty()
+        made[n] = sum(kept[x].count() for x in kept if x.startswith("met")), kept["linked-wanted"].count()
+    assert made[4000][0] < 6 * made[1000][0] and made[4000][1] < 20 * 4000, made
+
+
 def test_op5(spark, odd, none):
     out = sharding.assign_shards(spark, odd).collect()
     assert len(out) == odd.count()
