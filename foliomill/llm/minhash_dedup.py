@@ -14,12 +14,15 @@ q(d) = 0.75 (0.2 + 0.8 q(d - 1)) + 0.25 (0.2 + 0.8 q(d - 1))^2, no node of depth
 Small nodes are compared exhaustively by sketches of ``SKETCH`` bytes: pairs alike to ``MAYBE``, nearly five standard
 deviations below 0.8, are candidates, and only links confirmed on full sets count. Members of one component aren't
 compared. So groups of near copies are contracted first: in up to ``ROUNDS`` rounds every class proposes its most
-alike neighbour of another component (in large nodes, of a random part of ``SMALL``), and confirmed proposals
-are merged. Nodes that hold a single component, and small ones without a candidate, are done. Then every remaining candidate
+alike neighbour of another component (in large nodes, of a random part of ``SMALL``) and the first class of that
+part that it may be linked with, which joins a part of near copies at once; confirmed proposals are merged. Nodes that hold a single component, and small ones without a candidate, are done. Then every remaining candidate
 counts: its class of the smaller component asks the other component, whose members all meet the askers on full sets, in
 parts of ``PART`` of each. In a large node with few classes outside its largest component, and in what is still large
 at the last depth, the classes outside that component meet the whole node, in blocks of ``PART`` of each.
 
+Texts are read again to confirm links. Only those that are asked for are shuffled: their ids are broadcast if there are
+``FEW_IDS`` at most (about 50 MB); beyond that all texts are.
+
 Defined cases: null, empty and wordless texts have an empty set and are linked with nothing; texts with
 fewer than k words are one shingle; rows with equal doc_id get a row each, with the size of their own set, and are
 one document, which is linked with whatever one of its texts is linked with; rows with a null doc_id are linked with
@@ -46,8 +49,9 @@ FIRST = 24
 DEPTH = 5
 SMALL = 128
 MAYBE = 0.68
-ROUNDS = 4
+ROUNDS = 2
 PART = 256
+FEW_IDS = 1 << 20
 
 
 @functools.cache
@@ -192,19 +196,25 @@ def _block(t: pa.Table, percent: int):
 
 
 def _nearest(percent: int):
-    """(node, id, root, like, other, other_root): the most alike candidate of each member of a block."""
+    """(node, id, root, star, like, other, other_root): the most alike candidate of each member of a block, and its star's first class."""
 
     def run(batches):
         out: list[tuple] = []
         for t in runs(batches, 2):
             if block := _block(t, percent):
                 ids, roots, near = block
-                node = t["node"][0].as_py()
-                for i in range(len(ids)):
+                node, free = t["node"][0].as_py(), np.ones(len(ids), bool)
+                for i in np.argsort(ids).tolist():
                     at, like = near(i)
-                    if len(at):
-                        j = at[np.lexsort((ids[at], -like))[0]]
-                        out.append((node, ids[i], roots[i], like.max(), ids[j], roots[j]))
+                    if not len(at):
+                        continue
+                    j = at[np.lexsort((ids[at], -like))[0]]
+                    out.append((node, ids[i], roots[i], False, like.max(), ids[j], roots[j]))
+                    if free[i]:  # the smallest id that is in no star yet
+                        own = at[free[at]]
+                        out += [(node, ids[j], roots[j], True, 0.0, ids[i], roots[i]) for j in own.tolist()]
+                        free[own] = False
+                    free[i] = False
             if len(out) > 20_000:
                 yield _rows(out, NEAREST)
                 out = []
@@ -235,7 +245,7 @@ def _asks(percent: int):
     return run
 
 
-NEAREST = pa.schema([("node", pa.int64()), ("id", pa.int64()), ("root", pa.int64()), ("like", pa.float64()), ("other", pa.int64()), ("other_root", pa.int64())])
+NEAREST = pa.schema([("node", pa.int64()), ("id", pa.int64()), ("root", pa.int64()), ("star", pa.bool_()), ("like", pa.float64()), ("other", pa.int64()), ("other_root", pa.int64())])
 ASK = pa.schema([("id", pa.int64()), ("root", pa.int64()), ("other", pa.int64())])
 EDGE = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -305,7 +315,10 @@ class Join:
     def confirm(self, rows: DataFrame, name: str) -> DataFrame:
         """Distinct edges (a, b) of roots, from rows (key, block, place, root, id): askers have place 0."""
         wanted = self.ws.write(rows.join(self.classes.select("id", "doc_id", "n", "d1"), "id").select("key", "block", "place", "root", "n", "d1", "doc_id"), f"{name}-wanted")
-        dealt = wanted.join(self.texts, "doc_id").select("key", "block", "place", "root", "n", "d1", "text")
+        ids = wanted.select("doc_id").distinct()
+        few = ids.limit(FEW_IDS + 1).count() <= FEW_IDS
+        texts = self.texts.join(F.broadcast(ids), "doc_id", "left_semi") if few else self.texts
+        dealt = wanted.join(texts, "doc_id").select("key", "block", "place", "root", "n", "d1", "text")
         dealt = dealt.repartition("key", "block").sortWithinPartitions("key", "block", "place")
         return self.ws.write(dealt.mapInArrow(_confirm(self.k, self.percent), "a long, b long").distinct(), name)
 
@@ -346,7 +359,7 @@ class Join:
     def mixed(self, members: DataFrame, name: str) -> DataFrame:
         """Members (node, id, root) of nodes with several components, with the node's size."""
         stats = members.groupBy("node").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("node", "size")
-        return self.ws.write(members.join(stats, "node"), name)
+        return self.ws.write(members.join(self.ws.write(stats, f"stats-{name}"), "node"), name)
 
     def compare(self, rows: DataFrame, step, schema: str) -> DataFrame:
         """Blocks (node, block, ...) with sizes and sketches, through a step."""
@@ -361,11 +374,12 @@ class Join:
             met = self.mixed(members.join(labels, "id", "left").select("node", "id", F.coalesce("root", "id").alias("root")), f"round{i}")
             salts = F.ceil(F.col("size") / SMALL).cast("long")
             rows = met.select("node", F.pmod(F.xxhash64("id", F.lit(i)), salts).alias("block"), "id", "root")
-            near = self.ws.write(self.compare(rows, _nearest(self.percent), "node long, id long, root long, like double, other long, other_root long"), f"near{i}")
+            near = self.ws.write(self.compare(rows, _nearest(self.percent), "node long, id long, root long, star boolean, like double, other long, other_root long"), f"near{i}")
             active = near.select("node").distinct()
             small = met.filter(F.col("size") <= SMALL).select("node", "id").join(active, "node", "left_semi")
             members = self.ws.write(small.unionByName(met.filter(F.col("size") > SMALL).select("node", "id")), f"active{i}")
-            best = near.groupBy("id", "root").agg(F.max(F.struct("like", "other", "other_root")).alias("x")).select("id", "root", "x.other", "x.other_root")
+            first = F.struct("like", (-F.col("other")).alias("order"), "other", "other_root")  # of stars, that with the smallest id
+            best = near.groupBy("id", "root", "star").agg(F.max(first).alias("x")).select("id", "root", "x.other", "x.other_root")
             swap = lambda a, b: F.when(F.col("other") < F.col("id"), F.col(a)).otherwise(F.col(b))
             pairs = best.select(swap("other", "id").alias("pivot"), swap("other_root", "root").alias("pivot_root"), swap("id", "other").alias("id"), swap("root", "other_root").alias("root"))
             pairs = self.ws.write(pairs.distinct(), f"pairs{i}")
