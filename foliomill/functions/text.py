@@ -34,8 +34,26 @@ EVENT_KEYWORDS = [
     "revealed", "true identity", '"I am [A-Z]', "unmasked",
 ]
 KEYWORD_PATTERN = "(?i)" + "|".join(EVENT_KEYWORDS)
+
+#: Patterns of dialogue, headings, line breaks, block ends and titles, entities in their order, white space.
 DIALOGUE_PATTERN = '[“"][^“”"]{8,}[”"]'
-SPACE = r"[ \t\n\x0B\f\r ]"
+CHAPTER_PATTERN = r"(?i)^\s*Chapter\s+(\d+)"
+CHINESE_PATTERN = r"^\s*第\s*(\d+)\s*章"
+HEADING_PATTERN = r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>"
+BREAK_PATTERN = r"(?i)<br\s*/?>"
+BLOCK_END_PATTERN = r"(?i)</(?:p|div|h[1-6]|li|blockquote|tr|section|article)>"
+TITLE_WORD_PATTERN = r"(?i)^(The|A|An|Mr\.?|Mrs\.?|Miss|Madam|Old|Lord|Lady|Saint|Sir|Dr\.?)$"
+ENTITIES = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#xa0;", " "), ("\u00a0", " ")]
+SPACE = r"[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]"
+QUOTES = ("“”‘’", "\"\"''")
+
+
+def by_first_letter(patterns: list[str]) -> str:
+    """One pattern for all: alternatives that begin alike share a branch, so that few are tried at each character."""
+    branches: dict[str, list[str]] = {}
+    for p in patterns:
+        branches.setdefault(p[0].lower(), []).append(p[1:])
+    return "(?i)(?:" + "|".join(f"{first}(?:{'|'.join(rest)})" for first, rest in branches.items()) + ")"
 
 
 def trim(text: Column) -> Column:
@@ -45,9 +63,8 @@ def trim(text: Column) -> Column:
 
 def query_tokens(text: Column) -> Column:
     """Content tokens of a question: [a-z0-9]+ of two characters or more, no stopwords, first occurrences."""
-    found = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
-    stop = F.array(*[F.lit(w) for w in STOPWORDS])
-    return F.array_distinct(F.filter(found, lambda t: (F.length(t) >= 2) & ~F.array_contains(stop, t)))
+    found = F.filter(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) >= 2)
+    return F.array_except(found, F.array(*[F.lit(w) for w in STOPWORDS]))
 
 
 def tsquery(text: Column) -> Column:
@@ -58,42 +75,39 @@ def tsquery(text: Column) -> Column:
 
 def chapter_number(title: Column) -> Column:
     """N of "Chapter N..." or of its Chinese form; null for other titles."""
-    number = F.regexp_extract(title, r"(?i)^\s*Chapter\s+(\d+)", 1)
-    chinese = F.regexp_extract(title, r"^\s*第\s*(\d+)\s*章", 1)
+    number, chinese = F.regexp_extract(title, CHAPTER_PATTERN, 1), F.regexp_extract(title, CHINESE_PATTERN, 1)
     return F.coalesce(F.nullif(number, F.lit("")), F.nullif(chinese, F.lit(""))).cast("int")
 
 
 def decode_entities(text: Column) -> Column:
     """Nine entities, in an order that decodes twice-encoded text once more."""
-    steps = [("&nbsp;", " "), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"), ("&#xa0;", " "), (" ", " ")]
-    for name, value in steps:
+    for name, value in ENTITIES:
         text = F.regexp_replace(text, f"(?i){name}", value)
     return text
 
 
 def section_title(html: Column) -> Column:
     """First heading, or else the whole text: tags out, entities decoded, spaces collapsed, 160 characters."""
-    heading = F.regexp_extract(html, r"(?is)<h[1-6][^>]*>(.*?)</h[1-6]>", 1)
-    inner = F.when(F.regexp_like(html, F.lit(r"(?is)<h[1-6][^>]*>.*?</h[1-6]>")), heading).otherwise(html)
+    inner = F.when(F.regexp_like(html, F.lit(HEADING_PATTERN)), F.regexp_extract(html, HEADING_PATTERN, 1)).otherwise(html)
     return F.substring(trim(F.regexp_replace(decode_entities(F.regexp_replace(inner, "<[^>]+>", " ")), rf"{SPACE}+", " ")), 1, 160)
 
 
 def chapter_body(html: Column, title: Column | None = None) -> Column:
     """Paragraphs of a section as text; repeated leading titles go, an empty title is none."""
     t = F.regexp_replace(html, "\r\n?", "\n")
-    t = F.regexp_replace(t, r"(?i)<br\s*/?>", "\x01")
-    t = F.regexp_replace(t, r"(?i)</(?:p|div|h[1-6]|li|blockquote|section|article)>", "\x02\x02")
+    t = F.regexp_replace(t, BREAK_PATTERN, "\x01")
+    t = F.regexp_replace(t, BLOCK_END_PATTERN, "\x02\x02")
     t = F.regexp_replace(decode_entities(F.regexp_replace(t, "<[^>]+>", "")), rf"{SPACE}+", " ")
     t = F.translate(t, "\x01\x02", "\n\n")
     t = trim(F.regexp_replace(F.regexp_replace(t, " *\n *", "\n"), "\n{2,}", "\n\n"))
     if title is None:
         return t
-    quoted = F.concat(F.lit(r"^(?:\Q"), title, F.lit(r"\E\s*)+"))
+    quoted = F.concat(F.lit(r"^(?:\Q"), title, F.lit(rf"\E{SPACE}*)+"))
     return F.when(F.length(title) > 0, trim(F.regexp_replace(t, quoted, F.lit("")))).otherwise(t)
 
 
 def word_count(text: Column) -> Column:
-    return F.size(F.filter(F.split(text, r"\s+"), lambda w: w != ""))
+    return F.size(F.filter(F.split(text, f"{SPACE}+"), lambda w: w != ""))
 
 
 def token_estimate(text: Column) -> Column:
@@ -101,7 +115,12 @@ def token_estimate(text: Column) -> Column:
 
 
 def preview(text: Column, n: int = 160) -> Column:
-    return F.substring(F.regexp_replace(text, r"\s+", " "), 1, n)
+    return F.substring(F.regexp_replace(text, f"{SPACE}+", " "), 1, n)
+
+
+def embed_text(prefix: Column, content: Column) -> Column:
+    """What a chunk is embedded as: its prefix, a blank line, its content."""
+    return F.concat(F.coalesce(prefix, F.lit("")), F.lit("\n\n"), content)
 
 
 def chunk_header(book: Column, number: Column, title: Column) -> Column:
@@ -109,16 +128,26 @@ def chunk_header(book: Column, number: Column, title: Column) -> Column:
 
 
 def keyword_gate(text: Column) -> Column:
-    return F.coalesce(F.regexp_like(text, F.lit(KEYWORD_PATTERN)), F.lit(False))
+    return F.coalesce(F.regexp_like(text, F.lit(by_first_letter(EVENT_KEYWORDS))), F.lit(False))
 
 
 def dialogue_gate(text: Column) -> Column:
     return F.coalesce(F.regexp_like(text, F.lit(DIALOGUE_PATTERN)), F.lit(False))
 
 
+def entity_type_gate(types: Column) -> Column:
+    """Whether a chunk's entity types include a character or an organization."""
+    return F.coalesce(F.array_contains(types, "character") | F.array_contains(types, "organization"), F.lit(False))
+
+
+def model_gate(text: Column, alias_hits: Column) -> Column:
+    """Whether a model is asked for mentions: there is dialogue, or no alias was found."""
+    return dialogue_gate(text) | (F.coalesce(alias_hits, F.lit(0)) == 0)
+
+
 def straight(text: Column) -> Column:
     """White space collapsed, curly quotes straightened."""
-    return F.translate(F.regexp_replace(text, r"\s+", " "), "“”‘’", "\"\"''")
+    return F.translate(F.regexp_replace(text, f"{SPACE}+", " "), *QUOTES)
 
 
 def verbatim(snippet: Column, text: Column) -> Column:
@@ -127,8 +156,7 @@ def verbatim(snippet: Column, text: Column) -> Column:
 
 def longest_span(name: Column, text: Column) -> Column:
     """Longest run of the name's words, leftmost first, that the text holds; common titles don't count alone."""
-    words = F.filter(F.split(name, r"\s+"), lambda w: w != "")
+    words = F.filter(F.split(name, f"{SPACE}+"), lambda w: w != "")
     n = F.size(words)
     spans = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda d: F.transform(F.sequence(F.lit(1), d + 1), lambda s: F.array_join(F.slice(words, s, n - d), " "))))
-    alone = r"(?i)^(The|A|An|Mr\.?|Mrs\.?|Miss|Madam|Old|Lord|Lady|Saint|Sir|Dr\.?)$"
-    return F.when(n > 0, F.get(F.filter(spans, lambda s: F.contains(text, s) & ~F.regexp_like(s, F.lit(alone))), F.lit(0)))
+    return F.when(n > 0, F.get(F.filter(spans, lambda s: F.contains(text, s) & ~F.regexp_like(s, F.lit(TITLE_WORD_PATTERN))), F.lit(0)))

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import trim
+
+PARTS = 1024
+
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """New rows replace old ones of the same key; inserted tells which keys weren't there."""
@@ -20,19 +26,26 @@ def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return old.unionByName(new.join(old.select(*keys).distinct(), keys, "left_anti").select(*old.columns))
 
 
-def get_or_create(entities: DataFrame, names: DataFrame) -> DataFrame:
-    """(canonical_name, entity_id) of every name; new ids go on from the largest, in order of the names' hash parts."""
-    wanted = names.select(F.trim("name").alias("canonical_name")).filter("canonical_name <> ''").distinct()
-    known = wanted.join(entities.select("canonical_name", "entity_id"), "canonical_name")
-    new = wanted.join(entities.select("canonical_name"), "canonical_name", "left_anti").orderBy("canonical_name")
-    top = entities.agg(F.coalesce(F.max("entity_id"), F.lit(0)).alias("top"))
-    part = new.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    sizes = part.groupBy("part").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
+def get_or_create(entities: DataFrame, names: DataFrame, dry_run: bool = False) -> DataFrame:
+    """(canonical_name, entity_id) of every name. Names are compared without case; new ids go on from the largest, or from -1 down in a dry run.
 
+    New names are numbered inside ``PARTS`` parts by their hash and the parts one after the other: the numbers depend
+    on the names alone, so that a plan that is evaluated again gives the same ids.
+    """
+    key = F.lower("canonical_name")
+    wanted = names.select(trim(F.col("name")).alias("canonical_name")).filter("canonical_name <> ''")
+    wanted = wanted.groupBy(key.alias("key")).agg(F.min("canonical_name").alias("canonical_name"))
+    have = entities.groupBy(key.alias("key")).agg(F.min("entity_id").alias("entity_id"))
+    known = wanted.join(have, "key").select("canonical_name", "entity_id")
+    new = wanted.join(have, "key", "left_anti").withColumn("part", F.pmod(F.xxhash64("key"), F.lit(PARTS)))
     before = F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    created = part.join(sizes.select("part", before.alias("before")), "part").crossJoin(F.broadcast(top)).select("canonical_name", (F.col("top") + F.col("before") + F.col("at") + 1).alias("entity_id"))
-    return known.unionByName(created)
+    sizes = new.groupBy("part").agg(F.count("*").alias("n")).select("part", before.alias("before"))  # PARTS rows at most
+    number = F.row_number().over(Window.partitionBy("part").orderBy("key")) + F.col("before")
+    made = new.join(F.broadcast(sizes), "part").select("canonical_name", number.cast("long").alias("number"))
+    if dry_run:
+        return known.unionByName(made.select("canonical_name", (-F.col("number")).alias("entity_id")))
+    top = entities.agg(F.coalesce(F.max("entity_id"), F.lit(0)).cast("long").alias("top"))  # one row
+    return known.unionByName(made.join(F.broadcast(top), F.lit(True)).select("canonical_name", (F.col("top") + F.col("number")).alias("entity_id")))
 
 
 def delete_where(rows: DataFrame, condition: Column) -> DataFrame:
@@ -41,8 +54,8 @@ def delete_where(rows: DataFrame, condition: Column) -> DataFrame:
 
 
 def delete_orphans(entities: DataFrame, mentions: DataFrame) -> DataFrame:
-    """Without entities that were made automatically and have no mention."""
-    auto = (F.size("aliases") == 0) & (F.col("is_spoiler") == 0)
+    """Without entities that were made automatically (no alias, empty meta, no spoiler) and have no mention; meta is JSON text."""
+    auto = (F.size("aliases") == 0) & (F.col("meta") == "{}") & (F.col("is_spoiler") == 0)
     lonely = entities.filter(auto).join(mentions.select("entity_id").distinct(), "entity_id", "left_anti").select("entity_id")
     return entities.join(lonely, "entity_id", "left_anti")
 
@@ -65,30 +78,32 @@ def needs_update(old: DataFrame, new: DataFrame, key: str, columns: list[str]) -
 
 
 def reattribute(mentions: DataFrame, entities: DataFrame, moves: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Mentions moved from entity_id to target_id, and the entities without those merged away."""
-    m = mentions.join(F.broadcast(moves), "entity_id", "left").withColumn("entity_id", F.coalesce("target_id", "entity_id")).drop("target_id")
-    return m.select(*mentions.columns), entities.join(F.broadcast(moves), "entity_id", "left_anti")
+    """Mentions moved from entity_id to target_id, and the entities without those merged away. Spark chooses the joins by the size of moves."""
+    m = mentions.join(moves, "entity_id", "left").withColumn("entity_id", F.coalesce("target_id", "entity_id")).drop("target_id")
+    return m.select(*mentions.columns), entities.join(moves, "entity_id", "left_anti")
 
 
 def delete_returning(rows: DataFrame, guard: Column, ids: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """(kept, removed) for a guarded list of keys."""
-    gone = rows.filter(F.coalesce(guard, F.lit(False))).join(F.broadcast(ids), key, "left_semi")
+    gone = rows.filter(F.coalesce(guard, F.lit(False))).join(ids, key, "left_semi")
     return rows.join(gone.select(key), key, "left_anti"), gone
 
 
-def guarded_insert(rows: DataFrame, new: DataFrame, field: str, pattern: str) -> DataFrame:
-    """Insert unless a row's JSON field is like the pattern."""
-    there = rows.filter(F.get_json_object("extra", f"$.{field}").ilike(pattern)).limit(1).select(F.lit(1).alias("there"))
+def guarded_insert(rows: DataFrame, new: DataFrame, field: str, pattern: str, guard: Column | None = None) -> DataFrame:
+    """Insert unless one of the rows (that the guard takes) has a JSON field like the pattern."""
+    like = F.get_json_object("extra", f"$.{field}").ilike(pattern)
+    there = rows.filter(like if guard is None else like & guard).limit(1).select(F.lit(1).alias("there"))
     return rows.unionByName(new.join(F.broadcast(there), F.lit(True), "left_anti"))
 
 
-def _not(name: str):
-    return lambda x: x != name
+def patch_lists(rows: DataFrame, key: str, column: str, patches: dict[int, Callable[[Column], Column]]) -> DataFrame:
+    """Apply a function to a row's array by its key; patched tells whether the array changed."""
+    out = F.col(column)
+    for k, change in patches.items():
+        out = F.when(F.col(key) == k, change(F.col(column))).otherwise(out)
+    return rows.withColumn("patched", ~out.eqNullSafe(F.col(column))).withColumn(column, out)
 
 
-def patch_lists(rows: DataFrame, key: str, column: str, drop: dict[int, str]) -> DataFrame:
-    """Remove from a row's array of names the one given for its key; patched tells whether it was there."""
-    out = F.col(column)
-    for k, name in drop.items():
-        out = F.when(F.col(key) == k, F.filter(column, _not(name))).otherwise(out)
-    return rows.withColumn("patched", F.size(out) != F.size(column)).withColumn(column, out)
+def labelled(rows: DataFrame) -> DataFrame:
+    """Gold rows that someone has labelled: with mentions, or marked as empty."""
+    return rows.filter((F.size("gold_mentions") > 0) | F.coalesce(F.col("notes") == "EMPTY_OK", F.lit(False)))

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.models import Embed, hash_embedding
 from ..functions.text import query_tokens
 
 CANDIDATES, K, FUSION = 20, 8, 60
+BLOCK = 4096
 PI2_6 = 1.64493406685
 
 
@@ -32,9 +36,9 @@ def ranked(rows: DataFrame, by: list[Column], n: int) -> DataFrame:
 
 
 def dense(rows: DataFrame, query: list[float], n: int = CANDIDATES, id_: str = "chunk_id") -> DataFrame:
-    """(id, distance, rank) of the nearest rows by their embedding."""
+    """(id, distance, rank) of the nearest rows by their embedding; rows without one aren't near."""
     q = F.array(*[F.lit(float(x)) for x in query])
-    near = rows.select(id_, (F.round(cosine_distance(F.col("embedding"), q), 6) + F.lit(0.0)).alias("distance"))
+    near = rows.filter("embedding is not null").select(id_, (F.round(cosine_distance(F.col("embedding"), q), 6) + F.lit(0.0)).alias("distance"))
     return ranked(near, [F.col("distance"), F.col(id_)], n)
 
 
@@ -69,6 +73,11 @@ def fuse(branches: list[DataFrame], k: int = K, id_: str = "chunk_id") -> DataFr
     return fused.orderBy(F.desc("score"), id_).limit(k)
 
 
+def dense_baseline(rows: DataFrame, query: list[float], k: int = K, id_: str = "chunk_id") -> DataFrame:
+    """(id, score, rank) by cosine similarity alone."""
+    return dense(rows, query, k, id_).select(id_, F.round(1 - F.col("distance"), 6).alias("score"), "rank")
+
+
 def hybrid(chunks: DataFrame, query: list[float], question: str, ceilings: dict[str, int | None] | None, k: int = K) -> DataFrame:
     """Fused search; texts are joined to the k survivors only."""
     rows = chunks if ceilings is None else within(chunks, ceilings)
@@ -77,11 +86,69 @@ def hybrid(chunks: DataFrame, query: list[float], question: str, ceilings: dict[
     return rows.join(F.broadcast(top), "chunk_id")
 
 
-def batched_dense(rows: DataFrame, queries: DataFrame, n: int = CANDIDATES) -> DataFrame:
-    """(query_id, id, distance, rank) for a stated set of queries (query_id, query), held in blocks against all rows."""
-    pairs = rows.crossJoin(F.broadcast(queries)).select("query_id", "chunk_id", (F.round(cosine_distance(F.col("embedding"), F.col("query")), 6) + F.lit(0.0)).alias("distance"))
-    w = Window.partitionBy("query_id").orderBy("distance", "chunk_id")
-    return pairs.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("long"))
+def search_book(chunks: DataFrame, question: str, books: list[str], position: dict[str, int | None], limit: int = K, model: Embed = hash_embedding) -> DataFrame:
+    """Embed a question and search the books up to the reading position; best first."""
+    if len(question) < 3 or not 1 <= limit <= 20:
+        raise ValueError("a question has 3 characters or more, a limit is 1 to 20")
+    found = hybrid(chunks, model([question])[0], question, {b: position.get(b) for b in books}, limit)
+    return found.orderBy(F.desc("score"), "chunk_id")
+
+
+def _nearest(ids: np.ndarray, vectors: np.ndarray, n: int):
+    """(query_id, chunk_id, distance): the n nearest rows of each Arrow batch to each query of a block."""
+    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+
+    def run(batches):
+        for b in batches:
+            if not len(b):
+                continue
+            keys = b.column(0).to_numpy(zero_copy_only=False)
+            rows = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(b), -1)
+            far = np.round(1 - units @ (rows / np.linalg.norm(rows, axis=1, keepdims=True)).T, 6) + 0.0
+            m = min(n, len(b))
+            edge = np.partition(far, m - 1, axis=1)[:, m - 1 : m]
+            q, r = np.nonzero(far <= edge)  # ties at the edge too; the window over all batches decides
+            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(keys[r]), pa.array(far[q, r])], ["query_id", "chunk_id", "distance"])
+
+    return run
+
+
+def batched_dense(rows: DataFrame, queries: DataFrame, n: int = CANDIDATES, block: int = BLOCK) -> DataFrame:
+    """(query_id, chunk_id, distance, rank) of a stated set of queries (query_id, query) against all rows.
+
+    The set is taken in blocks of about ``block`` queries, so that what a task holds doesn't grow with it: each block
+    is one pass over the rows as matrix products, of which a task keeps the nearest of each Arrow batch.
+    """
+    found, blocks = None, max(1, -(-queries.count() // block))
+    for i in range(blocks):
+        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).orderBy("query_id").collect()
+        if own:
+            run = _nearest(np.array([r["query_id"] for r in own]), np.array([r["query"] for r in own], np.float64), n)
+            part = rows.filter("embedding is not null").select(F.col("chunk_id").cast("long"), "embedding").mapInArrow(run, "query_id long, chunk_id long, distance double")
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        return queries.select("query_id", F.lit(0).cast("long").alias("chunk_id"), F.lit(0.0).alias("distance"), F.lit(0).cast("long").alias("rank")).limit(0)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("long"))
+
+
+def batched_sparse(rows: DataFrame, questions: dict[str, list[str]], n: int = CANDIDATES) -> DataFrame:
+    """(question, chunk_id, score, rank) of a small set of tokenised questions, in one pass over the texts."""
+    found = None
+    for name, tokens in questions.items():
+        part = sparse(rows, tokens, n).withColumn("question", F.lit(name))
+        found = part if found is None else found.unionByName(part)
+    return found.select("question", "chunk_id", "score", "rank")
+
+
+def batched_hybrid(rows: DataFrame, queries: DataFrame, questions: dict[str, list[str]], k: int = K) -> DataFrame:
+    """(query_id, chunk_id, score, rank): fused search for many queries (query_id, query, question), questions by name."""
+    lists = batched_dense(rows, queries).select("query_id", "chunk_id", "rank")
+    words = queries.select("query_id", "question").join(batched_sparse(rows, questions), "question").select("query_id", "chunk_id", "rank")
+    score = F.round(F.sum(F.lit(1.0) / (F.lit(FUSION) + F.col("rank"))), 9).alias("score")
+    fused = lists.unionByName(words).groupBy("query_id", "chunk_id").agg(score)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "chunk_id"))
+    return fused.withColumn("rank", rank).filter(F.col("rank") <= k).withColumn("rank", F.col("rank").cast("long"))
 
 
 def named(entities: DataFrame, name: str) -> DataFrame:
@@ -96,6 +163,24 @@ def lookup_entity(entities: DataFrame, mentions: DataFrame, name: str, ceilings:
     return within(mentions, {b: n or 0 for b, n in ceilings.items()}).join(F.broadcast(first), "entity_id").orderBy("book_id", "chapter_num", "mention_id").limit(limit)
 
 
+def lookup_result(entities: DataFrame, mentions: DataFrame, name: str, ceilings: dict[str, int | None], limit: int = 200) -> DataFrame:
+    """One row: the entity (null if unknown) and its mentions, at most limit, in order."""
+    first = named(entities, name).orderBy("entity_id").limit(1).select(F.struct("*").alias("entity"))
+    found = lookup_entity(entities, mentions, name, ceilings, limit).select(*mentions.columns)
+    listed = found.agg(F.array_sort(F.collect_list(F.struct("book_id", "chapter_num", "mention_id"))).alias("mentions"))
+    return listed.join(F.broadcast(first), F.lit(True), "left").select("entity", "mentions")
+
+
+def point_lookup(chapters: DataFrame, book: str, chapter: int) -> DataFrame:
+    """The chapter of that book and number, by the smallest id if there are several."""
+    return chapters.filter((F.col("book_id") == book) & (F.col("chapter_num") == chapter)).orderBy("chapter_id").limit(1)
+
+
+def book_scan(chapters: DataFrame, book: str) -> DataFrame:
+    """A book's chapters in order."""
+    return chapters.filter(F.col("book_id") == book).orderBy("chapter_num")
+
+
 def aggregate_events(entities: DataFrame, events: DataFrame, name: str, event_type: str, ceilings: dict[str, int | None]) -> DataFrame:
     """Events of the first entity of that name; the type "any" takes all."""
     first = named(entities, name).orderBy("entity_id").limit(1)
@@ -113,3 +198,18 @@ def divergence(a: DataFrame, b: DataFrame, id_: str = "chunk_id") -> DataFrame:
 
 def recall(retrieved: Column, expected: Column) -> Column:
     return F.when(F.size(expected) > 0, F.size(F.array_intersect(retrieved, expected)) / F.size(expected))
+
+
+def expected_hits(retrieved: DataFrame, expected: DataFrame) -> DataFrame:
+    """(query_id, hits): retrieved chunks (query_id, chapter_num) whose chapter is expected (query_id, chapter_num); queries without a hit have 0."""
+    hit = expected.select("query_id", "chapter_num").distinct().withColumn("hit", F.lit(1))
+    return retrieved.join(hit, ["query_id", "chapter_num"], "left").groupBy("query_id").agg(F.count("hit").alias("hits"))
+
+
+def violations(retrieved: DataFrame, ceilings: dict[str, int | None]) -> DataFrame:
+    """Retrieved rows beyond the reading position: over their book's ceiling, or of a book without one."""
+    inside = F.lit(False)
+    for b, n in ceilings.items():
+        if n is not None:
+            inside = inside | ((F.col("book_id") == b) & (F.col("chapter_num") <= n))
+    return retrieved.filter(~F.coalesce(inside, F.lit(False)))

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import aliases, chunking, llm_json, text
-from ..operators import maintain, quality, retrieval, rollup
+from ..functions import aliases, chunking, llm_json, models, text
+from ..operators import accounting, extraction, maintain, quality, retrieval, rollup
 from ..sources import readers
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -40,8 +41,9 @@ CHAPTERS = "c AS (SELECT doc_id AS chapter_id, source AS book_id, row_number() O
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """documents as chunks, with a vector where there is one."""
     d, e = load(spark, sf_dir, "documents"), load(spark, sf_dir, "embeddings")
-    return d.join(e, d["doc_id"] == e["vec_id"]).select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("book_id"), F.col("text").alias("content"), F.col("n_chars").alias("chapter_num"), "embedding")
+    return d.join(e, d["doc_id"] == e["vec_id"], "left").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("book_id"), F.col("text").alias("content"), F.col("n_chars").alias("chapter_num"), "embedding")
 
 
 def first_vector(spark: SparkSession, sf_dir: str) -> list[float]:
@@ -55,10 +57,24 @@ Q0 = "q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id = 0)"
 STOP = "[" + ",".join(f"'{w}'" for w in text.STOPWORDS) + "]"
 TOKENS = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: len(t) >= 2 AND NOT list_contains({STOP}, t))"
 ALL = "regexp_extract_all(lower(text), '[a-z0-9]+')"
-RANK = " + ".join(f"coalesce(list_sum(list_transform(range(1, len(list_filter({ALL}, lambda t: t = '{w}')) + 1), lambda j: 0.1::DOUBLE / (j * j))), 0)" for w in ASKED)
-CHUNKS = "k AS (SELECT doc_id AS chunk_id, source AS book_id, text, n_chars, embedding FROM documents JOIN embeddings ON doc_id = vec_id)"
-DENSE = f"d AS (SELECT chunk_id, distance, row_number() OVER (ORDER BY distance, chunk_id) AS rank FROM (SELECT chunk_id, {DIST} AS distance FROM k, q) ORDER BY rank LIMIT 20)"
-SPARSE = f"s AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM (SELECT chunk_id, round(({RANK}) / 1.64493406685 / 3.0, 9) AS score FROM k WHERE list_has_any({ALL}, ['token','nation','license'])) ORDER BY rank LIMIT 20)"
+CHUNKS = "k AS (SELECT doc_id AS chunk_id, source AS book_id, text, n_chars, embedding FROM documents LEFT JOIN embeddings ON doc_id = vec_id)"
+DENSE = f"d AS (SELECT chunk_id, distance, row_number() OVER (ORDER BY distance, chunk_id) AS rank FROM (SELECT chunk_id, {DIST} AS distance FROM k, q WHERE embedding IS NOT NULL) ORDER BY rank LIMIT 20)"
+
+
+def rank_sql(words: list[str]) -> str:
+    return " + ".join(f"coalesce(list_sum(list_transform(range(1, len(list_filter({ALL}, lambda t: t = '{w}')) + 1), lambda j: 0.1::DOUBLE / (j * j))), 0)" for w in words)
+
+
+def sparse_sql(name: str, words: list[str]) -> str:
+    listed = ",".join(f"'{w}'" for w in words)
+    return f"{name} AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM (SELECT chunk_id, round(({rank_sql(words)}) / 1.64493406685 / {len(words)}.0, 9) AS score FROM k WHERE list_has_any({ALL}, [{listed}])) ORDER BY rank LIMIT 20)"
+
+
+SPARSE = sparse_sql("s", ASKED)
+FUSED = "f AS (SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT chunk_id, rank FROM d UNION ALL SELECT chunk_id, rank FROM s) GROUP BY 1 ORDER BY score DESC, chunk_id LIMIT 8)"
+POSITION = {f"src{i}": None if i == 2 else 400 + 100 * i for i in range(20)}
+WITHIN = " OR ".join(f"(book_id = '{b}' AND n_chars <= {n})" for b, n in POSITION.items() if n is not None)
+READ = CHUNKS.replace("k AS (", "k AS (SELECT * FROM (", 1) + f" WHERE {WITHIN})"
 CEILINGS = {"src0": 2000, "src1": 3000, "src2": None}
 
 
@@ -72,17 +88,55 @@ def sparse_topk(spark, sf_dir):
     return retrieval.sparse(chunks(spark, sf_dir), ASKED)
 
 
-@query(f"WITH {CHUNKS}, {Q0}, {DENSE}, {SPARSE}, f AS (SELECT chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT chunk_id, rank FROM d UNION ALL SELECT chunk_id, rank FROM s) GROUP BY 1 ORDER BY score DESC, chunk_id LIMIT 8) SELECT chunk_id, book_id, score, len(text)::BIGINT AS n FROM f JOIN k USING (chunk_id)")
+@query(f"WITH {READ}, {Q0}, {DENSE}, {SPARSE}, {FUSED} SELECT chunk_id, book_id, score, len(text)::BIGINT AS n FROM f JOIN k USING (chunk_id)")
 def hybrid_rrf(spark, sf_dir):
-    out = retrieval.hybrid(chunks(spark, sf_dir), first_vector(spark, sf_dir), QUESTION, None)
+    out = retrieval.hybrid(chunks(spark, sf_dir), first_vector(spark, sf_dir), QUESTION, POSITION)
     return out.select("chunk_id", "book_id", "score", F.length("content").cast("long").alias("n"))
 
 
-@query("WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 50 = 0), p AS (SELECT query_id, vec_id AS chunk_id, " + DIST + " AS distance FROM embeddings, q) SELECT query_id, chunk_id, distance, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM p) WHERE rank <= 20")
+@query(f"WITH {CHUNKS}, {Q0}, {DENSE} SELECT chunk_id, round(1 - distance, 6) AS score, rank FROM d WHERE rank <= 8")
+def dense_baseline(spark, sf_dir):
+    return retrieval.dense_baseline(chunks(spark, sf_dir), first_vector(spark, sf_dir))
+
+
+QUESTIONS = {"first": ASKED, "second": ["data", "time"], "third": ["mit", "apache", "gnu", "de"]}
+TURN = "CASE (vec_id // 50) % 3 WHEN 0 THEN 'first' WHEN 1 THEN 'second' ELSE 'third' END"
+BATCH = (
+    f"qs AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q, {TURN} AS question FROM embeddings WHERE vec_id % 50 = 0), "
+    f"dl AS (SELECT * FROM (SELECT query_id, chunk_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank FROM (SELECT query_id, chunk_id, {DIST} AS distance FROM k, qs WHERE embedding IS NOT NULL)) WHERE rank <= 20), "
+    + ", ".join(sparse_sql(n, w) for n, w in QUESTIONS.items())
+    + ", sl AS (" + " UNION ALL ".join(f"SELECT '{n}' AS question, chunk_id, rank FROM {n}" for n in QUESTIONS) + ")"
+)
+
+
+def asked(spark, sf_dir):
+    turn = F.pmod(F.floor(F.col("vec_id") / 50), F.lit(3))
+    name = F.when(turn == 0, "first").when(turn == 1, "second").otherwise("third")
+    return load(spark, sf_dir, "embeddings").filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"), name.alias("question"))
+
+
+@query(f"WITH {CHUNKS}, {BATCH} SELECT query_id, chunk_id, distance, rank FROM dl")
+def dense_batched(spark, sf_dir):
+    return retrieval.batched_dense(chunks(spark, sf_dir), asked(spark, sf_dir))
+
+
+@query(f"WITH {CHUNKS}, {BATCH}, f AS (SELECT query_id, chunk_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM (SELECT query_id, chunk_id, rank FROM dl UNION ALL SELECT query_id, chunk_id, rank FROM qs JOIN sl USING (question)) GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id) AS rank FROM f) WHERE rank <= 8")
 def rrf_batched(spark, sf_dir):
-    e = load(spark, sf_dir, "embeddings")
-    q = e.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
-    return retrieval.batched_dense(e.withColumnRenamed("vec_id", "chunk_id"), q)
+    return retrieval.batched_hybrid(chunks(spark, sf_dir), asked(spark, sf_dir), QUESTIONS)
+
+
+@query(f"WITH {CHUNKS}, {BATCH}, e AS (SELECT vec_id AS query_id, n_chars // 500 AS chapter FROM embeddings JOIN documents ON vec_id = doc_id WHERE vec_id % 50 = 0) SELECT query_id, count(*) FILTER (WHERE n_chars // 500 = chapter) AS hits FROM dl JOIN k USING (chunk_id) JOIN e USING (query_id) GROUP BY 1")
+def retrieval_hits(spark, sf_dir):
+    chapter = F.floor(F.col("chapter_num") / 500)
+    k = chunks(spark, sf_dir).select("chunk_id", chapter.alias("chapter_num"))
+    found = dense_batched(spark, sf_dir).join(k, "chunk_id")
+    expected = k.filter("chunk_id % 50 = 0").join(load(spark, sf_dir, "embeddings"), F.col("chunk_id") == F.col("vec_id"), "left_semi")
+    return retrieval.expected_hits(found, expected.select(F.col("chunk_id").alias("query_id"), "chapter_num"))
+
+
+@query(f"SELECT doc_id AS chunk_id FROM documents WHERE NOT coalesce({WITHIN.replace('book_id', 'source')}, false)")
+def spoiler_violations(spark, sf_dir):
+    return retrieval.violations(chunks(spark, sf_dir), POSITION).select("chunk_id")
 
 
 @query(f"WITH {CHAPTERS} SELECT chapter_id, book_id, n_chars FROM c WHERE (book_id = 'src0' AND n_chars <= 2000) OR (book_id = 'src1' AND n_chars <= 3000)")
@@ -91,9 +145,9 @@ def ceiling_filter(spark, sf_dir):
     return retrieval.within(d, CEILINGS, chapter="n_chars")
 
 
-@query(f"SELECT doc_id, array_to_string(list_sort(list_distinct({TOKENS})), ' | ') AS tokens FROM documents")
+@query(f"WITH t AS (SELECT doc_id, {TOKENS} AS ts FROM documents), u AS (SELECT doc_id, unnest(ts) AS w, unnest(range(len(ts))) AS p FROM t), o AS (SELECT doc_id, w, min(p) AS p FROM u GROUP BY 1, 2) SELECT doc_id, coalesce((SELECT string_agg(w, ' | ' ORDER BY p) FROM o WHERE o.doc_id = t.doc_id), '') AS tokens FROM t")
 def query_tokens(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(text.query_tokens(F.col("text"))), " | ").alias("tokens"))
+    return load(spark, sf_dir, "documents").select("doc_id", F.coalesce(text.tsquery(F.col("text")), F.lit("")).alias("tokens"))
 
 
 def entities(spark, sf_dir):
@@ -120,16 +174,18 @@ def events_for_entity(spark, sf_dir):
     return retrieval.aggregate_events(first, e, "no. 1", "any", {"events": 20}).select("event_id", "event_type", "chapter_num")
 
 
-ARCS = [(1, 10, 1, 1), (11, 25, 1, 2), (26, 50, 2, 3), (51, 100, 2, 4), (101, 500, 3, 5), (501, 5000, 3, 6)]
-RANGES = "r(lo, hi, volume, arc) AS (VALUES " + ",".join(f"({a}::BIGINT,{b}::BIGINT,{c}::BIGINT,{d}::BIGINT)" for a, b, c, d in ARCS) + ")"
+ARCS = [(1, 10, 1, "Dawn", 1, "Seed"), (11, 25, 1, "Dawn", 2, "Root"), (26, 50, 2, "Noon", 3, "Stem"), (51, 100, 2, "Noon", 4, "Leaf"), (101, 500, 3, "Dusk", 5, "Bud"), (501, None, 3, "Dusk", 6, "Fruit")]
+RANGES = (
+    "n(lo, hi, volume, volume_name, arc, arc_name) AS (VALUES " + ",".join(f"({a}::BIGINT,{'NULL' if b is None else b}::BIGINT,{v}::BIGINT,'{vn}',{c}::BIGINT,'{cn}')" for a, b, v, vn, c, cn in ARCS) + "), "
+    "r AS (SELECT book_id, lo, coalesce(hi, greatest(lo, last)) AS hi, volume, volume_name, arc, arc_name FROM n, (SELECT book_id, count(*) AS last FROM c GROUP BY 1))"
+)
 
 
 def ranges(spark, chapters: DataFrame) -> DataFrame:
-    """ARCS of each book; the last one ends with the book where that has more chapters (numbered from 1)."""
+    """ARCS of each book; the last one ends with the book (chapters are numbered from 1)."""
     books = chapters.groupBy("book_id").agg(F.count("*").alias("last"))
-    r = spark.createDataFrame(ARCS, "range_start long, range_end long, volume long, arc long")
-    end = F.when(F.col("range_end") == ARCS[-1][1], F.greatest("range_end", "last")).otherwise(F.col("range_end"))
-    return books.crossJoin(F.broadcast(r)).withColumn("range_end", end).drop("last")
+    r = spark.createDataFrame(ARCS, "range_start long, range_end long, volume long, volume_name string, arc long, arc_name string")
+    return books.crossJoin(F.broadcast(r)).withColumn("range_end", F.coalesce("range_end", F.greatest("range_start", "last"))).drop("last")
 
 
 def arcs(spark, sf_dir):
@@ -137,7 +193,7 @@ def arcs(spark, sf_dir):
     return rollup.assign_ranges(c, ranges(spark, c), strict=True)
 
 
-ARC_ROWS = f"{CHAPTERS}, {RANGES}, a AS (SELECT c.*, volume, arc FROM c JOIN r ON chapter_num BETWEEN lo AND hi)"
+ARC_ROWS = f"{CHAPTERS}, {RANGES}, a AS (SELECT c.*, volume, volume_name, arc, arc_name FROM c JOIN r ON c.book_id IS NOT DISTINCT FROM r.book_id AND chapter_num BETWEEN lo AND hi)"
 
 
 @query(f"WITH {ARC_ROWS} SELECT chapter_id, book_id, chapter_num, volume, arc FROM a")
@@ -145,11 +201,20 @@ def arc_assign(spark, sf_dir):
     return arcs(spark, sf_dir).select("chapter_id", "book_id", "chapter_num", "volume", "arc")
 
 
-@query(f"WITH {ARC_ROWS}, s AS (SELECT DISTINCT book_id, lo, hi FROM (SELECT DISTINCT book_id FROM c), r) SELECT s.book_id, 'arc' AS level, lo AS range_start, hi AS range_end, count(DISTINCT volume) AS volume_count, count(DISTINCT arc) AS arc_count, count(DISTINCT content_kind) AS content_kind_count, count(DISTINCT volume) FILTER (WHERE content_kind = 'main') AS main_volume_count, min(volume) AS volume, min(arc) FILTER (WHERE content_kind = 'main') AS main_arc, (count(DISTINCT volume) = 1 AND count(DISTINCT arc) = 1 AND count(DISTINCT content_kind) = 1) AS valid FROM s LEFT JOIN a ON a.book_id = s.book_id AND chapter_num BETWEEN lo AND hi GROUP BY 1, 3, 4")
+COUNTS = "count(DISTINCT volume) AS volume_count, count(DISTINCT volume_name) AS volume_name_count, count(DISTINCT arc) AS arc_count, count(DISTINCT arc_name) AS arc_name_count, count(DISTINCT content_kind) AS content_kind_count, count(DISTINCT volume) FILTER (WHERE content_kind = 'main' AND volume > 0) AS main_volume_count, count(DISTINCT volume_name) FILTER (WHERE content_kind = 'main' AND volume > 0) AS main_volume_name_count"
+META = """CASE level WHEN 'arc' THEN '{"volume":' || v || ',"volumeName":"' || vn || '","arc":' || r || ',"arcName":"' || rn || '","contentKind":"' || k || '"}' WHEN 'volume' THEN '{"volume":' || mv || ',"volumeName":"' || mvn || '","contentKind":"main"}' ELSE '{"contentKind":"main"}' END AS meta"""
+MINIMA = "min(volume) AS v, min(volume_name) AS vn, min(arc) AS r, min(arc_name) AS rn, min(content_kind) AS k, min(volume) FILTER (WHERE content_kind = 'main' AND volume > 0) AS mv, min(volume_name) FILTER (WHERE content_kind = 'main' AND volume > 0) AS mvn"
+SUMMARIES = "s AS (SELECT 'arc' AS level, book_id, min(chapter_num) AS range_start, max(chapter_num) AS range_end FROM a GROUP BY book_id, arc, content_kind UNION ALL SELECT 'volume', book_id, min(chapter_num), max(chapter_num) FROM a GROUP BY book_id, volume UNION ALL SELECT 'series', book_id, min(chapter_num), max(chapter_num) FROM a GROUP BY book_id)"
+
+
+@query(f"WITH {ARC_ROWS}, {SUMMARIES}, d AS (SELECT DISTINCT * FROM s), g AS (SELECT level, d.book_id, range_start, range_end, {COUNTS}, {MINIMA} FROM d LEFT JOIN a ON a.book_id IS NOT DISTINCT FROM d.book_id AND chapter_num BETWEEN range_start AND range_end GROUP BY 1, 2, 3, 4) SELECT * EXCLUDE (v, vn, r, rn, k, mv, mvn), {META} , CASE level WHEN 'arc' THEN volume_count = 1 AND volume_name_count = 1 AND arc_count = 1 AND arc_name_count = 1 AND content_kind_count = 1 WHEN 'volume' THEN main_volume_count = 1 AND main_volume_name_count = 1 ELSE true END AS valid FROM g")
 def range_join_rollup_meta(spark, sf_dir):
     a = arcs(spark, sf_dir)
-    s = ranges(spark, chapters(spark, sf_dir)).select("book_id", F.lit("arc").alias("level"), "range_start", "range_end")
-    return rollup.mixed(rollup.summary_metadata(s, a.select("book_id", "chapter_num", "volume", "arc", "content_kind")))
+    span = [F.min("chapter_num").alias("range_start"), F.max("chapter_num").alias("range_end")]
+    levels = [("arc", ["book_id", "arc", "content_kind"]), ("volume", ["book_id", "volume"]), ("series", ["book_id"])]
+    parts = [a.groupBy(*keys).agg(*span).select(F.lit(level).alias("level"), "book_id", "range_start", "range_end") for level, keys in levels]
+    s = parts[0].unionByName(parts[1]).unionByName(parts[2]).distinct()
+    return rollup.mixed(rollup.summary_metadata(s, a))
 
 
 @query("SELECT book_id, chapter_num, next_num FROM (SELECT source AS book_id, doc_id AS chapter_num, lead(doc_id) OVER (PARTITION BY source ORDER BY doc_id) AS next_num FROM documents) WHERE next_num <> chapter_num + 1")
@@ -159,18 +224,44 @@ def chapter_contiguity(spark, sf_dir):
 
 @query("SELECT source AS book_id, count(*) AS total, count(l.doc_id) AS done FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
 def coverage_counts(spark, sf_dir):
-    d, l = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels").select("doc_id", F.lit(1).alias("done"))
-    return d.join(l, "doc_id", "left").groupBy(F.col("source").alias("book_id")).agg(F.count("*").alias("total"), F.count("done").alias("done"))
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chapter_id"), F.col("source").alias("book_id"))
+    return rollup.chunk_coverage(d, load(spark, sf_dir, "labels").withColumnRenamed("doc_id", "chapter_id")).select("book_id", "total", F.col("chunked").alias("done"))
+
+
+@query("SELECT source AS book_id, doc_id AS chapter_num FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
+def missing_chapters(spark, sf_dir):
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chapter_id"), F.col("source").alias("book_id"), F.col("doc_id").alias("chapter_num"))
+    return rollup.missing_chapters(d, load(spark, sf_dir, "labels").withColumnRenamed("doc_id", "chapter_id"))
+
+
+@query("SELECT c_custkey, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1")
+def child_counts(spark, sf_dir):
+    return accounting.child_counts(load(spark, sf_dir, "customer").select("c_custkey"), load(spark, sf_dir, "orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+
+
+@query("SELECT c_custkey AS entity_id, count(o_orderkey) AS mentions FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY 1 ORDER BY mentions DESC, entity_id LIMIT 30")
+def top_mentioned(spark, sf_dir):
+    return accounting.top_mentioned(load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id")), load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entity_id")))
+
+
+@query("SELECT (SELECT count(*) FROM customer) AS entities, (SELECT count(*) FROM orders) AS mentions")
+def table_counts(spark, sf_dir):
+    return accounting.table_counts({"entities": load(spark, sf_dir, "customer"), "mentions": load(spark, sf_dir, "orders")})
+
+
+@query("SELECT o_orderstatus, count(o_orderkey) AS n FROM (VALUES ('F'), ('O'), ('P'), ('X')) v(o_orderstatus) LEFT JOIN orders USING (o_orderstatus) GROUP BY 1")
+def counts_by_status(spark, sf_dir):
+    return accounting.counts_by(load(spark, sf_dir, "orders"), "o_orderstatus", ["F", "O", "P", "X"])
 
 
 @query("SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def unprocessed_chunks(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id").join(load(spark, sf_dir, "labels"), "doc_id", "left_anti")
+    return accounting.without(load(spark, sf_dir, "documents").select("doc_id"), load(spark, sf_dir, "labels"), "doc_id")
 
 
 @query("SELECT doc_id FROM documents d WHERE EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id AND quality = 1)")
 def has_entity_chunks(spark, sf_dir):
-    return load(spark, sf_dir, "documents").select("doc_id").join(load(spark, sf_dir, "labels").filter("quality = 1"), "doc_id", "left_semi")
+    return accounting.having(load(spark, sf_dir, "documents").select("doc_id"), load(spark, sf_dir, "labels").filter("quality = 1"), "doc_id")
 
 
 ROLE_RANK = "CASE role WHEN 'assistant' THEN 3 WHEN 'user' THEN 2 WHEN 'system' THEN 1 ELSE 0 END"
@@ -178,12 +269,14 @@ ROLE_RANK = "CASE role WHEN 'assistant' THEN 3 WHEN 'user' THEN 2 WHEN 'system'
 
 @query(f"SELECT conv_id, arg_max(role, {ROLE_RANK}) AS role FROM conversations GROUP BY 1")
 def role_max_by(spark, sf_dir):
-    return load(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.max_by("role", F.expr(ROLE_RANK)).alias("role"))
+    return accounting.max_by_rank(load(spark, sf_dir, "conversations"), ["conv_id"], "role", {"assistant": 3, "user": 2, "system": 1})
 
 
 @query("SELECT c_nationkey::BIGINT AS k, arg_min(c_name, c_custkey) AS first_name, arg_max(c_name, c_custkey) AS last_name FROM customer GROUP BY 1")
 def first_and_last_wins(spark, sf_dir):
-    return load(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").cast("long").alias("k")).agg(F.min_by("c_name", "c_custkey").alias("first_name"), F.max_by("c_name", "c_custkey").alias("last_name"))
+    c = load(spark, sf_dir, "customer").select(F.col("c_nationkey").cast("long").alias("k"), "c_name", "c_custkey")
+    first, last = accounting.first_wins(c, ["k"], "c_name", "c_custkey"), accounting.last_wins(c, ["k"], "c_name", "c_custkey")
+    return first.withColumnRenamed("c_name", "first_name").join(last.withColumnRenamed("c_name", "last_name"), "k")
 
 
 @query("SELECT conv_id AS chapter_id, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS prefixes FROM conversations GROUP BY 1")
@@ -192,7 +285,7 @@ def ordered_prefixes(spark, sf_dir):
     return rollup.prefixes(c).select("chapter_id", F.md5("prefixes").alias("prefixes"))
 
 
-ARC_T = f"{ARC_ROWS}, ta AS (SELECT book_id, volume, arc, content_kind, min(chapter_num) AS range_start, max(chapter_num) AS range_end, count(*) AS inputs, 'Volume ' || volume || ' - Arc ' || arc AS label FROM a GROUP BY 1, 2, 3, 4), tv AS (SELECT book_id, volume, min(range_start) AS range_start, max(range_end) AS range_end, count(*) AS inputs, 'Volume ' || volume AS label FROM ta WHERE content_kind = 'main' AND volume > 0 GROUP BY 1, 2), ts AS (SELECT book_id, min(range_start) AS range_start, max(range_end) AS range_end, count(*) AS inputs, CASE book_id WHEN 'src0' THEN 'The first' ELSE book_id END AS label FROM tv GROUP BY 1)"
+ARC_T = f"{ARC_ROWS}, ta AS (SELECT book_id, volume, volume_name, arc, arc_name, content_kind, min(chapter_num) AS range_start, max(chapter_num) AS range_end, count(*) AS inputs, volume_name || ' - ' || arc_name AS label FROM a GROUP BY 1, 2, 3, 4, 5, 6), tv AS (SELECT book_id, volume, volume_name, min(range_start) AS range_start, max(range_end) AS range_end, count(*) AS inputs, 'Volume ' || volume || ': ' || volume_name AS label FROM ta WHERE content_kind = 'main' AND volume > 0 GROUP BY 1, 2, 3), ts AS (SELECT book_id, min(range_start) AS range_start, max(range_end) AS range_end, count(*) AS inputs, CASE book_id WHEN 'src0' THEN 'The first' ELSE book_id END AS label FROM tv GROUP BY 1)"
 
 
 def arc_summaries(spark, sf_dir):
@@ -214,24 +307,51 @@ def rollup_targets_series(spark, sf_dir):
     return rollup.series_targets(rollup_targets_volume(spark, sf_dir), spark.createDataFrame([("src0", "The first")], "book_id string, title string"))
 
 
-@query(f"WITH {ARC_T}, t AS (SELECT 'arc' AS level, concat_ws('|', 'arc', book_id, range_start, range_end, label) AS key FROM ta UNION ALL SELECT 'volume', concat_ws('|', 'volume', book_id, range_start, range_end, label) FROM tv) SELECT level, key FROM t WHERE level = 'volume'")
+def conversation_chunks(spark, sf_dir):
+    c = load(spark, sf_dir, "conversations")
+    return c.select(F.lit("b").alias("book_id"), F.col("conv_id").alias("chapter_id"), F.col("conv_id").alias("chapter_num"), F.concat(F.lit("Talk "), "conv_id").alias("chapter_title"), F.col("turn").alias("chunk_index"), F.col("text").alias("contextual_prefix"), F.lit(1).alias("volume"), F.lit("One").alias("volume_name"), F.lit(2).alias("arc"), F.lit("Two").alias("arc_name"), F.lit("main").alias("content_kind"))
+
+
+@query("SELECT conv_id AS chapter_id, conv_id AS range_start, conv_id AS range_end, 'Chapter ' || conv_id || ': Talk ' || conv_id AS label, md5(string_agg(text, chr(10) || chr(10) ORDER BY turn)) AS prefixes FROM conversations GROUP BY 1")
+def rollup_targets_chapter(spark, sf_dir):
+    return rollup.chapter_targets(conversation_chunks(spark, sf_dir)).select("chapter_id", "range_start", "range_end", "label", F.md5(F.array_join("contextual_prefixes", "\n\n")).alias("prefixes"))
+
+
+@query("SELECT conv_id AS chapter_id, 200::BIGINT AS max_words, md5('Target: Chapter ' || conv_id || ': Talk ' || conv_id || chr(10) || 'Book: b' || chr(10) || 'Volume: 1 - One' || chr(10) || 'Arc: 2 - Two' || chr(10) || 'Content kind: main' || chr(10) || chr(10) || 'Contextual prefixes:' || chr(10) || string_agg(i || '. ' || text, chr(10) ORDER BY i)) AS prompt FROM (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i FROM conversations) GROUP BY 1")
+def chapter_prompts(spark, sf_dir):
+    rows = rollup.prompts(rollup.chapter_targets(conversation_chunks(spark, sf_dir)), "chapter")
+    return rows.select("chapter_id", F.col("max_words").cast("long").alias("max_words"), F.md5("user").alias("prompt"))
+
+
+@query(f"WITH {ARC_T}, i AS (SELECT *, row_number() OVER (PARTITION BY book_id, volume ORDER BY range_start, range_end, label) AS n FROM ta WHERE content_kind = 'main') SELECT book_id, volume, 400::BIGINT AS max_words, 'Target: ' || tv.label || chr(10) || 'Book: ' || book_id || chr(10) || 'Level: volume' || chr(10) || 'Content kind: main' || chr(10) || chr(10) || 'Input summaries:' || chr(10) || (SELECT string_agg(n || '. ' || i.label || ': ' || i.inputs || ' chapters', chr(10) ORDER BY n) FROM i WHERE i.book_id = tv.book_id AND i.volume = tv.volume) AS prompt FROM tv")
+def volume_prompts(spark, sf_dir):
+    a = rollup_targets_arc(spark, sf_dir).withColumn("content", F.concat(F.col("inputs"), F.lit(" chapters")))
+    return rollup.prompts(rollup.volume_targets(a), "volume").select("book_id", "volume", F.col("max_words").cast("long").alias("max_words"), F.col("user").alias("prompt"))
+
+
+KEYED = " UNION ALL ".join(f"SELECT '{level}' AS level, concat_ws('|', '{level}', book_id, range_start, range_end, label) AS key FROM {t}" for level, t in (("chapter", "tc"), ("arc", "ta"), ("volume", "tv"), ("series", "ts")))
+
+
+@query(f"WITH {ARC_T}, tc AS (SELECT book_id, chapter_num AS range_start, chapter_num AS range_end, 'Chapter ' || chapter_num || ': ' || chapter_id AS label FROM c), t AS ({KEYED}), done AS (SELECT key FROM t WHERE level IN ('chapter', 'arc') OR level = 'volume' AND key LIKE '%Dawn'), p AS (SELECT *, CASE level WHEN 'chapter' THEN 1 WHEN 'arc' THEN 2 WHEN 'volume' THEN 3 ELSE 4 END AS place FROM t WHERE key NOT IN (SELECT key FROM done)) SELECT level, key FROM p WHERE place = (SELECT min(place) FROM p)")
 def plan_next_level(spark, sf_dir):
     keyed = lambda d, level: d.select(F.lit(level).alias("level"), rollup.logical_key(F.lit(level)).alias("key"))
-    a, v = keyed(rollup_targets_arc(spark, sf_dir), "arc"), keyed(rollup_targets_volume(spark, sf_dir), "volume")
-    return rollup.plan_next(a.unionByName(v), a)
+    c = chapters(spark, sf_dir).withColumns({"range_start": F.col("chapter_num"), "range_end": F.col("chapter_num"), "label": F.concat(F.lit("Chapter "), "chapter_num", F.lit(": "), "chapter_id")})
+    c, a, v, t = keyed(c, "chapter"), keyed(rollup_targets_arc(spark, sf_dir), "arc"), keyed(rollup_targets_volume(spark, sf_dir), "volume"), keyed(rollup_targets_series(spark, sf_dir), "series")
+    done = c.unionByName(a).unionByName(v.filter("key like '%Dawn'"))
+    return rollup.plan_next(c.unionByName(a).unionByName(v).unionByName(t), done)
 
 
-@query(r"SELECT page_id, substr(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(CASE WHEN regexp_matches(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') THEN regexp_extract(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1) ELSE html END, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '\s+', ' ', 'g'), '^\s+|\s+$', '', 'g'), 1, 160) AS title FROM pages")
+@query(r"SELECT page_id, substr(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(CASE WHEN regexp_matches(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') THEN regexp_extract(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1) ELSE html END, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g'), '^[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$', '', 'g'), 1, 160) AS title FROM pages")
 def html_title(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", text.section_title(F.col("html")).alias("title"))
 
 
-@query(r"WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(html, chr(13) || chr(10), chr(10)), '(?i)<br\s*/?>', chr(1), 'g'), '(?i)</(?:p|div|h[1-6]|li|blockquote|section|article)>', chr(2) || chr(2), 'g'), '<[^>]+>', '', 'g') AS t FROM pages), u AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&apos;', chr(39)), '&#39;', chr(39)), '[ \t\n\v\f\r]+', ' ', 'g') AS t FROM t) SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(translate(t, chr(1) || chr(2), chr(10) || chr(10)), ' *\n *', chr(10), 'g'), '\n{2,}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')) AS body FROM u")
+@query(r"WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(html, chr(13) || chr(10), chr(10)), '(?i)<br\s*/?>', chr(1), 'g'), '(?i)</(?:p|div|h[1-6]|li|blockquote|tr|section|article)>', chr(2) || chr(2), 'g'), '<[^>]+>', '', 'g') AS t FROM pages), u AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&apos;', chr(39)), '&#39;', chr(39)), '[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g') AS t FROM t) SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(translate(t, chr(1) || chr(2), chr(10) || chr(10)), ' *\n *', chr(10), 'g'), '\n{2,}', chr(10) || chr(10), 'g'), '^[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$', '', 'g')) AS body FROM u")
 def html_body(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", F.md5(text.chapter_body(F.col("html"))).alias("body"))
 
 
-@query("SELECT doc_id, ceil(len(list_filter(regexp_split_to_array(text, '\\s+'), lambda w: w <> '')) * 1.3::DOUBLE)::BIGINT AS tokens FROM documents")
+@query("SELECT doc_id, ceil(len(list_filter(regexp_split_to_array(text, '[\\t-\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+'), lambda w: w <> '')) * 1.3::DOUBLE)::BIGINT AS tokens FROM documents")
 def token_estimate(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", text.token_estimate(F.col("text")).alias("tokens"))
 
@@ -241,12 +361,12 @@ def text_gates(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", text.keyword_gate(F.col("text")).alias("keyword"), text.dialogue_gate(F.col("text")).alias("dialogue"))
 
 
-@query("SELECT doc_id, substr(regexp_replace(text, '\\s+', ' ', 'g'), 1, 160) AS preview, upper(source) || ' Chapter ' || doc_id || ': ' || lang AS header FROM documents")
+@query("SELECT doc_id, substr(regexp_replace(text, '[\\t-\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+', ' ', 'g'), 1, 160) AS preview, upper(source) || ' Chapter ' || doc_id || ': ' || lang AS header FROM documents")
 def previews(spark, sf_dir):
     return load(spark, sf_dir, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"), text.chunk_header(F.col("source"), F.col("doc_id"), F.col("lang")).alias("header"))
 
 
-@query("WITH p AS (SELECT doc_id, lang, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS k FROM labels JOIN documents USING (doc_id)), g AS (SELECT doc_id FROM p WHERE k = 'good'), q AS (SELECT doc_id FROM p WHERE lang = 'en'), m AS (SELECT g.doc_id AS a, q.doc_id AS b FROM g FULL JOIN q USING (doc_id)), n AS (SELECT count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS tp, count(*) FILTER (WHERE a IS NULL) AS fp, count(*) FILTER (WHERE b IS NULL) AS fn FROM m), s AS (SELECT *, round(tp::DOUBLE / (tp + fp), 6) AS precision, round(tp::DOUBLE / (tp + fn), 6) AS recall FROM n) SELECT *, round(2 * precision * recall / (precision + recall), 6) AS f1 FROM s")
+@query("WITH p AS (SELECT doc_id, lang, CASE WHEN quality = 1 THEN 'good' ELSE 'bad' END AS k FROM labels JOIN documents USING (doc_id)), g AS (SELECT doc_id FROM p WHERE k = 'good'), q AS (SELECT doc_id FROM p WHERE lang = 'en'), m AS (SELECT g.doc_id AS a, q.doc_id AS b FROM g FULL JOIN q USING (doc_id)), n AS (SELECT count(*) FILTER (WHERE a IS NOT NULL AND b IS NOT NULL) AS tp, count(*) FILTER (WHERE a IS NULL) AS fp, count(*) FILTER (WHERE b IS NULL) AS fn FROM m), s AS (SELECT *, tp::DOUBLE / (tp + fp) AS p, tp::DOUBLE / (tp + fn) AS r FROM n) SELECT tp, fp, fn, round(p, 6) AS precision, round(r, 6) AS recall, round(2 * p * r / (p + r), 6) AS f1 FROM s")
 def confusion_f1(spark, sf_dir):
     rows = load(spark, sf_dir, "labels").join(load(spark, sf_dir, "documents").select("doc_id", "lang"), "doc_id")
     return quality.score(quality.compare(rows.filter("quality = 1"), rows.filter("lang = 'en'"), ["doc_id"]))
@@ -254,8 +374,19 @@ def confusion_f1(spark, sf_dir):
 
 @query("SELECT count(*) FILTER (WHERE quality = 0) AS empty, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS false_positives, round(count(*) FILTER (WHERE quality = 0 AND toxic = 1)::DOUBLE / count(*) FILTER (WHERE quality = 0), 6) AS rate, count(*) FILTER (WHERE quality = toxic) AS agree FROM labels")
 def false_positive_rate(spark, sf_dir):
-    empty, fp = F.count_if(F.col("quality") == 0), F.count_if((F.col("quality") == 0) & (F.col("toxic") == 1))
-    return load(spark, sf_dir, "labels").agg(empty.alias("empty"), fp.alias("false_positives"), F.round(quality.ratio(fp, empty), 6).alias("rate"), F.count_if(F.col("quality") == F.col("toxic")).alias("agree"))
+    l = load(spark, sf_dir, "labels")
+    rate = accounting.false_positives(l, F.col("quality") == 0, F.col("toxic") == 1)
+    return rate.join(F.broadcast(accounting.agreement(l, F.col("quality") == F.col("toxic")).select("agree")), F.lit(True))
+
+
+ROLE_SIDES = "g AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'good' ELSE 'null' END AS g FROM labels), p AS (SELECT doc_id, CASE WHEN n_chars > 300 THEN 'good' ELSE 'null' END AS p FROM documents)"
+
+
+@query(f"WITH {ROLE_SIDES}, m AS (SELECT g, p FROM g FULL JOIN p USING (doc_id)), x AS (SELECT unnest(CASE WHEN g = p THEN [g || ' tp'] WHEN p IS NULL THEN [g || ' fn'] WHEN g IS NULL THEN [p || ' fp'] ELSE [g || ' fn', p || ' fp'] END) AS x FROM m) SELECT split_part(x, ' ', 1) AS role, count(*) FILTER (WHERE x LIKE '% tp') AS tp, count(*) FILTER (WHERE x LIKE '% fp') AS fp, count(*) FILTER (WHERE x LIKE '% fn') AS fn FROM x GROUP BY 1")
+def role_scores(spark, sf_dir):
+    gold = load(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").alias("role"))
+    predicted = load(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") > 300, "good").alias("role"))
+    return quality.score(quality.by_role(gold, predicted, ["doc_id"]), ["role"]).select("role", "tp", "fp", "fn")
 
 
 @query(f"WITH {CHAPTERS} SELECT chapter_id, book_id, chapter_num FROM c ORDER BY book_id, chapter_num LIMIT 25")
@@ -263,25 +394,36 @@ def cap_chunks_budget(spark, sf_dir):
     return rollup.cap_rows(chapters(spark, sf_dir).select("chapter_id", "book_id", "chapter_num"), 25, ["book_id", "chapter_num"])
 
 
-@query(f"WITH {CHAPTERS} SELECT book_id, count(*) AS n, min(chapter_num) AS first, max(CASE WHEN content_kind = 'main' THEN 1 ELSE 0 END)::BIGINT AS is_main FROM c GROUP BY 1 ORDER BY is_main DESC, n DESC, first, book_id LIMIT 5")
+@query(f"WITH {ARC_ROWS}, g AS (SELECT book_id, arc, content_kind, count(*) AS n, min(chapter_num) AS first FROM a GROUP BY 1, 2, 3) SELECT * FROM g WHERE content_kind = 'main' OR NOT EXISTS (SELECT 1 FROM g WHERE content_kind = 'main') ORDER BY n DESC, first, book_id, arc LIMIT 5")
 def top_groups(spark, sf_dir):
-    return rollup.first_groups(chapters(spark, sf_dir), "book_id", 5).withColumn("is_main", F.col("is_main").cast("long"))
+    return rollup.first_groups(arcs(spark, sf_dir), ["book_id", "arc"], 5)
+
+
+@query(f"WITH {ARC_ROWS} SELECT chapter_id, book_id, arc FROM (SELECT *, row_number() OVER (PARTITION BY book_id, arc ORDER BY chapter_num) AS p FROM a) WHERE p <= 3")
+def smallest_per_group(spark, sf_dir):
+    return rollup.smallest(arcs(spark, sf_dir), ["book_id", "arc"], 3).select("chapter_id", "book_id", "arc")
 
 
-@query("SELECT stratum, doc_id, draw FROM (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY h, doc_id) AS draw FROM (SELECT lang AS stratum, doc_id, ('0x' || substr(md5(doc_id::VARCHAR), 1, 8))::BIGINT AS h FROM documents)) WHERE draw <= 5")
+@query()
 def sample_strata(spark, sf_dir):
-    d = load(spark, sf_dir, "documents").select(F.col("lang").alias("stratum"), "doc_id", F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long").alias("h"))
-    w = Window.partitionBy("stratum").orderBy("h", "doc_id")
-    return d.withColumn("draw", F.row_number().over(w).cast("long")).filter("draw <= 5").drop("h")
+    d = load(spark, sf_dir, "documents").select(F.col("lang").alias("stratum"), "doc_id")
+    return quality.sample_strata(d, "stratum", "doc_id", 5, seed=7)
+
+
+@query("SELECT doc_id AS chapter_id, CASE WHEN source = 'src0' AND n_chars BETWEEN 1 AND 100 AND lang = 'en' THEN 'early' WHEN source = 'src0' AND n_chars BETWEEN 101 AND 800 AND lang = 'en' THEN 'mid' WHEN source = 'src0' AND n_chars >= 1000 AND lang = 'en' THEN 'late' WHEN source = 'src1' AND lang = 'en' THEN 'second' WHEN source = 'src0' AND lang <> 'en' THEN 'side' END AS stratum FROM documents")
+def strata(spark, sf_dir):
+    kind = F.when(F.col("lang") == "en", "main").when(F.col("lang") != "en", "side_story")
+    d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chapter_id"), F.col("source").alias("book_id"), F.col("n_chars").alias("chapter_num"), kind.alias("content_kind"))
+    return d.select("chapter_id", quality.stratum(["src0", "src1"]).alias("stratum"))
 
 
-CUST = "(SELECT c_custkey AS k, c_name AS v FROM customer WHERE c_custkey % 3 <> 0)"
-NEW = "(SELECT c_custkey AS k, c_mktsegment AS v FROM customer WHERE c_custkey % 2 = 0)"
+CUST = "(SELECT c_custkey AS k, c_name AS v FROM customer)"
+NEW = "(SELECT o_orderkey AS k, o_orderpriority AS v FROM orders)"
 
 
 def old_new(spark, sf_dir):
-    c = load(spark, sf_dir, "customer")
-    return c.filter("c_custkey % 3 <> 0").selectExpr("c_custkey k", "c_name v"), c.filter("c_custkey % 2 = 0").selectExpr("c_custkey k", "c_mktsegment v")
+    """customer and orders as old and new rows: keys of the first are numbers of the second too."""
+    return load(spark, sf_dir, "customer").selectExpr("c_custkey k", "c_name v"), load(spark, sf_dir, "orders").selectExpr("o_orderkey k", "o_orderpriority v")
 
 
 @query(f"SELECT coalesce(n.k, o.k) AS k, CASE WHEN n.k IS NOT NULL THEN n.v ELSE o.v END AS v, o.k IS NULL AS inserted FROM {CUST} o FULL JOIN {NEW} n ON o.k = n.k")
@@ -304,18 +446,34 @@ def needs_update(spark, sf_dir):
     return maintain.needs_update(*old_new(spark, sf_dir), "k", ["v"])
 
 
-@query("SELECT (CASE WHEN c_nationkey < 3 THEN c_nationkey + 10 ELSE c_nationkey END)::BIGINT AS entity_id, count(*) AS n FROM customer GROUP BY 1")
+@query(f"WITH l AS (SELECT DISTINCT l_returnflag AS level, l_linestatus AS book_id, l_linenumber AS range_start, l_quantity AS range_end, l_tax AS label FROM lineitem), o AS (SELECT * FROM l WHERE level = 'A'), n AS (SELECT level, book_id, range_start, range_end, label FROM l UNION ALL SELECT 'A', book_id, range_start, range_end, label FROM l WHERE level = 'N') SELECT *, count(*) AS copies FROM (SELECT * FROM o UNION ALL SELECT * FROM n WHERE NOT EXISTS (SELECT 1 FROM o WHERE o.level = n.level AND o.book_id = n.book_id AND o.range_start = n.range_start AND o.range_end = n.range_end AND o.label = n.label)) GROUP BY ALL")
+def insert_if_absent_composite(spark, sf_dir):
+    keys = ["level", "book_id", "range_start", "range_end", "label"]
+    l = load(spark, sf_dir, "lineitem").selectExpr("l_returnflag level", "l_linestatus book_id", "l_linenumber range_start", "l_quantity range_end", "l_tax label").distinct()
+    new = l.unionByName(l.filter("level = 'N'").withColumn("level", F.lit("A")))
+    return maintain.insert_absent(l.filter("level = 'A'"), new, keys).groupBy(*keys).agg(F.count("*").alias("copies"))
+
+
+@query("SELECT (CASE WHEN c_nationkey < 3 THEN c_nationkey + 10 ELSE c_nationkey END)::BIGINT AS entity_id, count(*) AS n, NOT EXISTS (SELECT 1 FROM nation WHERE n_nationkey >= 3 AND n_nationkey = (CASE WHEN c_nationkey < 3 THEN c_nationkey + 10 ELSE c_nationkey END)) AS gone FROM customer GROUP BY 1, 3")
 def merge_reattribute(spark, sf_dir):
     moves = entities(spark, sf_dir).filter("entity_id < 3").selectExpr("entity_id", "entity_id + 10 target_id")
-    moved, _ = maintain.reattribute(mentions(spark, sf_dir), entities(spark, sf_dir), moves)
-    return moved.groupBy(F.col("entity_id").cast("long").alias("entity_id")).agg(F.count("*").alias("n"))
+    moved, left = maintain.reattribute(mentions(spark, sf_dir), entities(spark, sf_dir), moves)
+    counts = moved.groupBy("entity_id").agg(F.count("*").alias("n"))
+    return counts.join(left.select("entity_id", F.lit(False).alias("there")), "entity_id", "left").select(F.col("entity_id").cast("long").alias("entity_id"), "n", F.col("there").isNull().alias("gone"))
 
 
-@query("SELECT n_nationkey::BIGINT AS entity_id FROM nation WHERE NOT (n_nationkey % 2 = 0 AND NOT EXISTS (SELECT 1 FROM customer WHERE c_nationkey = n_nationkey AND c_custkey % 4 = 1 AND c_acctbal > 9000))")
+@query("SELECT c_custkey AS entity_id FROM customer WHERE NOT (c_mktsegment = 'BUILDING' AND c_acctbal >= 0 AND c_nationkey < 20 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey))")
 def delete_orphans(spark, sf_dir):
-    e = entities(spark, sf_dir).withColumn("aliases", F.array().cast("array<string>"))
-    m = load(spark, sf_dir, "customer").filter("c_custkey % 4 = 1 and c_acctbal > 9000").select(F.col("c_nationkey").alias("entity_id"))
-    return maintain.delete_orphans(e, m).select(F.col("entity_id").cast("long"))
+    none = F.array().cast("array<string>")
+    e = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), F.when(F.col("c_mktsegment") == "BUILDING", none).otherwise(F.array("c_mktsegment")).alias("aliases"), F.when(F.col("c_acctbal") >= 0, "{}").otherwise('{"owes":true}').alias("meta"), F.when(F.col("c_nationkey") < 20, 0).otherwise(1).alias("is_spoiler"))
+    return maintain.delete_orphans(e, load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entity_id"))).select("entity_id")
+
+
+@query("SELECT count(DISTINCT lower(trim(c_mktsegment))) + (SELECT count(*) FROM nation) AS n, count(DISTINCT lower(trim(c_mktsegment))) + (SELECT max(n_nationkey) FROM nation) AS top FROM customer")
+def get_or_create(spark, sf_dir):
+    names = load(spark, sf_dir, "customer").select(F.col("c_mktsegment").alias("name")).unionByName(load(spark, sf_dir, "nation").select(F.lower("n_name").alias("name")))
+    made = maintain.get_or_create(entities(spark, sf_dir), names)
+    return made.agg(F.count_distinct("entity_id").alias("n"), F.max("entity_id").cast("long").alias("top"))
 
 
 @query("SELECT event_id FROM events WHERE NOT coalesce(json_extract_string(props, '$.k')::BIGINT < 3, false)")
@@ -323,32 +481,32 @@ def delete_by_predicate(spark, sf_dir):
     return maintain.delete_where(load(spark, sf_dir, "events"), F.get_json_object("props", "$.k").cast("long") < 3).select("event_id")
 
 
-@query("SELECT event_type, json_extract_string(props, '$.k') AS k, count(*) AS n FROM events GROUP BY 1, 2")
+@query("WITH n AS (SELECT DISTINCT event_type FROM events) SELECT event_id, event_type FROM events UNION ALL SELECT -1, event_type FROM n WHERE NOT EXISTS (SELECT 1 FROM events WHERE json_extract_string(props, '$.k') = '99999')")
 def json_guard(spark, sf_dir):
-    return load(spark, sf_dir, "events").groupBy("event_type", F.get_json_object("props", "$.k").alias("k")).agg(F.count("*").alias("n"))
+    e = load(spark, sf_dir, "events").select("event_id", "event_type", F.col("props").alias("extra"))
+    new = e.select(F.lit(-1).cast("long").alias("event_id"), "event_type", F.lit("{}").alias("extra")).distinct()
+    once = maintain.guarded_insert(e, new, "k", "99999")
+    return maintain.guarded_insert(once, new, "k", "%").select("event_id", "event_type")  # the second time a row is like it
 
 
-@query("SELECT l_returnflag AS bucket, count(*) AS calls, round(sum(l_quantity), 2) AS tokens, round(sum(l_quantity * 0.14 + l_discount * 0.028 + l_tax * 0.28) / 1000000, 6) AS cost, round(avg(l_quantity * 0.14) * count(*) * 10 / 1000000, 6) AS projected FROM lineitem GROUP BY 1")
+@query("WITH u AS (SELECT l_returnflag AS bucket, sum(l_quantity) AS no_cache, sum(l_discount) AS cache_read, sum(l_tax) AS cache_write, sum(l_extendedprice) AS output, sum(l_linenumber)::BIGINT AS calls, count(*) AS n FROM lineitem GROUP BY 1), c AS (SELECT *, (no_cache * 0.14 + cache_read * 0.028 + cache_write * 0.14 + output * 0.28) / 1000000 AS cost FROM u) SELECT bucket, round(no_cache, 2) AS no_cache, round(cache_read, 2) AS cache_read, round(cache_write, 2) AS cache_write, round(output, 1) AS output, calls, round(cost, 4) AS cost, round(cost / n * n * 10, 3) AS projected FROM c")
 def cost_projection(spark, sf_dir):
-    cost = F.col("l_quantity") * 0.14 + F.col("l_discount") * 0.028 + F.col("l_tax") * 0.28
-    return load(spark, sf_dir, "lineitem").groupBy(F.col("l_returnflag").alias("bucket")).agg(F.count("*").alias("calls"), F.round(F.sum("l_quantity"), 2).alias("tokens"), F.round(F.sum(cost) / 1000000, 6).alias("cost"), F.round(F.avg(F.col("l_quantity") * 0.14) * F.count("*") * 10 / 1000000, 6).alias("projected"))
+    l = load(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("bucket"), F.col("l_quantity").alias("no_cache"), F.col("l_discount").alias("cache_read"), F.col("l_tax").alias("cache_write"), F.col("l_extendedprice").alias("output"), F.col("l_linenumber").cast("long").alias("calls"))
+    u = accounting.usage(l, ["bucket"]).join(l.groupBy("bucket").agg(F.count("*").alias("n")), "bucket").withColumn("cost", accounting.cost(accounting.CONTEXT_PRICES))
+    projected = accounting.project(F.col("cost"), F.col("n"), F.col("n") * 10)
+    return u.select("bucket", *[F.round(c, d).alias(c) for c, d in (("no_cache", 2), ("cache_read", 2), ("cache_write", 2), ("output", 1))], "calls", F.round("cost", 4).alias("cost"), F.round(projected, 3).alias("projected"))
 
 
 @query("SELECT doc_id, part FROM (SELECT doc_id, part, row_number() OVER (PARTITION BY doc_id ORDER BY part) AS r FROM (SELECT doc_id, 1::BIGINT AS part FROM documents WHERE lang = 'en' UNION ALL SELECT doc_id, 2::BIGINT FROM documents WHERE n_chars > 1000 UNION ALL SELECT doc_id, 3::BIGINT FROM labels)) WHERE r = 1")
 def union_first_wins(spark, sf_dir):
-    d, l = load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels")
-    parts = [d.filter("lang = 'en'"), d.filter("n_chars > 1000"), l]
-    rows = parts[0].select("doc_id", F.lit(1).cast("long").alias("part"))
-    for i, p in enumerate(parts[1:], 2):
-        rows = rows.unionByName(p.select("doc_id", F.lit(i).cast("long").alias("part")))
-    return rows.groupBy("doc_id").agg(F.min("part").alias("part"))
+    d = load(spark, sf_dir, "documents")
+    return accounting.union_first([d.filter("lang = 'en'"), d.filter("n_chars > 1000"), load(spark, sf_dir, "labels")], "doc_id")
 
 
 @query("SELECT doc_id, 'both' AS side FROM (SELECT doc_id FROM labels WHERE quality = 1 INTERSECT SELECT doc_id FROM labels WHERE toxic = 0) UNION ALL SELECT doc_id, 'first' FROM (SELECT doc_id FROM labels WHERE quality = 1 EXCEPT SELECT doc_id FROM labels WHERE toxic = 0)")
 def set_operations(spark, sf_dir):
     l = load(spark, sf_dir, "labels")
-    a, b = l.filter("quality = 1").select("doc_id"), l.filter("toxic = 0").select("doc_id")
-    return a.intersect(b).withColumn("side", F.lit("both")).unionByName(a.subtract(b).withColumn("side", F.lit("first")))
+    return accounting.set_sides(l.filter("quality = 1"), l.filter("toxic = 0"), "doc_id")
 
 
 @query("SELECT c_custkey, coalesce('entity:' || n_nationkey, 'raw:' || lower(trim(c_mktsegment))) AS key FROM customer LEFT JOIN nation ON lower(trim(n_name)) = lower(trim(c_mktsegment))")
@@ -358,10 +516,56 @@ def canonical_keys(spark, sf_dir):
     return quality.canonical_key(names, a).select("c_custkey", "key")
 
 
-@query("SELECT string_agg('- ' || n_name || ' (' || n_regionkey || ')', chr(10) ORDER BY n_name) AS block FROM nation")
+@query("SELECT string_agg('- ' || n_name || ' (' || n_regionkey || ') — aliases: x' || lower(n_name) || ', ' || r_name, chr(10) ORDER BY n_name) AS block FROM nation JOIN region ON n_regionkey = r_regionkey")
 def catalog_block(spark, sf_dir):
-    n = load(spark, sf_dir, "nation")
-    return n.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n_name", "n_regionkey"))), lambda x: F.concat(F.lit("- "), x["n_name"], F.lit(" ("), x["n_regionkey"].cast("string"), F.lit(")"))), "\n").alias("block"))
+    n = load(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").cast("string").alias("entity_type"))
+    return accounting.catalog(entities(spark, sf_dir).join(n, F.col("entity_id") == F.col("n_nationkey")))
+
+
+TYPED = "e AS (SELECT n_nationkey AS entity_id, ['character','organization','pathway','artifact','location'][n_regionkey + 1] AS entity_type FROM nation), m AS (SELECT c_nationkey AS entity_id, o_orderkey AS chunk_id FROM orders JOIN customer ON o_custkey = c_custkey)"
+
+
+def typed_entities(spark, sf_dir):
+    kinds = F.array(*map(F.lit, llm_json.ENTITY_TYPES))
+    return load(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("entity_id"), F.col("n_name").alias("canonical_name"), F.get(kinds, F.col("n_regionkey")).alias("entity_type"), F.array(F.lower("n_name")).alias("aliases"))
+
+
+@query(f"WITH {TYPED} SELECT chunk_id, array_to_string(list_sort(list(DISTINCT entity_type)), ',') AS types, list_has_any(list(entity_type), ['character', 'organization']) AS passes FROM m JOIN e USING (entity_id) GROUP BY 1")
+def entity_types(spark, sf_dir):
+    m = load(spark, sf_dir, "orders").join(load(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).select(F.col("c_nationkey").alias("entity_id"), F.col("o_orderkey").alias("chunk_id"))
+    rows = extraction.entity_types(m, typed_entities(spark, sf_dir))
+    return rows.select("chunk_id", F.array_join("types", ",").alias("types"), text.entity_type_gate(F.col("types")).alias("passes"))
+
+
+@query("WITH a AS (SELECT conv_id AS chunk_id, role, text, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS n FROM conversations), x AS (SELECT chunk_id, n AS entity_id, CASE role WHEN 'assistant' THEN 3 WHEN 'user' THEN 2 ELSE 0 END AS rank FROM a WHERE role <> 'system'), h AS (SELECT chunk_id, n AS entity_id FROM a), b AS (SELECT chunk_id, entity_id, max(rank) AS rank FROM x GROUP BY 1, 2) SELECT h.chunk_id, h.entity_id, CASE b.rank WHEN 3 THEN 'speaker' WHEN 2 THEN 'addressee' ELSE 'mentioned' END AS role FROM h LEFT JOIN b USING (chunk_id, entity_id) GROUP BY ALL")
+def mention_merge(spark, sf_dir):
+    n = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn")).cast("long")
+    a = load(spark, sf_dir, "conversations").select(F.col("conv_id").alias("chunk_id"), n.alias("entity_id"), F.when(F.col("role") == "assistant", "speaker").when(F.col("role") == "user", "addressee").alias("role"))
+    return extraction.merge_mentions(a.filter("role is not null"), a.select("chunk_id", "entity_id"))
+
+
+@query("WITH ev AS (SELECT event_id, CASE WHEN value < 50 THEN 'death' ELSE 'meeting' END AS event_type, (SELECT n_name FROM nation WHERE n_nationkey = user_id) AS name FROM events), e AS (SELECT n_nationkey AS entity_id, n_name, ['character','organization','pathway','artifact','location'][n_regionkey + 1] AS t FROM nation) SELECT event_id, event_type, entity_id::BIGINT AS entity_id FROM ev JOIN e ON name = n_name WHERE t = 'character' OR (t = 'organization' AND event_type = 'meeting')")
+def resolved_events(spark, sf_dir):
+    e = load(spark, sf_dir, "events").join(load(spark, sf_dir, "nation"), F.col("user_id") == F.col("n_nationkey"))
+    ev = e.select("event_id", F.when(F.col("value") < 50, "death").otherwise("meeting").alias("event_type"), F.concat(F.lit(" "), F.lower("n_name")).alias("entity_canonical_name"))
+    return extraction.resolve_events(ev, typed_entities(spark, sf_dir)).select("event_id", "event_type", F.col("entity_id").cast("long").alias("entity_id"))
+
+
+@query("SELECT lang AS anchor_id, doc_id AS chunk_id FROM (SELECT d.lang, d.doc_id, row_number() OVER (PARTITION BY d.lang ORDER BY doc_id) AS r FROM documents d WHERE contains(lower(text), 'license')) WHERE r = 1")
+def first_match(spark, sf_dir):
+    d = load(spark, sf_dir, "documents")
+    c = d.select(F.col("lang").alias("book_id"), F.col("doc_id").alias("chapter_num"), F.lit(0).alias("chunk_index"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    anchors = d.groupBy("lang").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).select(F.col("lang").alias("anchor_id"), F.col("lang").alias("book_id"), "lo", "hi", F.lit("LICENSE").alias("needle"))
+    return extraction.first_match(c, anchors).select("anchor_id", "chunk_id")
+
+
+@query("SELECT id AS doc_id, mode FROM (SELECT doc_id AS id, 'keep' AS mode FROM labels JOIN documents USING (doc_id) WHERE contains(text, split_part(text, ' ', 2)) AND split_part(text, ' ', 2) <> '') ")
+def gold_normalise(spark, sf_dir):
+    d = load(spark, sf_dir, "labels").select("doc_id").join(load(spark, sf_dir, "documents"), "doc_id")
+    name = F.coalesce(F.get(F.split("text", " "), F.lit(1)), F.lit(""))
+    g = d.select(F.col("doc_id").alias("chunk_id"), F.lit(0).alias("place"), name.alias("name"), F.lit("speaker").alias("role"), F.col("text").alias("content"), F.lit("").alias("chapter_text")).filter("name <> ''")
+    out = quality.normalise_gold(g, typed_entities(spark, sf_dir))
+    return out.select(F.col("chunk_id").alias("doc_id"), F.col("action").alias("mode"))
 
 
 @query()
@@ -383,9 +587,20 @@ def sessions(spark, sf_dir):
 
 @query()
 def model_events(spark, sf_dir):
+    """Events of a stand-in model that answers with a text's first words, in JSON, as a death of its first word."""
     c = load(spark, sf_dir, "conversations")
-    answer = F.concat(F.lit("```json\n"), F.to_json(F.array(F.struct(F.lit("A").alias("entity_canonical_name"), F.lit("death").alias("event_type"), F.substring("text", 1, 20).alias("snippet")))), F.lit("\n```"))
-    return c.select("conv_id", "turn", F.size(llm_json.parse_events(answer, F.col("text"))).cast("long").alias("n"))
+
+    def model(texts: list[str]) -> list[str]:
+        return ["```json\n" + json.dumps([{"entity_canonical_name": t[:5], "event_type": "death", "snippet": t[:20]}, {"event_type": "odd"}, 3]) + "\n```" for t in texts]
+
+    return c.select("conv_id", "turn", F.size(llm_json.parse_events(models.generate(F.col("text"), model), F.col("text"))).cast("long").alias("n"))
+
+
+@query()
+def search_book(spark, sf_dir):
+    """A question embedded by the stand-in model, over chunks with vectors of the same model."""
+    c = chunks(spark, sf_dir).withColumn("embedding", models.embed(F.col("content")))
+    return retrieval.search_book(c, QUESTION, sorted(POSITION), POSITION).select("chunk_id", "book_id", "score")
 
 
 @query()

@@ -1,47 +1,103 @@
-"""Readers and sinks for text data."""
+"""Readers of text data."""
 
 from __future__ import annotations
 
+import io
+import posixpath
 import re
+import zipfile
+from urllib.parse import unquote
+from xml.etree import ElementTree
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.llm_json import ENTITY_TYPES
 from ..functions.text import chapter_body, chapter_number, section_title
 
 #: Groups whose rows are listed a second time.
 OUTER_DEITY_GROUPS = ["goo", "fod", "ta"]
 
 
-def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True) -> DataFrame:
-    """JSON lines; blank lines and // lines are no data. Strict raises on a bad line, else it is dropped."""
-    lines = spark.read.text(path).filter("trim(value) <> '' and not startswith(trim(value), '//')")
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path).filter("trim(value) <> '' and not startswith(trim(value), '//')")
+
+
+def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = True, number: str | None = None) -> DataFrame:
+    """JSON lines; blank lines and // lines are no data. Strict raises on a bad line, else it is dropped, as are rows whose field ``number`` is none."""
     mode = "FAILFAST" if strict else "PERMISSIVE"
-    rows = lines.select(F.from_json("value", schema if strict else f"{schema}, _bad string", {"mode": mode, "columnNameOfCorruptRecord": "_bad"}).alias("r")).select("r.*")
-    return rows if strict else rows.filter("_bad is null").drop("_bad")
+    rows = _lines(spark, path).select(F.from_json("value", schema if strict else f"{schema}, _bad string", {"mode": mode, "columnNameOfCorruptRecord": "_bad"}).alias("r"), "value")
+    if strict:
+        return rows.select("r.*")
+    rows = rows.filter("r._bad is null")
+    if number:
+        kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json("value"), f"$.{number}", "variant"))
+        rows = rows.filter(F.col(f"r.{number}").isNotNull() & kind.isNotNull() & (kind != "STRING"))
+    return rows.select("r.*").drop("_bad")
 
 
 def jsonl_errors(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Lines that aren't JSON of the schema."""
-    lines = spark.read.text(path).filter("trim(value) <> '' and not startswith(trim(value), '//')")
-    return lines.withColumn("r", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})).filter("r._bad is not null").select("value")
+    return _lines(spark, path).withColumn("r", F.from_json("value", f"{schema}, _bad string", {"columnNameOfCorruptRecord": "_bad"})).filter("r._bad is not null").select("value")
 
 
-def write_jsonl(df: DataFrame, path: str) -> None:
-    df.write.mode("overwrite").json(path)
+ENTITY = "struct<canonical_name:string,entity_type:string,aliases:array<string>,is_spoiler:int,meta:string>"
 
 
 def read_entities(spark: SparkSession, path: str) -> DataFrame:
-    """A JSON document of entities; a repeated canonical_name raises."""
-    schema = "canonical_name string, entity_type string, aliases array<string>, is_spoiler int"
-    rows = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
-    twice = rows.groupBy("canonical_name").count().filter("count > 1").limit(1).collect()
-    if twice:
+    """Entities of a JSON document {"entities": [...]}; meta stays JSON text. A bad document, entity or repeated canonical_name raises."""
+    text = spark.read.text(path, wholetext=True).select(F.from_json("value", f"entities array<{ENTITY}>", {"mode": "FAILFAST"}).alias("d"))
+    rows = text.select(F.explode("d.entities").alias("e")).select("e.*").withColumn("meta", F.coalesce("meta", F.lit("{}")))
+    blank = lambda c: F.coalesce(F.length(c) == 0, F.lit(True))
+    bad = blank(F.col("canonical_name")) | ~F.coalesce(F.col("entity_type").isin(ENTITY_TYPES), F.lit(False)) | ~F.coalesce(F.col("is_spoiler").isin(0, 1), F.lit(False))
+    bad = bad | F.col("aliases").isNull() | F.exists("aliases", blank) | ~F.startswith(F.col("meta"), F.lit("{"))
+    if wrong := rows.filter(F.coalesce(bad, F.lit(True))).limit(1).collect():
+        raise ValueError(f"{wrong[0]['canonical_name']} isn't an entity")
+    if twice := rows.groupBy("canonical_name").count().filter("count > 1").limit(1).collect():
         raise ValueError(f"{twice[0]['canonical_name']} is there twice")
     return rows
 
 
+_documents: dict[tuple[str, str], DataFrame] = {}
+
+
+def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Rows of a JSON document, read once and kept in memory until reset_documents()."""
+    key = (path, schema)
+    if key not in _documents:
+        _documents[key] = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).cache()
+    return _documents[key]
+
+
+def reset_documents() -> None:
+    """Forget all documents that are kept."""
+    while _documents:
+        _documents.popitem()[1].unpersist()
+
+
+def _sections(data: bytes) -> list[str]:
+    """The HTML sections of an EPUB archive, in the order of its spine."""
+    with zipfile.ZipFile(io.BytesIO(data)) as z:
+        tag = lambda e: e.tag.rpartition("}")[2]
+        package = next(e.attrib["full-path"] for e in ElementTree.fromstring(z.read("META-INF/container.xml")).iter() if tag(e) == "rootfile")
+        root, folder = ElementTree.fromstring(z.read(package)), posixpath.dirname(package)
+        files = {e.attrib["id"]: unquote(e.attrib["href"]) for e in root.iter() if tag(e) == "item"}
+        return [z.read(posixpath.normpath(posixpath.join(folder, files[e.attrib["idref"]]))).decode("utf-8", "replace") for e in root.iter() if tag(e) == "itemref"]
+
+
+def read_epub(spark: SparkSession, path: str, book_id: str) -> DataFrame:
+    """(book_id, pos, html) of every section of the EPUB archives under path; extract_chapters() takes them."""
+
+    def run(batches):
+        for b in batches:
+            for data in b.column(0).to_pylist():
+                html = _sections(data)
+                yield pa.RecordBatch.from_arrays([pa.array([book_id] * len(html), pa.string()), pa.array(range(len(html)), pa.int64()), pa.array(html, pa.string())], ["book_id", "pos", "html"])
+
+    return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, "book_id string, pos long, html string")
+
+
 def extract_chapters(sections: DataFrame, check: bool = True) -> DataFrame:
     """(book_id, chapter_num, chapter_title, raw_text) of sections (book_id, html) that are chapters; repeats and gaps raise."""
     title = section_title(F.col("html"))
@@ -149,3 +205,18 @@ def page_body(pages: DataFrame, full: bool = False, most: int = 8000) -> DataFra
 
 def member_type(ns: F.col) -> F.col:
     return F.when(ns == 14, "subcat").when(ns == 6, "file").otherwise("page")
+
+
+def volume_timeline(pages: DataFrame, sections: DataFrame, volume: int) -> DataFrame:
+    """(title, section, body, truncated, section_found): the timeline section of a volume's page, or else the whole page.
+
+    pages (title, text), sections (title, line, index, byteoffset, text); a volume without a page raises.
+    """
+    page = pages.filter(F.regexp_like("title", F.lit(rf"(?i)^Volume[_ ]{volume}:"))).orderBy("title").limit(1)
+    if page.isEmpty():
+        raise ValueError(f"there is no page of volume {volume}")
+    title = page.first()["title"]
+    own = sections.filter((F.col("title") == title) & F.regexp_like("line", F.lit("(?i)timeline"))).orderBy("byteoffset").limit(1)
+    found = page_body(own).select("title", F.col("index").alias("section"), "body", "truncated", F.lit(True).alias("section_found"))
+    whole = page_body(page).select("title", F.lit(None).cast("string").alias("section"), "body", "truncated", F.lit(False).alias("section_found"))
+    return whole if found.isEmpty() else found
