@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aliases, llm_json, models, text
 from .accounting import ROLE_RANKS
+from .quality import drawn
 
 
 def entity_types(mentions: DataFrame, entities: DataFrame) -> DataFrame:
@@ -64,7 +65,6 @@ def first_match(chunks: DataFrame, anchors: DataFrame) -> DataFrame:
 
 def gated_pool(chunks: DataFrame, types: DataFrame, seed: int, pool: int = 500, quota: int = 15) -> DataFrame:
     """quota chunks with a keyword out of a seeded pool of those that mention a character or an organization."""
-    draw = F.crc32(F.concat(F.lit(f"{seed}:"), F.col("chunk_id").cast("string")))
-    typed = chunks.join(types.filter(text.entity_type_gate(F.col("types"))).select("chunk_id"), "chunk_id", "left_semi").withColumn("draw", draw)
+    typed = chunks.join(types.filter(text.entity_type_gate(F.col("types"))).select("chunk_id"), "chunk_id", "left_semi").withColumn("draw", drawn(seed, "chunk_id"))
     drawn = typed.orderBy("draw", "chunk_id").limit(pool)
     return drawn.filter(text.keyword_gate(F.col("content"))).orderBy("draw", "chunk_id").limit(quota)

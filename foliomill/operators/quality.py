@@ -67,7 +67,7 @@ def stratum(books: list[str], book: str = "book_id", chapter: str = "chapter_num
 
 def drawn(seed: int, id_: str) -> Column:
     """A seeded number for each id, the same on every run and cluster."""
-    return F.crc32(F.concat(F.lit(f"{seed}:"), F.col(id_).cast("string")))
+    return F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_).cast("string"))), 1, 8), 16, 10).cast("long")
 
 
 def sample_strata(rows: DataFrame, stratum: str, id_: str, take: int, seed: int) -> DataFrame:

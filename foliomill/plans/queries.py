@@ -346,7 +346,10 @@ def html_title(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", text.section_title(F.col("html")).alias("title"))
 
 
-@query(r"WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(html, chr(13) || chr(10), chr(10)), '(?i)<br\s*/?>', chr(1), 'g'), '(?i)</(?:p|div|h[1-6]|li|blockquote|tr|section|article)>', chr(2) || chr(2), 'g'), '<[^>]+>', '', 'g') AS t FROM pages), u AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&apos;', chr(39)), '&#39;', chr(39)), '[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g') AS t FROM t) SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(translate(t, chr(1) || chr(2), chr(10) || chr(10)), ' *\n *', chr(10), 'g'), '\n{2,}', chr(10) || chr(10), 'g'), '^[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$', '', 'g')) AS body FROM u")
+BODY = r"WITH t AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(replace(HTML, chr(13) || chr(10), chr(10)), '(?i)<br\s*/?>', chr(1), 'g'), '(?i)</(?:p|div|h[1-6]|li|blockquote|tr|section|article)>', chr(2) || chr(2), 'g'), '<[^>]+>', '', 'g') AS t FROM pages), u AS (SELECT page_id, regexp_replace(replace(replace(replace(replace(replace(replace(replace(t, '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '&apos;', chr(39)), '&#39;', chr(39)), '[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g') AS t FROM t), b AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(translate(t, chr(1) || chr(2), chr(10) || chr(10)), ' *\n *', chr(10), 'g'), '\n{2,}', chr(10) || chr(10), 'g'), '^[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$', '', 'g') AS body FROM u)"
+
+
+@query(BODY.replace("HTML", "html") + " SELECT page_id, md5(body) AS body FROM b")
 def html_body(spark, sf_dir):
     return load(spark, sf_dir, "pages").select("page_id", F.md5(text.chapter_body(F.col("html"))).alias("body"))
 
@@ -404,7 +407,7 @@ def smallest_per_group(spark, sf_dir):
     return rollup.smallest(arcs(spark, sf_dir), ["book_id", "arc"], 3).select("chapter_id", "book_id", "arc")
 
 
-@query()
+@query("SELECT stratum, doc_id, draw FROM (SELECT lang AS stratum, doc_id, row_number() OVER (PARTITION BY lang ORDER BY ('0x' || substr(md5('7:' || doc_id), 1, 8))::BIGINT, doc_id) AS draw FROM documents) WHERE draw <= 5")
 def sample_strata(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select(F.col("lang").alias("stratum"), "doc_id")
     return quality.sample_strata(d, "stratum", "doc_id", 5, seed=7)
@@ -462,11 +465,11 @@ def merge_reattribute(spark, sf_dir):
     return counts.join(left.select("entity_id", F.lit(False).alias("there")), "entity_id", "left").select(F.col("entity_id").cast("long").alias("entity_id"), "n", F.col("there").isNull().alias("gone"))
 
 
-@query("SELECT c_custkey AS entity_id FROM customer WHERE NOT (c_mktsegment = 'BUILDING' AND c_acctbal >= 0 AND c_nationkey < 20 AND NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey))")
+@query("SELECT c_custkey AS entity_id FROM customer WHERE NOT (c_mktsegment = 'BUILDING' AND c_acctbal >= 0 AND c_nationkey < 20 AND NOT EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey))")
 def delete_orphans(spark, sf_dir):
     none = F.array().cast("array<string>")
     e = load(spark, sf_dir, "customer").select(F.col("c_custkey").alias("entity_id"), F.when(F.col("c_mktsegment") == "BUILDING", none).otherwise(F.array("c_mktsegment")).alias("aliases"), F.when(F.col("c_acctbal") >= 0, "{}").otherwise('{"owes":true}').alias("meta"), F.when(F.col("c_nationkey") < 20, 0).otherwise(1).alias("is_spoiler"))
-    return maintain.delete_orphans(e, load(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entity_id"))).select("entity_id")
+    return maintain.delete_orphans(e, load(spark, sf_dir, "events").select(F.col("user_id").alias("entity_id"))).select("entity_id")
 
 
 @query("SELECT count(DISTINCT lower(trim(c_mktsegment))) + (SELECT count(*) FROM nation) AS n, count(DISTINCT lower(trim(c_mktsegment))) + (SELECT max(n_nationkey) FROM nation) AS top FROM customer")
@@ -574,15 +577,29 @@ def chunked_pages(spark, sf_dir):
     return chunking.chunk_chapters(p)
 
 
-@query()
+def count_sql(*names: str) -> str:
+    """How often the names stand in a text as whole words; names begin and end with a word character."""
+    return " + ".join(f"len(regexp_extract_all(text, '\\b{n.replace('.', chr(92) + '.')}\\b'))" for n in names)
+
+
+ALIASES = [("the", 1), ("of the", 2), ("License", 3), ("MIT License", 4), ("de la", 5), ("de", 6)]
+LONGER = {"the": "of the", "License": "MIT License", "de": "de la"}  # what masks a shorter name
+ALIAS_COUNTS = " UNION ALL ".join(f"SELECT doc_id AS chunk_id, {k}::BIGINT AS entity_id, ({count_sql(n)}{' - (' + count_sql(LONGER[n]) + ')' if n in LONGER else ''})::BIGINT AS n FROM documents" for n, k in ALIASES)
+
+
+@query(f"SELECT * FROM ({ALIAS_COUNTS}) WHERE n > 0")
 def alias_scan(spark, sf_dir):
     d = load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
-    return aliases.scan_aliases(d, [("the", 1), ("of the", 2), ("License", 3), ("MIT License", 4), ("de la", 5), ("de", 6)])
+    return aliases.scan_aliases(d, ALIASES)
 
 
-@query()
+HITS = f"({count_sql(*aliases.CODENAMES)} - ({count_sql('Miss Justice', 'The Justice')}))"
+
+
+@query(f"WITH h AS (SELECT doc_id AS chunk_id, coalesce({HITS}, 0) AS n, coalesce(regexp_matches(text, 'above the [Gg]r[ae]y [Ff]og'), false) AS fog, coalesce(contains(text, 'Tarot Club'), false) AS club, coalesce(regexp_matches(text, '(?i)\\b(?:today[''’]s )?gathering\\b'), false) AS met FROM documents) SELECT chunk_id, n > 1 OR fog OR club AS in_session, concat_ws(',', CASE WHEN fog THEN 'above-the-Grey-Fog' END, CASE WHEN club THEN 'Tarot-Club-named' END, CASE WHEN met THEN 'gathering-mention' END, CASE WHEN n > 1 THEN n || '-codenames-in-use' WHEN n = 1 THEN '1-codename-in-use' END) AS cues FROM h")
 def sessions(spark, sf_dir):
-    return aliases.detect_sessions(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")))
+    found = aliases.detect_sessions(load(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content")))
+    return found.withColumn("cues", F.array_join("cues", ","))
 
 
 @query()
@@ -603,7 +620,7 @@ def search_book(spark, sf_dir):
     return retrieval.search_book(c, QUESTION, sorted(POSITION), POSITION).select("chunk_id", "book_id", "score")
 
 
-@query()
+@query(BODY.replace("HTML", "('<h1>Chapter ' || (page_id + 1) || ': t</h1>' || html)") + ", n AS (SELECT (page_id + 1)::INT AS chapter_num, 'Chapter ' || (page_id + 1) || ': t' AS chapter_title, body FROM b) SELECT chapter_num, chapter_title, md5(regexp_replace(body, '^(?:' || chapter_title || '\\s*)+', '')) AS body FROM n")
 def section_chapters(spark, sf_dir):
     p = load(spark, sf_dir, "pages").select(F.lit("b").alias("book_id"), F.concat(F.lit("<h1>Chapter "), F.col("page_id") + 1, F.lit(": t</h1>"), "html").alias("html"))
     return readers.extract_chapters(p).select("chapter_num", "chapter_title", F.md5("raw_text").alias("body"))
