@@ -8,12 +8,13 @@
 5. encode: pieces of every document, decoded again as a proof.
 
 Defined cases are those of the operators: a null text counts as empty (stage 1 rejects it), rows with a null
-doc_id are never duplicates, and other columns are carried along.
+doc_id are never duplicates, and other columns are carried along, whatever their names; the last stage gives doc_id and
+its pieces. An empty table gives empty stages.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.llm.decontamination import find_items
@@ -30,9 +31,15 @@ def _others(docs: DataFrame) -> tuple[str, ...]:
     return tuple(c for c in docs.columns if c not in ("doc_id", "text"))
 
 
+def _restored(docs: DataFrame, text: Column) -> list[Column]:
+    """The columns of docs, from rows that carry them."""
+    own = {"doc_id": F.col("doc_id"), "text": text}
+    return [own.get(c, F.col(f"carried.`{c}`")).alias(c) for c in docs.columns]
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = predict(spark, docs, fit(spark, docs), _others(docs))
-    return rows.filter(F.col("lang_pred") != UNKNOWN).select(*docs.columns)
+    return rows.filter(F.col("lang_pred") != UNKNOWN).select(*_restored(docs, F.col("text")))
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,11 +49,13 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     rows = dedup_substrings(spark, docs, window=WINDOW, carry=_others(docs))
-    rows = rows.filter("n_removed = 0 or n_removed < n_words").withColumn("text", F.when(F.col("n_removed") > 0, F.col("kept_text")).otherwise(F.col("text")))
+    cut = F.col("n_removed") > 0
+    text = F.when(cut, F.col("kept_text")).otherwise(F.col("text"))
+    columns = _restored(docs, text)
     if "n_chars" in docs.columns:
-        length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        rows = rows.withColumn("n_chars", F.when(F.col("n_removed") > 0, length).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+        length = F.length(text).cast(docs.schema["n_chars"].dataType)
+        columns[docs.columns.index("n_chars")] = F.when(cut, length).otherwise(F.col("carried.n_chars")).alias("n_chars")
+    return rows.filter("n_removed = 0 or n_removed < n_words").select(*columns)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .words import release
-from .workspace import small_batches
+from .workspace import carried, small_batches, struct
 
 FEATURES = 1 << 15
 ORDERS = 3
@@ -137,14 +137,13 @@ def _score(langs: list[str], logs):
 
 
 def predict(spark: SparkSession, docs: DataFrame, model: tuple[list[str], np.ndarray], carry: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, text, lang_pred and score of every row, then the columns named in carry."""
+    """doc_id, text, lang_pred and score of every row, and a struct ``carried`` of the columns named in carry, whatever their names."""
     small_batches(spark)
     langs, logs = model
     shared = spark.sparkContext.broadcast(logs)
-    more = "".join(f", carried_{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
-    rows = docs.select("doc_id", F.col("text").cast("string"), *[F.col(c).alias(f"carried_{c}") for c in carry])
-    out = rows.mapInArrow(_score(langs, shared), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, text string, lang_pred string, score double{more}")
-    return out.withColumnsRenamed({f"carried_{c}": c for c in carry})
+    rows = docs.select("doc_id", F.col("text").cast("string"), *carried(carry))
+    kinds = [("doc_id", rows.schema["doc_id"].dataType), ("text", "string"), ("lang_pred", "string"), ("score", "double"), *[("carried", rows.schema["carried"].dataType) for _ in carry[:1]]]
+    return rows.mapInArrow(_score(langs, shared), struct(kinds))
 
 
 def fold() -> F.col:

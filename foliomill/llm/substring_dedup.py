@@ -5,7 +5,8 @@ hash among the word shingles inside it: equal windows have equal hashes, and nei
 theirs, so that a run holds about one entry for five windows. The index is a list of immutable runs,
 Parquet tables of (fp, doc_id) sorted by fp. Each new batch becomes a run, which is merge-joined with
 the runs before it; hashes met in two documents are kept as candidates, and the runs are compacted
-when there are more than ``max_runs``. Candidates are then verified: the windows under a candidate
+when there are more than ``max_runs``. An index at a path of its own stays and can be opened again: later calls
+join their documents with its runs, given the earlier documents to verify against. Candidates are then verified: the windows under a candidate
 hash get 128-bit digests, and a window is removed if its digest starts in a smaller doc_id. A whole text
 that a smaller doc_id has too needs no digests: all its windows start there.
 
@@ -27,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .words import Hasher, Words, as_bytes, chunks, release, signed, sliding_min
-from .workspace import Workspace, small_batches
+from .workspace import Workspace, carried, small_batches, struct
 
 WINDOW = 13
 SHINGLE = 5
@@ -73,10 +74,12 @@ def postings(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> D
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, doc_id)."""
+    """Sorted immutable runs of (fp, doc_id) under a path; a path that has runs is opened with them."""
 
-    def __init__(self, ws: Workspace, max_runs: int = MAX_RUNS):
-        self.ws, self.max_runs, self.runs, self.made = ws, max_runs, {}, 0
+    def __init__(self, spark: SparkSession, path: str, max_runs: int = MAX_RUNS):
+        self.ws, self.max_runs = Workspace(spark, "index", path), max_runs
+        self.runs = {n: spark.read.schema(POSTING).parquet(f"{path}/{n}") for n in sorted(self.ws.tables(), key=lambda n: int(n[3:]))}
+        self.made = max([int(n[3:]) + 1 for n in self.runs], default=0)
 
     def _write(self, df: DataFrame) -> None:
         name = f"run{self.made}"
@@ -97,7 +100,7 @@ class FingerprintIndex:
         return own.join(old, "fp", "left").filter("lo < hi or old_lo is not null").select("fp")
 
     def compact(self) -> None:
-        """Merge all runs into one if there are more than max_runs."""
+        """Merge all runs into one if there are more than max_runs. Old runs go when the new one is whole; postings met twice change nothing."""
         if len(self.runs) > self.max_runs:
             old = list(self.runs)
             merged = self.all()
@@ -185,37 +188,44 @@ def later_copies(ws: Workspace, docs: DataFrame) -> DataFrame:
     return ws.write(alone.join(first, "digest").filter("doc_id > first").select("doc_id"), "copies")
 
 
-def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, max_runs: int = MAX_RUNS, carry: tuple[str, ...] = ()) -> DataFrame:
-    """One row per document: doc_id, text, n_words, n_removed, kept_text (kept words joined by one space), then the columns named in carry."""
+def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, max_runs: int = MAX_RUNS, carry: tuple[str, ...] = (), index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
+    """One row per document: doc_id, text, n_words, n_removed, kept_text (kept words joined by one space), and a struct ``carried`` of the columns named in carry.
+
+    With an index of its own, calls build on each other: docs are then the next documents in ascending doc_id, and history
+    holds (doc_id, text) of all that the index has. Calls one after the other give the rows of one call for all.
+    """
     small_batches(spark)
     ws = Workspace(spark, "substrings")
     shingle = min(SHINGLE, window)
     cuts = sorted(set(docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / batches for i in range(1, batches)], 0.02))) if batches > 1 else []
-    index, shared = FingerprintIndex(ws, max_runs), []
+    own = FingerprintIndex(spark, f"{ws.path}/index", max_runs) if index is None else index
+    shared = []
     for i in range(len(cuts) + 1):  # ascending doc_id: history holds only smaller ones
         part = docs
         if i:
             part = part.filter(F.col("doc_id") > int(cuts[i - 1]))
         if i < len(cuts):
             part = part.filter(F.col("doc_id") <= int(cuts[i]))
-        shared.append(ws.write(index.add(postings(part, window, shingle)), f"shared{i}"))
-    index.compact()
+        shared.append(ws.write(own.add(postings(part, window, shingle)), f"shared{i}"))
+        own.compact()
     both = functools.reduce(DataFrame.unionAll, shared).distinct()
-    wanted = ws.write(index.all().join(both, "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "wanted")
-    ws.drop(*index.runs)
-    copies = later_copies(ws, docs)
+    wanted = ws.write(own.all().join(both, "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "wanted")
+    if index is None:
+        own.ws.drop(*own.runs)
     narrow = docs.select("doc_id", F.col("text").cast("string"))
+    if history is not None:
+        narrow = narrow.unionByName(history.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), F.col("text").cast("string")))
+    copies = later_copies(ws, narrow)
     found = narrow.join(wanted.join(copies, "doc_id", "left_anti"), "doc_id").select(F.col("doc_id").cast("long"), "text", "fps").mapInArrow(_digests(window, shingle), "h1 long, h2 long, doc_id long")
     found = ws.write(found, "digests")
     first = ws.write(found.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("h1", "h2", "first"), "first")
     flagged = ws.write(found.join(first, ["h1", "h2"]).filter("doc_id > first").groupBy("doc_id").agg(F.collect_set(F.struct("h1", "h2")).alias("windows")), "flagged")
     flagged = flagged.withColumn("copy", F.lit(False)).unionAll(copies.select(F.col("doc_id").cast("long"), F.lit(None).cast(flagged.schema["windows"].dataType), F.lit(True)))
     ws.drop("digests", "first", "wanted")
-    rows = docs.select("doc_id", F.col("text").cast("string"), *[F.col(c).alias(f"carried_{c}") for c in carry]).join(flagged, "doc_id", "left")
-    kinds = ", ".join(f"carried_{c} {docs.schema[c].dataType.simpleString()}" for c in carry)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    out = rows.select("doc_id", "text", "windows", F.coalesce("copy", F.lit(False)).alias("copy"), *[f"carried_{c}" for c in carry]).mapInArrow(_cut(window), f"doc_id {kind}, text string, n_words long, n_removed long, kept_text string" + (f", {kinds}" if carry else ""))
-    return out.withColumnsRenamed({f"carried_{c}": c for c in carry})
+    rows = docs.select("doc_id", F.col("text").cast("string"), *carried(carry)).join(flagged, "doc_id", "left")
+    rows = rows.select("doc_id", "text", "windows", F.coalesce("copy", F.lit(False)).alias("copy"), *(["carried"] if carry else []))
+    kinds = [("doc_id", rows.schema["doc_id"].dataType), ("text", "string"), ("n_words", "long"), ("n_removed", "long"), ("kept_text", "string"), *[("carried", rows.schema["carried"].dataType) for _ in carry[:1]]]
+    return rows.mapInArrow(_cut(window), struct(kinds))
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

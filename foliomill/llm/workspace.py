@@ -5,7 +5,9 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
@@ -35,6 +37,19 @@ def small_batches(spark: SparkSession) -> None:
         spark.conf.set(BATCH, str(BATCH_BYTES))
 
 
+def carried(names: tuple[str, ...]) -> list[Column]:
+    """The columns of these names as one struct, so that they can't clash with an operator's own; none for no names."""
+    return [F.struct(*[F.col(f"`{n}`") for n in names]).alias("carried")] if names else []
+
+
+def struct(fields: list[tuple]) -> StructType:
+    """A schema of (name, type)."""
+    out = StructType()
+    for name, kind in fields:
+        out.add(name, kind)
+    return out
+
+
 class Workspace:
     """Named Parquet tables of one operator call.
 
@@ -43,9 +58,17 @@ class Workspace:
     at once, so that disk holds the largest step and not the sum of all.
     """
 
-    def __init__(self, spark: SparkSession, name: str):
+    def __init__(self, spark: SparkSession, name: str, path: str | None = None):
         self.spark = spark
-        self.path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+        self.path = path or f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+    def tables(self) -> list[str]:
+        """Names of the tables that are whole."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
+        return [n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return the table as read back."""
