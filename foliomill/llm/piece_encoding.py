@@ -341,9 +341,20 @@ def _encode(shared):
     return run
 
 
+#: Texts that show a model's normaliser, dummy prefix and treatment of white space.
+PROBES = ["", "a", " a", "a  b ", "Hello, World", "\ufb01 \u2460 \uff21", "e\u0301\n\tx", "\u2581 \U0001f600"]
+
+
 @functools.cache
 def vocabulary(path: str) -> Vocabulary:
-    return Vocabulary(path)
+    """The tables of a model file; a model whose normaliser or kind isn't the one built here raises."""
+    import sentencepiece
+
+    v = Vocabulary(path)
+    ids, edge = Encoder(v).encode(PROBES)
+    if [ids[a:b].tolist() for a, b in itertools.pairwise(edge.tolist())] != sentencepiece.SentencePieceProcessor(model_file=path).encode(PROBES):
+        raise ValueError(f"{path} normalises or splits texts in a way that isn't built here")
+    return v
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, path: str) -> DataFrame:
