@@ -6,7 +6,7 @@ order. Automata run from each place where a text has one of a template's first w
 acceptance counts. Words are ASCII letters and digits (A-Z lower-cased) and all other non-ASCII bytes.
 
 Base labels are plain phrases, found at every place where their words stand consecutively. Templates
-add labels of their own (names that end in ``-notice`` or ``-text``). The score is the share of a text's
+add labels of their own: short notices (``-notice``) and whole licence texts or headers (``-text``). The score is the share of a text's
 words that lie in an accepted phrase or template.
 
 Defined cases: null counts as empty text: no words, no labels, score 0; ties and repeated rows each get
@@ -31,17 +31,22 @@ PHRASES = {
     "cc by": "cc-by",
     "mit license": "mit",
 }
+AS_IS = "this software is provided by {12} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {12} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+BSD_HEAD = "redistribution and use [[of this software]] in source and binary forms with or without modification are permitted [[subject to the limitations in the disclaimer below]] provided that the following conditions are met [[{1}]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[{1}]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+#: Short notices, and whole texts of licences: what must be said, what may be, and what names stand for.
 TEMPLATES = {
     "apache-notice": "licensed under [[the terms of]] the apache license version {2}",
     "cc-by-notice": "licensed under [[a]] [[the]] [[creative commons]] cc by [[nc]] [[sa]] [[nd]] {2}",
     "gpl-notice": "licensed under the [[terms of the]] gnu [[lesser]] [[affero]] general public license [[as published by the free software foundation]] version {1}",
     "mit-notice": "[[released]] [[licensed]] [[distributed]] under the [[terms of the]] mit license",
-    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of {6} and associated documentation files",
-    "bsd-text": "redistribution and use in source and binary forms with or without modification are permitted [[subject to the limitations in the disclaimer below]] provided that the following conditions are met",
-    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted",
     "spdx-notice": "spdx license identifier {3}",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {8} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "bsd-2-clause-text": f"{BSD_HEAD} {AS_IS}",
+    "bsd-3-clause-text": f"{BSD_HEAD} [[{{1}}]] neither the name of {{12}} nor the names of {{4}} contributors may be used to endorse or promote products derived from this software without specific prior written permission {AS_IS}",
+    "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and {4} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {4} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "apache-header-text": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {8} unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    "gpl-header-text": "free software you can redistribute it and or modify it under the terms of the gnu [[lesser]] [[affero]] general public license as published by the free software foundation [[either]] version {1} of the license [[or at your option any later version]] {6} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu [[lesser]] [[affero]] general public license for more details",
 }
-LABEL = {w: label for w, label in PHRASES.items()}
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 
