@@ -2,6 +2,8 @@
 
 Each record is its own gzip member. The reader decompresses incrementally, frames records by their
 Content-Length and checks the payload digest of every response; a block that doesn't match raises.
+Every record has an id of its own; that of a response which others revisit is made from its page_id and digest, so that
+they can refer to it. page_ids are in fields of their own. ``unresolved`` finds revisits without their response.
 Tasks write files of about ``ROLL_BYTES`` under unique names into the shared folder and report them;
 the manifest of reported files is itself a written table, so that a retried task's leftovers aren't read.
 
@@ -32,6 +34,7 @@ MIN_REVISIT = 100
 ROLL_BYTES = 32 << 20
 LEVEL = 6
 READ_BYTES = 1 << 20
+MOST_TASKS = 100_000
 DATE = "2020-01-01T00:00:00Z"
 RECORD = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
@@ -40,15 +43,21 @@ class WarcError(ValueError):
     """An archive that isn't framed as announced or whose payload doesn't have its digest."""
 
 
-def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, is_revisit: bool) -> bytes:
-    """One gzip member. A revisit has the HTTP head of its payload but no body."""
+def record_id(page_id: int, digest: str) -> str:
+    """The id of the one response of that page and payload that others revisit."""
+    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}:{digest}')}>"
+
+
+def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, is_revisit: bool, shared: bool = False) -> bytes:
+    """One gzip member. A revisit has the HTTP head of its payload but no body; shared: other records refer to this one."""
     digest = hashlib.sha256(payload).hexdigest()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if is_revisit else http + payload
     head = [
         "WARC/1.1",
         f"WARC-Type: {'revisit' if is_revisit else 'response'}",
-        f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>",
+        f"WARC-Record-ID: {record_id(page_id, digest) if shared else f'<{uuid.uuid4().urn}>'}",
+        f"Page-ID: {'' if page_id is None else page_id}",
         f"WARC-Date: {DATE}",
         "WARC-Target-URI: " + (re.sub(r"[\x00-\x20\x7f]", lambda m: f"%{ord(m[0]):02X}", url) if url else "urn:page"),
         f"WARC-Payload-Digest: sha256:{digest}",
@@ -56,7 +65,7 @@ def encode_record(page_id: int | None, url: str | None, payload: bytes, refers_t
         f"Content-Length: {len(block)}",
     ]
     if is_revisit:
-        head += [f"WARC-Refers-To: <urn:page:{refers_to}>", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+        head += [f"WARC-Refers-To: {record_id(refers_to, digest)}", f"Refers-To-Page-ID: {refers_to}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
     pack = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
     return pack.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + pack.flush()
 
@@ -90,16 +99,19 @@ def read_records(read) -> Iterator[dict]:
         if not version.startswith("WARC/") or rest[length:] != b"\r\n\r\n":
             raise WarcError("a record isn't framed by its Content-Length")
         _, http, payload = _head(rest[:length])
-        digest, page = fields["warc-payload-digest"].removeprefix("sha256:"), fields["warc-record-id"][len("<urn:page:") : -1]
+        digest, page = fields["warc-payload-digest"].removeprefix("sha256:"), fields["page-id"]
         revisit = fields["warc-type"] == "revisit"
         if not revisit and (len(payload) != int(http["content-length"]) or hashlib.sha256(payload).hexdigest() != digest):
             raise WarcError(f"the payload of page {page} doesn't have its digest")
+        if revisit and fields["warc-refers-to"] != record_id(int(fields["refers-to-page-id"]), digest):
+            raise WarcError(f"page {page} refers to another payload than its own")
         yield {
+            "record_id": fields["warc-record-id"],
             "page_id": int(page) if page else None,
             "payload_bytes": int(http["content-length"]),
             "payload_digest": digest,
             "record_type": fields["warc-type"],
-            "refers_to": int(fields["warc-refers-to"][len("<urn:page:") : -1]) if revisit else None,
+            "refers_to": int(fields["refers-to-page-id"]) if revisit else None,
             "url": fields["warc-target-uri"],
             "payload": None if revisit else payload,
         }
@@ -121,7 +133,7 @@ def _write(folder: str):
                     store, path = _store(name)
                     store.create_dir(path.rpartition("/")[0], recursive=True)
                     out = store.open_output_stream(path)
-                data = encode_record(row["page_id"], row["url"], (row["html"] or "").encode(), row["refers_to"], row["revisit"])
+                data = encode_record(row["page_id"], row["url"], (row["html"] or "").encode(), row["refers_to"], row["revisit"], row["shared"])
                 out.write(data)
                 size, n = size + len(data), n + 1
                 if size >= ROLL_BYTES:
@@ -173,13 +185,21 @@ def write_archives(spark: SparkSession, pages: DataFrame, min_revisit: int = MIN
         records = plain.unionByName(twice.filter("twice").withColumn("number", number))
         revisit = F.col("page_id").isNotNull() & ((F.col("page_id") != F.col("first")) | (F.col("number") > 1))
         records = records.withColumn("revisit", F.coalesce(F.col("first").isNotNull() & revisit, F.lit(False)))
-    records = records.select("page_id", "url", "html", F.when(F.col("revisit"), F.col("first")).alias("refers_to"), "revisit")
+    shown = F.col("first").isNotNull() & ~F.col("revisit") & F.col("page_id").isNotNull()
+    records = records.select("page_id", "url", "html", F.when(F.col("revisit"), F.col("first")).alias("refers_to"), "revisit", shown.alias("shared"))
     return ws.write(records.mapInArrow(_write(f"{ws.path}/archives"), "path string, records long, bytes long"), "manifest")
 
 
 def read_archives(manifest: DataFrame) -> DataFrame:
-    """The records of all archives of a manifest, without their payloads."""
-    return manifest.select("path").repartition("path").mapInArrow(_read, RECORD)
+    """The records of all archives of a manifest, without their payloads: a task for each file, ``MOST_TASKS`` at most."""
+    files = manifest.count()
+    return manifest.select("path").repartition(max(1, min(files, MOST_TASKS)), "path").mapInArrow(_read, RECORD)
+
+
+def unresolved(records: DataFrame) -> DataFrame:
+    """Revisits whose response isn't among the records, or has another payload."""
+    there = records.filter("record_type = 'response'").select(F.col("page_id").alias("refers_to"), "payload_digest", "payload_bytes").distinct()
+    return records.filter("record_type = 'revisit'").join(there, ["refers_to", "payload_digest", "payload_bytes"], "left_anti")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
