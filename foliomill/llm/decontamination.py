@@ -5,11 +5,11 @@ an item is found in a document that holds at least 80 % of its shingles. Items a
 (powers of two of their shingle count). Each partition samples from its items the bottom-k shingle hashes (their
 MinHash sketch): k is one more than the shingles that a match may lack in the partition's largest item, which
 makes the search exact, up to ``SAMPLES``, where a match is missed with probability 0.2 ** SAMPLES.
-A document that holds a sampled hash is a candidate, if it is large enough; candidates are verified on the
-shingles themselves. Items with fewer than 5 words are searched with shingles of all their words.
+A document that holds a sampled hash is a candidate, if it has as many shingles as a match of that item needs; candidates
+are verified on the shingles themselves. Items with fewer than 5 words are searched with shingles of all their words.
 
-Benchmark tables of up to ``FEW`` items are probed as a literal set inside the scan; larger ones by a shuffled
-join of the documents' hashes. Items are broadcast only if they are few and their shingles take ``FEW_BYTES`` at most. Pairs are a written table of ids, joined with the texts of candidates only.
+The documents' hashes are joined with the sampled ones: by a broadcast of these for up to ``FEW`` items (``FEW * SAMPLES``
+hashes), by a shuffle for more. Items are broadcast only if they are few and their shingles take ``FEW_BYTES`` at most. Pairs are a written table of ids, joined with the texts of candidates only.
 
 Defined cases: null counts as empty text; texts without a word match nothing, as do items without one; rows
 with equal doc_id are one document if any of them matches; equal item_ids likewise; rows with a null id are
@@ -52,15 +52,15 @@ def _candidates(docs: DataFrame, items: DataFrame, k: int, percent: int, few: in
     """(doc_id, item_id) of documents that hold a sampled hash of an item."""
     lack = lambda n: F.floor((100 - percent) * n / 100)
     size = F.floor(F.log2(F.col("n")))
-    sampled = items.select("item_id", F.least(F.lit(SAMPLES), lack(F.pow(F.lit(2), size + 1) - 1) + 1).cast("int").alias("k"), F.sort_array(F.array_distinct("hashes")).alias("hashes"))
-    sampled = sampled.select("item_id", F.explode(F.slice("hashes", F.lit(1), F.col("k"))).alias("hash"))
-    wide = docs.select("doc_id", hashes(F.col("words"), k).alias("hashes"))
+    need = (F.col("n") - lack(F.col("n"))).alias("need")
+    sampled = items.select("item_id", need, F.least(F.lit(SAMPLES), lack(F.pow(F.lit(2), size + 1) - 1) + 1).cast("int").alias("k"), F.sort_array(F.array_distinct("hashes")).alias("hashes"))
+    sampled = sampled.select("item_id", "need", F.explode(F.slice("hashes", F.lit(1), F.col("k"))).alias("hash"))
+    wide = docs.withColumn("places", F.size("words") - (k - 1)).filter("places > 0")
+    side = F.arrays_zip(*[F.slice("words", F.lit(j + 1), F.col("places")).alias(f"w{j}") for j in range(k)])
+    met = wide.select("doc_id", "places", F.explode(side).alias("s")).select("doc_id", "places", F.xxhash64(*[f"s.w{j}" for j in range(k)]).alias("hash"))
     if items.limit(few + 1).count() <= few:  # at most few * SAMPLES hashes
-        probe = F.array(*[F.lit(r["hash"]) for r in sampled.select("hash").distinct().collect()]).cast("array<bigint>")
-        met = wide.select("doc_id", F.explode(F.array_intersect("hashes", probe)).alias("hash"))
-        return met.join(F.broadcast(sampled), "hash").select("doc_id", "item_id").distinct()
-    met = wide.select("doc_id", F.explode(F.array_distinct("hashes")).alias("hash"))
-    return met.join(sampled, "hash").select("doc_id", "item_id").distinct()
+        sampled = F.broadcast(sampled)
+    return met.join(sampled, "hash").filter("places >= need").select("doc_id", "item_id").distinct()
 
 
 def _small(items: DataFrame, few: int) -> bool:
@@ -96,20 +96,18 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_items(spark, spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-OP9_SQL = r"""
-WITH d AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM documents
-), i AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '') AS w FROM benchmark
-), ds AS (
-  SELECT DISTINCT doc_id, array_to_string(w[p : p + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS p FROM d WHERE len(w) >= 5)
-), si AS (
-  SELECT DISTINCT item_id, array_to_string(w[p : p + 4], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 3)) AS p FROM i WHERE len(w) >= 5)
-), n AS (
-  SELECT item_id, count(*) AS n_shingles FROM si GROUP BY 1
-), m AS (
-  SELECT doc_id, item_id, count(*) AS n_found FROM ds JOIN si USING (s) GROUP BY 1, 2
-)
+def _sql() -> str:
+    split = r"list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda x: x <> '')"
+    grams = lambda t, k, when: f"SELECT DISTINCT id, {k} AS k, array_to_string(w[p : p + {k - 1}], ' ') AS s FROM (SELECT id, w, unnest(range(1, len(w) - {k - 2})) AS p FROM {t} WHERE {when})"
+    ds = " UNION ALL ".join(grams("d", k, f"len(w) >= {k} AND {k} IN (SELECT least({SHINGLE}, len(w)) FROM i)") for k in range(1, SHINGLE + 1))
+    si = " UNION ALL ".join(grams("i", k, f"least({SHINGLE}, len(w)) = {k}") for k in range(1, SHINGLE + 1))
+    return f"""
+WITH d AS (SELECT doc_id AS id, {split} AS w FROM documents), i AS (SELECT item_id AS id, {split} AS w FROM benchmark),
+ds AS ({ds}), si AS ({si}), n AS (SELECT id, count(*) AS n_shingles FROM si GROUP BY 1),
+m AS (SELECT ds.id AS doc_id, si.id AS item_id, count(*) AS n_found FROM ds JOIN si USING (k, s) GROUP BY 1, 2)
 SELECT doc_id, item_id, n_shingles, n_found, n_found::DOUBLE / n_shingles AS containment
-FROM m JOIN n USING (item_id) WHERE n_found * 100 >= n_shingles * 80
+FROM m JOIN n ON n.id = item_id WHERE n_found * 100 >= n_shingles * {PERCENT}
 """
+
+
+OP9_SQL = _sql()
