@@ -67,10 +67,28 @@ def test_op1(spark, odd, none, window, batches):
                 gone |= set(range(i, i + window))
         want.append((d, len(w), len(gone), b" ".join(x for i, x in enumerate(w) if i not in gone).decode()))
     assert sorted(want, key=repr) == sorted(((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out), key=repr)
-    assert all(r["fp"] in ("x", None) for r in out)
+    assert all(r["carried"]["fp"] in ("x", None) for r in out)
     assert substring_dedup.dedup_substrings(spark, none).count() == 0
 
 
+@pytest.mark.parametrize("max_runs", [1, 5])
+def test_op1_index_that_stays(spark, tmp_path, max_runs):
+    """Three calls on one index, opened anew each time, give the rows of one call for all."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randint(0, 40)}"
+    shared = [[word() for _ in range(20)] for _ in range(4)]
+    rows = [(i, " ".join([word() for _ in range(rng.randint(0, 30))] + rng.choice(shared) + [word() for _ in range(rng.randint(0, 30))])) for i in range(90)]
+    docs = spark.createDataFrame([*rows, (95, rows[3][1])], "doc_id long, text string")
+    digest = lambda out: sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out.collect())
+    want, got = digest(substring_dedup.dedup_substrings(spark, docs)), []
+    for lo, hi in ((0, 30), (30, 60), (60, 100)):
+        index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"), max_runs)
+        part, before = docs.filter(f"doc_id >= {lo} and doc_id < {hi}"), docs.filter(f"doc_id < {lo}")
+        got += digest(substring_dedup.dedup_substrings(spark, part, batches=1, index=index, history=before))
+    assert sorted(got) == want and sum(r[2] for r in want) > 0
+    assert len(substring_dedup.FingerprintIndex(spark, str(tmp_path / "index")).runs) == min(max_runs, 3)
+
+
 def test_op2(spark, odd, none):
     out = fingerprints.compare_neighbours(spark, odd).collect()
     docs = pairs(odd)
@@ -276,11 +294,37 @@ def test_op6(spark, odd, none):
         assert (r["n_words"], r["n_base"], r["first_word"], r["last_word"]) == (len(w), len(at), min(at, default=None), max(at, default=None))
         assert r["base_labels"] == ",".join(sorted({x for _, x in places}))
         assert set(filter(None, r["base_labels"].split(","))) <= set(r["labels"].split(",")) and 0 <= r["score"] <= 1
-    full = license_scan.scan_batch([b"Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files", b"permission was hereby granted free of charge"])
-    assert full[0]["labels"] == "mit-text" and full[1]["labels"] == ""
+    whole = re.sub(r"\[\[.*?\]\]|\{\d+\}", "somebody", license_scan.TEMPLATES["mit-text"]).replace("somebody to deal", "to deal").replace("notice somebody shall", "notice shall")
+    full = license_scan.scan_batch([whole.upper().encode(), whole.replace("sublicense", "rent").encode(), b"before " + whole.encode() + b" after"])
+    assert full[0]["labels"] == "mit-text" and full[0]["score"] == 1 and full[1]["labels"] == "" and full[2]["labels"] == "mit-text" and 0.98 < full[2]["score"] < 1
     assert license_scan.license_scan(none).count() == 0
 
 
+def as_pattern(template):
+    """The template as a regular expression over words that each end in a space."""
+    out = re.sub(r"\{(\d+)\}", r"(?:[^ ]+ ){1,\1}", re.sub(r"([a-z0-9]+) ?(?![0-9]*\})", r"\1 ", template))
+    return re.compile(out.replace("[[", "(?:").replace("]] ", ")?").replace("]]", ")?").replace("} (", "}(").replace("} ", "}"))
+
+
+def test_op6_automata():
+    """Longest acceptances against regular expressions, on filled-in and damaged templates."""
+    rng = random.Random(13)
+    for name, template in license_scan.TEMPLATES.items():
+        automaton, pattern = license_scan.Automaton(template), as_pattern(template)
+        accepted = 0
+        for i in range(60):
+            filled = re.sub(r"\[\[(.*?)\]\]", lambda m: m[1] if rng.random() < 0.5 else "", template)
+            filled = re.sub(r"\{(\d+)\}", lambda m: " ".join(rng.choice(["x", "the", "1"]) for _ in range(rng.randint(1, int(m[1])))), filled)
+            words = filled.split() + ["and", "more"]
+            if i % 3 == 2:
+                words[rng.randrange(len(words))] = "damage"
+            want = max((len(m[0].split()) for m in [pattern.match("".join(w + " " for w in words))] if m), default=0)
+            got = automaton.longest([w.encode() for w in words], 0)
+            accepted += got > 0
+            assert (got > 0) == (want > 0) and got >= want, (name, words)
+        assert accepted >= 40
+
+
 def test_op7(spark, odd, none):
     from tokenizers import Tokenizer
 
@@ -301,7 +345,9 @@ def test_op8(spark):
     same = "<p>" + "x" * 120
     rows = [(5, "http://a", same, 1), (3, None, same, 1), (4, "http://b c", same, 1), (3, None, same, 1), (7, "u", "short", 1), (8, "u", "short", 1), (9, "u", None, 1), (None, "u", same, 1), (10, "u", "ü\r\n\r\n" * 9000, 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest long")
-    out = warc.read_archives(warc.write_archives(spark, pages)).collect()
+    records = warc.read_archives(warc.write_archives(spark, pages))
+    out = records.collect()
+    assert warc.unresolved(records).count() == 0 and warc.unresolved(records.filter("record_type = 'revisit'")).count() == 3
     got = sorted(((r["page_id"], r["record_type"], r["refers_to"]) for r in out), key=repr)
     want = [(5, "revisit", 3), (3, "response", None), (3, "revisit", 3), (4, "revisit", 3), (7, "response", None), (8, "response", None), (9, "response", None), (None, "response", None), (10, "response", None)]
     assert got == sorted(want, key=repr)
@@ -316,6 +362,12 @@ def test_op8_framing():
 
     good = warc.encode_record(1, "u", b"abc" * 100, None, False) + warc.encode_record(2, "u", b"abc" * 100, 1, True)
     assert [r["record_type"] for r in warc.read_records(io.BytesIO(good).read)] == ["response", "revisit"]
+    twice = warc.encode_record(1, "u", b"a", None, False) + warc.encode_record(1, "u", b"a", None, False) + warc.encode_record(3, "u", b"b", None, False, shared=True)
+    read = list(warc.read_records(io.BytesIO(twice).read))
+    assert len({r["record_id"] for r in read}) == 3 and read[2]["record_id"] == warc.record_id(3, hashlib.sha256(b"b").hexdigest())
+    wrong = zlib.decompress(warc.encode_record(2, "u", b"abc" * 100, 1, True), 31).replace(b"Refers-To-Page-ID: 1", b"Refers-To-Page-ID: 7")
+    with pytest.raises(warc.WarcError):
+        list(warc.read_records(io.BytesIO(zlib.compress(wrong, wbits=31)).read))
     with pytest.raises(warc.WarcError):
         list(warc.read_records(io.BytesIO(good[:-9]).read))
     data = zlib.decompress(good, 31).replace(b"abcabc", b"abdabc", 1)
@@ -367,6 +419,7 @@ def test_op10(spark, odd, none):
     assert language_id.predict(spark, none, model).count() == 0
     blank = language_id.fit(spark, none)
     assert {r["lang_pred"] for r in language_id.predict(spark, odd, blank).collect()} == {"und"}
+    assert language_id.predict(spark, odd, model, carry=("n_chars", "copy")).filter("carried.copy").count() == odd.filter("copy").count()
     assert math.isclose(sum(math.exp(x) for x in model[1][:-1, 0]), 1, rel_tol=1e-6)
 
 
@@ -386,3 +439,20 @@ def test_pipeline(spark, odd):
     clean = p.decontaminate(spark, one, sf)
     assert clean.count() == one.count() and clean.columns == docs.columns
     assert p.encode(spark, clean, sf).filter("not round_trip").count() == 0
+
+
+OUTPUTS = ["lang_pred", "score", "n_words", "n_removed", "kept_text", "carried", "windows", "copy", "component_id", "n_shingles", "item_id", "containment", "n_found", "h1", "fp"]
+
+
+def test_pipeline_on_clashing_columns_and_empty_tables(spark, odd, none):
+    """Every stage on a table with the names of all outputs, and on an empty one."""
+    import corpus_pipeline as p
+
+    sf = "/root/testdata/sf0.001"
+    docs = odd.filter("doc_id is not null").limit(8).select("doc_id", "text", "n_chars", "lang", *[F.lit(f"own {c}").alias(c) for c in OUTPUTS])
+    for name, stage in p.STAGES:
+        out, bare = stage(spark, docs, sf), stage(spark, none.select("doc_id", "text", "n_chars", "lang"), sf)
+        assert bare.count() == 0, name
+        if name != "encode":
+            assert out.columns == docs.columns and bare.columns == ["doc_id", "text", "n_chars", "lang"]
+            assert all(r[c] == f"own {c}" for r in out.collect() for c in OUTPUTS), name
