@@ -66,5 +66,5 @@ def first_match(chunks: DataFrame, anchors: DataFrame) -> DataFrame:
 def gated_pool(chunks: DataFrame, types: DataFrame, seed: int, pool: int = 500, quota: int = 15) -> DataFrame:
     """quota chunks with a keyword out of a seeded pool of those that mention a character or an organization."""
     typed = chunks.join(types.filter(text.entity_type_gate(F.col("types"))).select("chunk_id"), "chunk_id", "left_semi").withColumn("draw", drawn(seed, "chunk_id"))
-    drawn = typed.orderBy("draw", "chunk_id").limit(pool)
-    return drawn.filter(text.keyword_gate(F.col("content"))).orderBy("draw", "chunk_id").limit(quota)
+    candidates = typed.orderBy("draw", "chunk_id").limit(pool)
+    return candidates.filter(text.keyword_gate(F.col("content"))).orderBy("draw", "chunk_id").limit(quota)
