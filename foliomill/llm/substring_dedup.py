@@ -10,8 +10,9 @@ join their documents with its runs, given the earlier documents to verify agains
 hash get 128-bit digests, and a window is removed if its digest starts in a smaller doc_id. A whole text
 that a smaller doc_id has too needs no digests: all its windows start there.
 
-Skew: hashes are joined, never gathered; first and last document of a hash are pre-aggregated before
-the shuffle, and the joins read written tables, so that AQE splits a hot hash.
+Skew: hashes are joined, never gathered. A run has one key row for a hash, pre-aggregated before the shuffle, and
+the postings of a hot hash lie in ``PARTS`` buckets. The number of buckets is the session's number of shuffle
+partitions when the index is made.
 
 Defined cases: null text has no words. Rows with a null doc_id neither match nor are matched. Rows
 with equal doc_id are one document when windows are compared, and each gets its own result row.
@@ -21,6 +22,7 @@ Texts shorter than a window keep every word. An empty table gives an empty resul
 from __future__ import annotations
 
 import functools
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,10 @@ WINDOW = 13
 SHINGLE = 5
 BATCHES = 2
 MAX_RUNS = 1
+PARTS = 16
 POSTING = "fp long, doc_id long"
+KEYS = ("fp long, mask int, twice boolean", ["fp"])
+POSTINGS = ("fp long, doc_id long, part int", ["fp", "part"])
 
 
 @functools.cache
@@ -74,39 +79,54 @@ def postings(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> D
 
 
 class FingerprintIndex:
-    """Sorted immutable runs of (fp, doc_id) under a path; a path that has runs is opened with them."""
+    """Runs of sorted buckets under a path; a path that has runs is opened with them. Runs that a lost driver left unfinished go."""
 
     def __init__(self, spark: SparkSession, path: str, max_runs: int = MAX_RUNS):
         self.ws, self.max_runs = Workspace(spark, "index", path), max_runs
-        self.runs = {n: spark.read.schema(POSTING).parquet(f"{path}/{n}") for n in sorted(self.ws.tables(), key=lambda n: int(n[3:]))}
-        self.made = max([int(n[3:]) + 1 for n in self.runs], default=0)
+        found = self.ws.tables()
+        runs = sorted((int(r[1]), int(r[2])) for n, whole in found.items() if whole and (r := n.split("_"))[0] == "keys")
+        self.buckets = runs[0][1] if runs else int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.made = runs[-1][0] + 1 if runs else 0
+        self.runs = {i: (self.ws.open_buckets(self._name("keys", i), KEYS[0], self.buckets, KEYS[1]), self.ws.open_buckets(self._name("postings", i), POSTINGS[0], self.buckets, POSTINGS[1])) for i, _ in runs}
+        self.ws.drop(*{n for n in found if n.startswith(("keys_", "postings_"))} - {self._name(k, i) for i in self.runs for k in ("keys", "postings")})
 
-    def _write(self, df: DataFrame) -> None:
-        name = f"run{self.made}"
-        self.made += 1
-        self.runs[name] = self.ws.write(df.repartition(F.col("fp")).sortWithinPartitions("fp", "doc_id"), name)
+    def _name(self, kind: str, run: int) -> str:
+        return f"{kind}_{run}_{self.buckets}"
 
-    def all(self) -> DataFrame:
-        return functools.reduce(DataFrame.unionAll, self.runs.values())
+    def _write(self, postings: DataFrame, keys: Callable[[DataFrame], DataFrame]) -> None:
+        """Postings first: a run whose keys are whole is whole."""
+        run, self.made = self.made, self.made + 1
+        rows = self.ws.write_buckets(postings, self._name("postings", run), self.buckets, POSTINGS[1])
+        self.runs[run] = self.ws.write_buckets(keys(rows), self._name("keys", run), self.buckets, KEYS[1]), rows
+
+    def drop(self, *runs: int) -> None:
+        self.ws.drop(*[self._name(kind, i) for kind in ("keys", "postings") for i in runs])
 
     def add(self, batch: DataFrame) -> DataFrame:
-        """Append a batch of postings as a run; return the hashes it shares with another document."""
-        history = self.all() if self.runs else None
-        self._write(batch)
-        own = list(self.runs.values())[-1].groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-        if history is None:
-            return own.filter("lo < hi").select("fp")
-        old = history.groupBy("fp").agg(F.min("doc_id").alias("old_lo"))
-        return own.join(old, "fp", "left").filter("lo < hi or old_lo is not null").select("fp")
+        """Append a batch of postings as a run; return (fp, mask) of the hashes it shares with another document, mask over all runs."""
+        history = [keys.select("fp", F.col("mask").alias(f"mask{i}")) for i, (keys, _) in self.runs.items()]
+        batch = batch.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
+        stats = (F.expr("bit_or(shiftleft(1, part))").alias("mask"), (F.min("doc_id") < F.max("doc_id")).alias("twice"))
+        self._write(batch.repartition(self.buckets, "fp", "part"), lambda rows: rows.groupBy("fp").agg(*stats))
+        own = self.runs[self.made - 1][0]
+        masks = [f"mask{i}" for i in list(self.runs)[:-1]]
+        for old in history:
+            own = own.join(old, "fp", "left")
+        shared = own.filter(" or ".join(["twice", *[f"{m} is not null" for m in masks]]))
+        return shared.select("fp", F.expr(" | ".join(["mask", *[f"coalesce({m}, 0)" for m in masks]])).alias("mask"))
+
+    def holders(self, shared: DataFrame) -> DataFrame:
+        """(doc_id, fp) of all documents that hold the hashes of (fp, mask)."""
+        at = shared.select("fp", F.explode(F.expr(f"filter(sequence(0, {PARTS - 1}), p -> (mask & shiftleft(1, p)) <> 0)")).alias("part"))
+        return functools.reduce(DataFrame.unionAll, [rows.join(at, ["fp", "part"]).select("doc_id", "fp") for _, rows in self.runs.values()])
 
     def compact(self) -> None:
         """Merge all runs into one if there are more than max_runs. Old runs go when the new one is whole; postings met twice change nothing."""
         if len(self.runs) > self.max_runs:
-            old = list(self.runs)
-            merged = self.all()
-            self.runs = {}
-            self._write(merged)
-            self.ws.drop(*old)
+            keys, rows = (functools.reduce(DataFrame.unionAll, tables) for tables in zip(*self.runs.values(), strict=True))
+            old, self.runs = list(self.runs), {}
+            self._write(rows.distinct(), lambda _: keys.groupBy("fp").agg(F.expr("bit_or(mask)").alias("mask"), F.expr("bool_or(twice)").alias("twice")))
+            self.drop(*old)
 
 
 def _digests(window: int, shingle: int):
@@ -208,10 +228,10 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
             part = part.filter(F.col("doc_id") <= int(cuts[i]))
         shared.append(ws.write(own.add(postings(part, window, shingle)), f"shared{i}"))
         own.compact()
-    both = functools.reduce(DataFrame.unionAll, shared).distinct()
-    wanted = ws.write(own.all().join(both, "fp").groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "wanted")
+    both = functools.reduce(DataFrame.unionAll, shared).groupBy("fp").agg(F.expr("bit_or(mask)").alias("mask"))
+    wanted = ws.write(own.holders(both).groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "wanted")
     if index is None:
-        own.ws.drop(*own.runs)
+        own.drop(*own.runs)
     narrow = docs.select("doc_id", F.col("text").cast("string"))
     if history is not None:
         narrow = narrow.unionByName(history.select(F.col("doc_id").cast(docs.schema["doc_id"].dataType), F.col("text").cast("string")))

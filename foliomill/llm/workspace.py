@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Set while a table is written: shuffle files go with their step, and buckets of one file count as sorted.
+SETTINGS = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.legacy.bucketedTableScan.outputOrdering")
 BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
 BATCH_BYTES = 8 << 20
 _own: str | None = None
@@ -62,28 +65,51 @@ class Workspace:
         self.spark = spark
         self.path = path or f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def tables(self) -> list[str]:
-        """Names of the tables that are whole."""
+    def tables(self) -> dict[str, bool]:
+        """Names of the tables, and whether each is whole."""
         jvm = self.spark._jvm
         root = jvm.org.apache.hadoop.fs.Path(self.path)
         fs = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
         names = [s.getPath().getName() for s in fs.listStatus(root)] if fs.exists(root) else []
-        return [n for n in names if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS"))]
+        return {n: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")) for n in names}
+
+    @contextlib.contextmanager
+    def _set(self) -> Iterator[None]:
+        kept = {k: self.spark.conf.get(k, "false") for k in SETTINGS}
+        for k in SETTINGS:
+            self.spark.conf.set(k, "true")
+        try:
+            yield
+        finally:
+            for k, v in kept.items():
+                self.spark.conf.set(k, v)
 
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write df and return the table as read back."""
-        kept = self.spark.conf.get(CLEANUP, "false")
-        self.spark.conf.set(CLEANUP, "true")
-        try:
+        with self._set():
             df.write.mode("overwrite").parquet(f"{self.path}/{name}")
-        finally:
-            self.spark.conf.set(CLEANUP, kept)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{name}")
 
+    def write_buckets(self, df: DataFrame, name: str, n: int, by: list[str]) -> DataFrame:
+        """Write df in n buckets sorted by the columns they are made of, so that joins and groups by these columns shuffle nothing."""
+        with self._set():
+            df.write.format("parquet").bucketBy(n, *by).sortBy(*by).option("path", f"{self.path}/{name}").saveAsTable(self._table(name))
+        return self.spark.table(self._table(name))
+
+    def open_buckets(self, name: str, schema: str, n: int, by: list[str]) -> DataFrame:
+        """The table that write_buckets made, perhaps in another session."""
+        keys = ", ".join(by)
+        self.spark.sql(f"CREATE TABLE IF NOT EXISTS {self._table(name)} ({schema}) USING parquet CLUSTERED BY ({keys}) SORTED BY ({keys}) INTO {n} BUCKETS LOCATION '{self.path}/{name}'")
+        return self.spark.table(self._table(name))
+
+    def _table(self, name: str) -> str:
+        return f"spark_catalog.default.t{uuid.uuid5(uuid.NAMESPACE_URL, self.path).hex}_{name}"
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later step reads."""
         jvm = self.spark._jvm
         for name in names:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._table(name)}")
             path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
             path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
