@@ -102,7 +102,8 @@ def chapter_body(html: Column, title: Column | None = None) -> Column:
     t = trim(F.regexp_replace(F.regexp_replace(t, " *\n *", "\n"), "\n{2,}", "\n\n"))
     if title is None:
         return t
-    quoted = F.concat(F.lit(r"^(?:\Q"), title, F.lit(rf"\E{SPACE}*)+"))
+    plain = F.regexp_replace(title, r"([\\^$.|?*+()\[\]{}])", r"\\$1")  # the title as a pattern of itself
+    quoted = F.concat(F.lit("^(?:"), plain, F.lit(rf"{SPACE}*)+"))
     return F.when(F.length(title) > 0, trim(F.regexp_replace(t, quoted, F.lit("")))).otherwise(t)
 
 
@@ -155,8 +156,22 @@ def verbatim(snippet: Column, text: Column) -> Column:
 
 
 def longest_span(name: Column, text: Column) -> Column:
-    """Longest run of the name's words, leftmost first, that the text holds; common titles don't count alone."""
+    """Longest run of the name's words, leftmost first, that the text holds; common titles don't count alone.
+
+    One run is made and looked for at a time, numbered from the longest, until one is found: a fold over the numbers, which
+    does nothing once it has an answer.
+    """
     words = F.filter(F.split(name, f"{SPACE}+"), lambda w: w != "")
+
+    def look(held: Column, k: Column) -> Column:
+        w, n = held["words"], F.size(held["words"])
+        d = F.floor((F.sqrt(8 * k + 1) - 1) / 2).cast("int")  # d words less than all: run k is number k - d (d + 1) / 2 of d + 1
+        run = F.array_join(F.slice(w, k - F.floor(d * (d + 1) / 2).cast("int") + 1, n - d), " ")
+        good = F.contains(held["text"], run) & ~F.regexp_like(run, F.lit(TITLE_WORD_PATTERN))
+        found = F.when(held["found"].isNotNull(), held["found"]).when(good, run)
+        return F.struct(w.alias("words"), held["text"].alias("text"), found.alias("found"))
+
     n = F.size(words)
-    spans = F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), lambda d: F.transform(F.sequence(F.lit(1), d + 1), lambda s: F.array_join(F.slice(words, s, n - d), " "))))
-    return F.when(n > 0, F.get(F.filter(spans, lambda s: F.contains(text, s) & ~F.regexp_like(s, F.lit(TITLE_WORD_PATTERN))), F.lit(0)))
+    start = F.struct(words.alias("words"), text.alias("text"), F.lit(None).cast("string").alias("found"))
+    numbers = F.sequence(F.lit(0), F.floor(n * (n + 1) / 2).cast("int") - 1)
+    return F.when(n > 0, F.aggregate(numbers, start, look, lambda held: held["found"]))

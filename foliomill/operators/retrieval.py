@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -11,14 +14,16 @@ from ..functions.models import Embed, hash_embedding
 from ..functions.text import query_tokens
 
 CANDIDATES, K, FUSION = 20, 8, 60
-BLOCK = 4096
+BLOCK_BYTES = 16 << 20
+TILE = 256
 PI2_6 = 1.64493406685
 
 
 def cosine_distance(a: Column, b: Column) -> Column:
-    """In double; for arrays of any equal length."""
+    """In double. Null, which is never near, where a vector is null, zero or not finite, or where the two differ in length."""
     dot = lambda x, y: F.aggregate(F.zip_with(x, y, lambda p, q: p.cast("double") * q.cast("double")), F.lit(0.0), lambda s, v: s + v)
-    return F.lit(1.0) - dot(a, b) / (F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    far = F.lit(1.0) - F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
+    return F.when((F.size(a) == F.size(b)) & ~F.isnan(far), far)
 
 
 def within(rows: DataFrame, ceilings: dict[str, int | None], book: str = "book_id", chapter: str = "chapter_num") -> DataFrame:
@@ -36,10 +41,10 @@ def ranked(rows: DataFrame, by: list[Column], n: int) -> DataFrame:
 
 
 def dense(rows: DataFrame, query: list[float], n: int = CANDIDATES, id_: str = "chunk_id") -> DataFrame:
-    """(id, distance, rank) of the nearest rows by their embedding; rows without one aren't near."""
-    q = F.array(*[F.lit(float(x)) for x in query])
+    """(id, distance, rank) of the nearest rows by their embedding; rows without a distance (see cosine_distance) aren't near."""
+    q = F.array(*[F.lit(float(x)) for x in query]).cast("array<double>")
     near = rows.filter("embedding is not null").select(id_, (F.round(cosine_distance(F.col("embedding"), q), 6) + F.lit(0.0)).alias("distance"))
-    return ranked(near, [F.col("distance"), F.col(id_)], n)
+    return ranked(near.filter("distance is not null"), [F.col("distance"), F.col(id_)], n)
 
 
 def _is(token: str):
@@ -94,42 +99,83 @@ def search_book(chunks: DataFrame, question: str, books: list[str], position: di
     return found.orderBy(F.desc("score"), "chunk_id")
 
 
-def _nearest(ids: np.ndarray, vectors: np.ndarray, n: int):
-    """(query_id, chunk_id, distance): the n nearest rows of each Arrow batch to each query of a block."""
-    units = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+def units(vectors: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the vectors of that size that have a direction, and these as rows of length 1."""
+    lengths = vectors.value_lengths().to_numpy(zero_copy_only=False)
+    at = np.flatnonzero(lengths == size)
+    flat = vectors.take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), size)
+    norm = np.linalg.norm(flat, axis=1)
+    good = np.isfinite(norm) & (norm > 0)
+    return at[good], flat[good] / norm[good, None]
+
+
+def nearest(keys: np.ndarray, rows: np.ndarray, ids: np.ndarray, queries: np.ndarray, n: int) -> Iterator[pa.RecordBatch]:
+    """(query_id, chunk_id, distance): the n nearest of these rows to each of these queries, and what ties with the last of them.
+
+    Taken in tiles of TILE queries and rows, so that the products of a task stay within a few MB.
+    """
+    for lo in range(0, len(queries), TILE):
+        q, own = queries[lo : lo + TILE], []
+        for at in range(0, len(rows), TILE * 8):
+            far = np.round(1 - q @ rows[at : at + TILE * 8].T, 6) + 0.0
+            m = min(n, far.shape[1])
+            x, y = np.nonzero(far <= np.partition(far, m - 1, axis=1)[:, m - 1 : m])
+            own.append((ids[lo + x], keys[at + y], far[x, y]))
+        if own:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*own, strict=True)], ["query_id", "chunk_id", "distance"])
 
+
+def _search(shared, n: int):
     def run(batches):
+        ids, queries = shared.value
         for b in batches:
-            if not len(b):
-                continue
-            keys = b.column(0).to_numpy(zero_copy_only=False)
-            rows = b.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(b), -1)
-            far = np.round(1 - units @ (rows / np.linalg.norm(rows, axis=1, keepdims=True)).T, 6) + 0.0
-            m = min(n, len(b))
-            edge = np.partition(far, m - 1, axis=1)[:, m - 1 : m]
-            q, r = np.nonzero(far <= edge)  # ties at the edge too; the window over all batches decides
-            yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(keys[r]), pa.array(far[q, r])], ["query_id", "chunk_id", "distance"])
+            at, rows = units(b.column(1), queries.shape[1])
+            if len(at):
+                yield from nearest(b.column(0).to_numpy(zero_copy_only=False)[at], rows, ids, queries, n)
 
     return run
 
 
-def batched_dense(rows: DataFrame, queries: DataFrame, n: int = CANDIDATES, block: int = BLOCK) -> DataFrame:
+def checked(queries: DataFrame) -> tuple[int, int]:
+    """How many queries (query_id, query) there are, and their size. Ids that repeat or are null, or several sizes, raise."""
+    r = queries.agg(F.count("*").alias("n"), F.count_distinct("query_id").alias("ids"), F.min(F.size("query")).alias("least"), F.max(F.size("query")).alias("most")).first()
+    if r["n"] != r["ids"]:
+        raise ValueError("each query needs an id of its own")
+    if r["n"] and r["least"] != r["most"]:
+        raise ValueError(f"queries have {r['least']} to {r['most']} dimensions")
+    return r["n"], r["most"] or 0
+
+
+def query_blocks(queries: DataFrame, block: int | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, unit vectors) of the queries in blocks of about BLOCK_BYTES; null and zero queries are near to nothing."""
+    n, size = checked(queries.filter("query is not null"))
+    blocks = max(1, -(-n // (block or max(1, BLOCK_BYTES // (8 * max(size, 1))))))
+    for i in range(blocks if size > 0 else 0):
+        own = queries.filter("query is not null").filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).orderBy("query_id").select(F.col("query_id").cast("long"), F.col("query").cast("array<double>")).toArrow()
+        at, vectors = units(own.column(1).combine_chunks(), size)
+        if len(at):
+            yield own.column(0).to_numpy()[at], vectors
+
+
+def first_n(found: list[DataFrame], n: int, like: DataFrame) -> DataFrame:
+    """(query_id, chunk_id, distance, rank): the n nearest of each query."""
+    if not found:
+        return like.sparkSession.createDataFrame([], "query_id long, chunk_id long, distance double, rank long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
+    return functools.reduce(DataFrame.unionByName, found).withColumn("rank", rank).filter(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("long"))
+
+
+def batched_dense(rows: DataFrame, queries: DataFrame, n: int = CANDIDATES, block: int | None = None) -> DataFrame:
     """(query_id, chunk_id, distance, rank) of a stated set of queries (query_id, query) against all rows.
 
-    The set is taken in blocks of about ``block`` queries, so that what a task holds doesn't grow with it: each block
-    is one pass over the rows as matrix products, of which a task keeps the nearest of each Arrow batch.
+    The set is broadcast in blocks of a bounded size: each is one pass over the rows as matrix products, of which a task keeps the
+    nearest of each Arrow batch. Vectors without a direction, or of another size, are near to nothing, as in ``dense``.
     """
-    found, blocks = None, max(1, -(-queries.count() // block))
-    for i in range(blocks):
-        own = queries.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i).orderBy("query_id").collect()
-        if own:
-            run = _nearest(np.array([r["query_id"] for r in own]), np.array([r["query"] for r in own], np.float64), n)
-            part = rows.filter("embedding is not null").select(F.col("chunk_id").cast("long"), "embedding").mapInArrow(run, "query_id long, chunk_id long, distance double")
-            found = part if found is None else found.unionByName(part)
-    if found is None:
-        return queries.select("query_id", F.lit(0).cast("long").alias("chunk_id"), F.lit(0.0).alias("distance"), F.lit(0).cast("long").alias("rank")).limit(0)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "chunk_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= n).withColumn("rank", F.col("rank").cast("long"))
+    sc, found = rows.sparkSession.sparkContext, []
+    for own in query_blocks(queries, block):
+        part = rows.filter("embedding is not null").select(F.col("chunk_id").cast("long"), F.col("embedding").cast("array<double>"))
+        found.append(part.mapInArrow(_search(sc.broadcast(own), n), "query_id long, chunk_id long, distance double"))
+    return first_n(found, n, rows)
 
 
 def batched_sparse(rows: DataFrame, questions: dict[str, list[str]], n: int = CANDIDATES) -> DataFrame:

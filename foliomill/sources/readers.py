@@ -59,21 +59,33 @@ def read_entities(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
-_documents: dict[tuple[str, str], DataFrame] = {}
+_documents: dict[tuple[str, str, str], tuple[int, DataFrame]] = {}
+
+
+def _changed(spark: SparkSession, path: str) -> int:
+    """When what is at path was last changed."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    return max([s.getModificationTime() for s in [fs.getFileStatus(p), *fs.listStatus(p)]])
 
 
 def read_document(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Rows of a JSON document, read once and kept in memory until reset_documents()."""
-    key = (path, schema)
-    if key not in _documents:
-        _documents[key] = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).cache()
-    return _documents[key]
+    """Rows of a JSON document, read once by a session and kept in memory until reset_documents() or until the document changes."""
+    key, now = (spark.sparkContext.applicationId, path, schema), _changed(spark, path)
+    if key in _documents and _documents[key][0] == now:
+        return _documents[key][1]
+    if key in _documents:
+        _documents.pop(key)[1].unpersist()
+    for k in [k for k in _documents if k[0] != key[0]]:
+        del _documents[k]  # of a session that has ended
+    _documents[key] = now, spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path).cache()
+    return _documents[key][1]
 
 
 def reset_documents() -> None:
     """Forget all documents that are kept."""
     while _documents:
-        _documents.popitem()[1].unpersist()
+        _documents.popitem()[1][1].unpersist()
 
 
 def _sections(data: bytes) -> list[str]:

@@ -272,7 +272,7 @@ def test_sinks(spark, tmp_path):
     rows = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3)], "book_id string, n long")
     assert sinks.refresh(rows, at("t"), "book_id") == 3
     assert sinks.refresh(spark.createDataFrame([("a", 9)], "book_id string, n long"), at("t"), "book_id") == 1
-    assert sorted((r["book_id"], r["n"]) for r in spark.read.parquet(at("t")).collect()) == [("a", 9), ("b", 3)]
+    assert sorted((r["book_id"], r["n"]) for r in sinks.refreshed(spark, at("t"), "book_id").collect()) == [("a", 9), ("b", 3)]
     sinks.append(rows, at("u"))
     sinks.append(rows, at("u"))
     assert spark.read.parquet(at("u")).count() == 6
