@@ -8,9 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import aliases, chunking, llm_json, models, text
-from ..operators import accounting, extraction, maintain, quality, retrieval, rollup
-from ..sources import readers
+from ..functions import aliases, chunking, llm_json, models, stem, text
+from ..operators import accounting, extraction, fulltext, maintain, quality, retrieval, rollup, vectors
+from ..sources import readers, shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -125,6 +125,56 @@ def rrf_batched(spark, sf_dir):
     return retrieval.batched_hybrid(chunks(spark, sf_dir), asked(spark, sf_dir), QUESTIONS)
 
 
+LEXEMES = f"w AS (SELECT doc_id, unnest({ALL}) AS word FROM documents), n AS (SELECT doc_id, word, count(*) AS c FROM w GROUP BY 1, 2), v AS ({stem.stem_sql('SELECT DISTINCT word FROM n')}), p AS (SELECT doc_id, lexeme, sum(c)::BIGINT AS n FROM n JOIN v USING (word) GROUP BY 1, 2), a AS ({stem.stem_sql('SELECT unnest([' + ','.join(repr(w) for w in ASKED) + ']) AS word')})"
+STEMMED = f"{LEXEMES}, s AS (SELECT chunk_id, score, row_number() OVER (ORDER BY score DESC, chunk_id) AS rank FROM (SELECT doc_id AS chunk_id, round(sum(list_sum(list_transform(range(1, n + 1), lambda j: 0.1::DOUBLE / (j * j)))) / 1.64493406685 / 3.0, 9) AS score FROM p JOIN documents USING (doc_id) JOIN a USING (lexeme) WHERE {WITHIN.replace('book_id', 'source')} GROUP BY 1) ORDER BY rank LIMIT 20)"
+
+
+def text_index(spark, sf_dir) -> fulltext.FullTextIndex:
+    """An index of documents, made in two batches."""
+    index = fulltext.FullTextIndex(spark, shared.place(spark, "fulltext"), keep=("book_id", "chapter_num"))
+    c = chunks(spark, sf_dir).select("chunk_id", "content", "book_id", "chapter_num")
+    for batch in (0, 1):
+        index.add(c.filter(F.pmod("chunk_id", F.lit(2)) == batch), str(batch))
+    return index
+
+
+@query(f"WITH {STEMMED} SELECT * FROM s")
+def fulltext_search(spark, sf_dir):
+    return text_index(spark, sf_dir).search(fulltext.lexemes(spark, QUESTION), where=WITHIN.replace("n_chars", "chapter_num"))
+
+
+@query(f"WITH {STEMMED}, {READ}, {Q0}, {DENSE}, {FUSED} SELECT chunk_id, score FROM f")
+def fulltext_hybrid(spark, sf_dir):
+    near = retrieval.dense(retrieval.within(chunks(spark, sf_dir), POSITION), first_vector(spark, sf_dir))
+    return text_index(spark, sf_dir).hybrid(near, QUESTION, 8, WITHIN.replace("n_chars", "chapter_num"))
+
+
+@query(f"WITH {LEXEMES} SELECT lexeme, count(*) AS chunks, sum(n)::BIGINT AS n FROM p WHERE NOT list_contains({STOP}, lexeme) AND lexeme NOT IN (SELECT lexeme FROM v WHERE list_contains({STOP}, word)) GROUP BY 1")
+def lexeme_counts(spark, sf_dir):
+    """Chunks and occurrences of each lexeme; without those that a stopword shares."""
+    d = chunks(spark, sf_dir)
+    stopped = stem.with_stem(spark.createDataFrame([(w,) for w in text.STOPWORDS], "word string")).select("lexeme").distinct()
+    rows = fulltext.postings(d).groupBy("lexeme").agg(F.count("*").alias("chunks"), F.sum("n").alias("n"))
+    return rows.join(F.broadcast(stopped), "lexeme", "left_anti")
+
+
+def vector_index(spark, sf_dir) -> vectors.VectorIndex:
+    return vectors.VectorIndex.build(chunks(spark, sf_dir), shared.place(spark, "vectors"))
+
+
+@query(f"WITH {CHUNKS}, {BATCH} SELECT query_id, chunk_id, distance, rank FROM dl")
+def vector_index_exact(spark, sf_dir):
+    """Every 50th vector against all cells of the index: the exact search."""
+    return vector_index(spark, sf_dir).batched(asked(spark, sf_dir), probes=vectors.ALL)
+
+
+@query(f"WITH {CHUNKS}, {BATCH} SELECT count(*) AS wanted, true AS enough FROM dl")
+def vector_index_recall(spark, sf_dir):
+    """Whether the index, some cells of it, finds nine of ten of the exact search's nearest of every 50th vector."""
+    found = vector_index(spark, sf_dir).recall(chunks(spark, sf_dir), asked(spark, sf_dir))
+    return found.agg(F.sum("wanted").alias("wanted"), (F.sum("found") >= 0.9 * F.sum("wanted")).alias("enough"))
+
+
 @query(f"WITH {CHUNKS}, {BATCH}, e AS (SELECT vec_id AS query_id, n_chars // 500 AS chapter FROM embeddings JOIN documents ON vec_id = doc_id WHERE vec_id % 50 = 0) SELECT query_id, count(*) FILTER (WHERE n_chars // 500 = chapter) AS hits FROM dl JOIN k USING (chunk_id) JOIN e USING (query_id) GROUP BY 1")
 def retrieval_hits(spark, sf_dir):
     chapter = F.floor(F.col("chapter_num") / 500)

@@ -16,6 +16,12 @@ def _path(spark: SparkSession, path: str):
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
 
 
+def paths(spark: SparkSession, path: str) -> list[str]:
+    """Names of what is at path; none if there is nothing."""
+    fs, p = _path(spark, path)
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
+
+
 def append(df: DataFrame, path: str) -> None:
     """Add rows; one write is committed as a whole or not at all."""
     df.write.mode("append").parquet(path)
@@ -72,11 +78,7 @@ def swap(df: DataFrame, path: str) -> int:
 
 def versions(spark: SparkSession, path: str) -> list[int]:
     """Versions of a table that are whole."""
-    fs, p = _path(spark, path)
-    if not fs.exists(p):
-        return []
-    names = [s.getPath().getName() for s in fs.listStatus(p)]
-    return sorted(int(n[8:]) for n in names if n.startswith("version-") and fs.exists(_path(spark, f"{path}/{n}/_SUCCESS")[1]))
+    return sorted(int(n[8:]) for n in paths(spark, path) if n.startswith("version-") and "_SUCCESS" in paths(spark, f"{path}/{n}"))
 
 
 def current(spark: SparkSession, path: str) -> DataFrame:
