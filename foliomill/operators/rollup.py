@@ -5,24 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import ranks
+
 LEVELS = ["chapter", "arc", "volume", "series"]
+BIN = 512
+
+
+def _bin(number: Column, width: int) -> Column:
+    return F.floor(number / width).cast("long")
+
+
+def binned(ranges: DataFrame, width: int) -> DataFrame:
+    """Each range once for each bin of numbers that it touches: (of_book, _bin, lo, hi, other columns)."""
+    own = [c for c in ranges.columns if c not in ("book_id", "range_start", "range_end")]
+    bins = F.when(F.col("range_start") <= F.col("range_end"), F.sequence(_bin(F.col("range_start"), width), _bin(F.col("range_end"), width))).otherwise(F.array().cast("array<bigint>"))
+    return ranges.select(F.col("book_id").alias("of_book"), F.explode_outer(bins).alias("_bin"), F.col("range_start").alias("lo"), F.col("range_end").alias("hi"), *own)
 
 
 def assign_ranges(chapters: DataFrame, ranges: DataFrame, strict: bool = False) -> DataFrame:
     """Chapters with the columns of the range that holds their number (ranges: a few disjoint ones per book).
 
-    An equi join on the book (a null book is a book) with the bounds as its residual, so that each chapter meets the
-    ranges of its own book only. With strict, a chapter in no range raises, whatever is selected or filtered afterwards:
-    each of the range's columns is guarded, since a filter on a plain one would make the join an inner one, and so is the row.
+    An equi join on the book (a null book is a book) and a bin of numbers, with the bounds as its residual: a chapter meets the ranges of
+    its bin only, and a large book is as many keys as it has bins. With strict, a chapter in no range raises, whatever is selected or filtered
+    afterwards: each of the range's columns is guarded, since a filter on a plain one would make the join an inner one, and so is the row.
     """
     own = [c for c in ranges.columns if c not in ("book_id", "range_start", "range_end")]
-    bounds = ranges.select(F.col("book_id").alias("of_book"), F.col("range_start").alias("lo"), F.col("range_end").alias("hi"), *own, F.lit(True).alias("in_range"))
-    holds = F.col("book_id").eqNullSafe(F.col("of_book")) & F.col("chapter_num").between(F.col("lo"), F.col("hi"))
+    bounds = binned(ranges, BIN).filter("_bin is not null").withColumnRenamed("_bin", "of_bin").withColumn("in_range", F.lit(True))
+    holds = F.col("book_id").eqNullSafe(F.col("of_book")) & (_bin(F.col("chapter_num"), BIN) == F.col("of_bin")) & F.col("chapter_num").between(F.col("lo"), F.col("hi"))
     out = chapters.join(bounds, holds, "left" if strict else "inner")
     if strict:
         outside = F.raise_error(F.concat(F.lit("no range holds chapter "), F.col("chapter_num").cast("string")))
         out = out.filter(F.when(F.col("in_range"), F.lit(True)).otherwise(outside)).withColumns({c: F.when(F.col("in_range"), F.col(c)).otherwise(outside) for c in own})
-    return out.drop("of_book", "lo", "hi", "in_range")
+    return out.drop("of_book", "of_bin", "lo", "hi", "in_range")
 
 
 def gaps(chapters: DataFrame) -> DataFrame:
@@ -122,7 +136,10 @@ def plan_next(targets: DataFrame, existing: DataFrame, limit: int | None = None)
 def summary_metadata(summaries: DataFrame, chapters: DataFrame) -> DataFrame:
     """Counts of the distinct volumes, arcs, their names and kinds of the chapters in each summary's range, and meta: JSON that depends on the level."""
     own = ["volume", "volume_name", "arc", "arc_name", "content_kind"]
-    met = summaries.join(chapters.select(F.col("book_id").alias("of_book"), "chapter_num", *own), F.col("book_id").eqNullSafe(F.col("of_book")) & F.col("chapter_num").between(F.col("range_start"), F.col("range_end")), "left")
+    spans = binned(summaries, BIN)
+    held = chapters.select("book_id", _bin(F.col("chapter_num"), BIN).alias("in_bin"), "chapter_num", *own)
+    met = spans.join(held, F.col("book_id").eqNullSafe(F.col("of_book")) & (F.col("in_bin") == F.col("_bin")) & F.col("chapter_num").between(F.col("lo"), F.col("hi")), "left")
+    met = met.drop("book_id").withColumnsRenamed({"of_book": "book_id", "lo": "range_start", "hi": "range_end"})
     main = (F.col("content_kind") == "main") & (F.col("volume") > 0)
     size = lambda c, when=None: F.size(F.collect_set(F.col(c) if when is None else F.when(when, F.col(c)))).cast("long")  # noqa: E731  bounded: numbers and names of volumes, arcs and kinds
     keys = [c for c in ("book_id", "level", "range_start", "range_end", "label", "content") if c in summaries.columns]
@@ -192,5 +209,5 @@ def smallest(rows: DataFrame, group: list[str], n: int, by: str = "chapter_num")
 
 
 def cap_rows(rows: DataFrame, cap: int, by: list[str]) -> DataFrame:
-    """The first cap rows in the order of by; a negative cap is none."""
-    return rows if cap < 0 else rows.orderBy(*by).limit(cap)
+    """The first cap rows in the order of by; a negative cap is none. The rows are ranked where they lie: neither the cap nor the table meets in one task."""
+    return rows if cap < 0 else ranks.first_rows(rows, cap, by)

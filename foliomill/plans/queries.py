@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import aliases, chunking, llm_json, models, stem, text
-from ..operators import accounting, extraction, fulltext, maintain, quality, retrieval, rollup, vectors
+from ..operators import accounting, extraction, fulltext, maintain, quality, ranks, retrieval, rollup, vectors
 from ..sources import readers, shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -32,9 +32,9 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as chapters: a source is a book."""
-    d = load(spark, sf_dir, "documents")
-    n = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).cast("long")
-    return d.select(F.col("doc_id").alias("chapter_id"), F.col("source").alias("book_id"), n.alias("chapter_num"), F.when(F.col("lang") == "en", "main").otherwise("side").alias("content_kind"), "n_chars")
+    d = load(spark, sf_dir, "documents").select("doc_id", "source", F.when(F.col("lang") == "en", "main").otherwise("side").alias("content_kind"), "n_chars")
+    rows = ranks.row_numbers(d, ["source"], ["doc_id"], "chapter_num")
+    return rows.select(F.col("doc_id").alias("chapter_id"), F.col("source").alias("book_id"), "chapter_num", "content_kind", "n_chars")
 
 
 CHAPTERS = "c AS (SELECT doc_id AS chapter_id, source AS book_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS chapter_num, CASE WHEN lang = 'en' THEN 'main' ELSE 'side' END AS content_kind, n_chars FROM documents)"
@@ -239,8 +239,9 @@ def ranges(spark, chapters: DataFrame) -> DataFrame:
 
 
 def arcs(spark, sf_dir):
+    """Chapters with their arcs, written once for all that is made of them."""
     c = chapters(spark, sf_dir)
-    return rollup.assign_ranges(c, ranges(spark, c), strict=True)
+    return shared.stored(rollup.assign_ranges(c, ranges(spark, c), strict=True), "arcs")
 
 
 ARC_ROWS = f"{CHAPTERS}, {RANGES}, a AS (SELECT c.*, volume, volume_name, arc, arc_name FROM c JOIN r ON c.book_id IS NOT DISTINCT FROM r.book_id AND chapter_num BETWEEN lo AND hi)"
@@ -338,13 +339,13 @@ def ordered_prefixes(spark, sf_dir):
 ARC_T = f"{ARC_ROWS}, ta AS (SELECT book_id, volume, volume_name, arc, arc_name, content_kind, min(chapter_num) AS range_start, max(chapter_num) AS range_end, count(*) AS inputs, volume_name || ' - ' || arc_name AS label FROM a GROUP BY 1, 2, 3, 4, 5, 6), tv AS (SELECT book_id, volume, volume_name, min(range_start) AS range_start, max(range_end) AS range_end, count(*) AS inputs, 'Volume ' || volume || ': ' || volume_name AS label FROM ta WHERE content_kind = 'main' AND volume > 0 GROUP BY 1, 2, 3), ts AS (SELECT book_id, min(range_start) AS range_start, max(range_end) AS range_end, count(*) AS inputs, CASE book_id WHEN 'src0' THEN 'The first' ELSE book_id END AS label FROM tv GROUP BY 1)"
 
 
-def arc_summaries(spark, sf_dir):
-    return arcs(spark, sf_dir).withColumn("range_start", F.col("chapter_num")).withColumn("range_end", F.col("chapter_num"))
+def arc_summaries(chapters: DataFrame) -> DataFrame:
+    return chapters.withColumn("range_start", F.col("chapter_num")).withColumn("range_end", F.col("chapter_num"))
 
 
 @query(f"WITH {ARC_T} SELECT * FROM ta")
 def rollup_targets_arc(spark, sf_dir):
-    return rollup.arc_targets(arc_summaries(spark, sf_dir))
+    return rollup.arc_targets(arc_summaries(arcs(spark, sf_dir)))
 
 
 @query(f"WITH {ARC_T} SELECT * FROM tv")
@@ -352,9 +353,12 @@ def rollup_targets_volume(spark, sf_dir):
     return rollup.volume_targets(rollup_targets_arc(spark, sf_dir))
 
 
+TITLES = [("src0", "The first")]
+
+
 @query(f"WITH {ARC_T} SELECT * FROM ts")
 def rollup_targets_series(spark, sf_dir):
-    return rollup.series_targets(rollup_targets_volume(spark, sf_dir), spark.createDataFrame([("src0", "The first")], "book_id string, title string"))
+    return rollup.series_targets(rollup_targets_volume(spark, sf_dir), spark.createDataFrame(TITLES, "book_id string, title string"))
 
 
 def conversation_chunks(spark, sf_dir):
@@ -385,10 +389,14 @@ KEYED = " UNION ALL ".join(f"SELECT '{level}' AS level, concat_ws('|', '{level}'
 @query(f"WITH {ARC_T}, tc AS (SELECT book_id, chapter_num AS range_start, chapter_num AS range_end, 'Chapter ' || chapter_num || ': ' || chapter_id AS label FROM c), t AS ({KEYED}), done AS (SELECT key FROM t WHERE level IN ('chapter', 'arc') OR level = 'volume' AND key LIKE '%Dawn'), p AS (SELECT *, CASE level WHEN 'chapter' THEN 1 WHEN 'arc' THEN 2 WHEN 'volume' THEN 3 ELSE 4 END AS place FROM t WHERE key NOT IN (SELECT key FROM done)) SELECT level, key FROM p WHERE place = (SELECT min(place) FROM p)")
 def plan_next_level(spark, sf_dir):
     keyed = lambda d, level: d.select(F.lit(level).alias("level"), rollup.logical_key(F.lit(level)).alias("key"))
-    c = chapters(spark, sf_dir).withColumns({"range_start": F.col("chapter_num"), "range_end": F.col("chapter_num"), "label": F.concat(F.lit("Chapter "), "chapter_num", F.lit(": "), "chapter_id")})
-    c, a, v, t = keyed(c, "chapter"), keyed(rollup_targets_arc(spark, sf_dir), "arc"), keyed(rollup_targets_volume(spark, sf_dir), "volume"), keyed(rollup_targets_series(spark, sf_dir), "series")
-    done = c.unionByName(a).unionByName(v.filter("key like '%Dawn'"))
-    return rollup.plan_next(c.unionByName(a).unionByName(v).unionByName(t), done)
+    c = arcs(spark, sf_dir)
+    a = shared.stored(rollup.arc_targets(arc_summaries(c)), "arc_targets")
+    v = shared.stored(rollup.volume_targets(a), "volume_targets")
+    t = rollup.series_targets(v, spark.createDataFrame(TITLES, "book_id string, title string"))
+    label = F.concat(F.lit("Chapter "), "chapter_num", F.lit(": "), "chapter_id").alias("label")
+    own = keyed(c.select("book_id", F.col("chapter_num").alias("range_start"), F.col("chapter_num").alias("range_end"), label), "chapter")
+    all_ = shared.stored(own.unionByName(keyed(a, "arc")).unionByName(keyed(v, "volume")).unionByName(keyed(t, "series")), "targets")
+    return rollup.plan_next(all_, all_.filter("level in ('chapter', 'arc') or level = 'volume' and key like '%Dawn'"))
 
 
 @query(r"SELECT page_id, substr(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(CASE WHEN regexp_matches(html, '(?is)<h[1-6][^>]*>.*?</h[1-6]>') THEN regexp_extract(html, '(?is)<h[1-6][^>]*>(.*?)</h[1-6]>', 1) ELSE html END, '<[^>]+>', ' ', 'g'), '&nbsp;', ' '), '&amp;', '&'), '&lt;', '<'), '&gt;', '>'), '&quot;', '" + '"' + r"'), '[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+', ' ', 'g'), '^[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+|[\t-\r \x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}\x{FEFF}]+$', '', 'g'), 1, 160) AS title FROM pages")
