@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import functools
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import aliases, llm_json, models, text
+from ..sources.shared import stored
 from .accounting import ROLE_RANKS
 from .quality import drawn
 
@@ -56,10 +59,51 @@ def answered_mentions(chunks: DataFrame, hits: DataFrame, entities: DataFrame, m
     return rows.withColumn("key", F.lower("name")).join(names_of(entities, last=True).select("key", "entity_id"), "key", "left").drop("key")
 
 
+GRAM = 4
+APART = r"[^\p{L}\p{N}]+"
+
+
+def _keyed(rows: DataFrame, text: str, kind: int) -> DataFrame:
+    """Rows with key, once for each thing that a text can be found by: its words (kind 0) or its runs of kind characters; it may repeat."""
+    low = F.lower(text)
+    if kind == 0:
+        return rows.withColumn("key", F.explode(F.split(low, APART))).drop(text)
+    chars, n = F.split(low, ""), F.length(low) - kind + 1
+    runs = F.arrays_zip(*[F.slice(chars, F.lit(j + 1), F.greatest(n, F.lit(0))).alias(f"c{j}") for j in range(kind)])
+    return rows.withColumn("run", F.explode(runs)).withColumn("key", F.concat(*[F.col(f"run.c{j}") for j in range(kind)])).drop(text, "run")
+
+
+def containment(chunks: DataFrame, anchors: DataFrame) -> DataFrame:
+    """(anchor_id, chunk_id, chapter_num, chunk_index): chunks of an anchor's book and chapters (lo to hi) that hold its needle without case.
+
+    A needle's words but the first and last are words of every text that holds it; a needle of fewer has its runs of ``GRAM``
+    characters, or is one. The one that the fewest chunks of its book have is its key: chunks and needles are joined on (book, key),
+    and only these pairs are looked into. A needle that is null or empty is in no chunk.
+    """
+    low = F.lower("needle")
+    inner = F.filter(F.slice(F.split(low, APART), F.lit(2), F.greatest(F.size(F.split(low, APART)) - 2, F.lit(0))), lambda w: w != "")
+    needles = anchors.filter("length(needle) > 0").select("anchor_id", "book_id", "lo", "hi", low.alias("low"), inner.alias("inner"))
+    needles = needles.withColumn("kind", F.when(F.size("inner") > 0, 0).otherwise(F.least(F.length("low"), F.lit(GRAM))))
+    found = []
+    for kind in sorted(r["kind"] for r in needles.select("kind").distinct().collect()):  # 0 to GRAM
+        own = needles.filter(F.col("kind") == kind)
+        own = own.withColumn("key", F.explode("inner")) if kind == 0 else _keyed(own.withColumn("text", F.col("low")), "text", kind)
+        wanted = own.select("book_id", "key").distinct()
+        held = _keyed(chunks.select("book_id", "chapter_num", "chunk_index", "chunk_id", "content"), "content", kind)
+        held = stored(held.join(wanted, ["book_id", "key"], "left_semi").distinct(), "keys")
+        own = own.join(held.groupBy("book_id", "key").agg(F.count("*").alias("n")), ["book_id", "key"], "left").fillna(0, ["n"])
+        rarest = own.groupBy("anchor_id", "book_id", "lo", "hi", "low").agg(F.min_by("key", F.struct("n", "key")).alias("key"))
+        pairs = held.join(rarest, ["book_id", "key"]).filter("chapter_num between lo and hi").select("anchor_id", "low", "chunk_id", "chapter_num", "chunk_index")
+        met = pairs.join(chunks.select("chunk_id", "content"), "chunk_id").filter(F.contains(F.lower("content"), F.col("low")))
+        found.append(met.select("anchor_id", "chunk_id", "chapter_num", "chunk_index"))
+    if not found:
+        return anchors.select("anchor_id").limit(0).crossJoin(chunks.select("chunk_id", "chapter_num", "chunk_index").limit(0))
+    return functools.reduce(DataFrame.unionAll, found).distinct()
+
+
 def first_match(chunks: DataFrame, anchors: DataFrame) -> DataFrame:
     """The first chunk, by chapter and place, of each anchor (anchor_id, book_id, lo, hi, needle) that holds its needle without case."""
-    rows = chunks.join(anchors, "book_id").filter("chapter_num between lo and hi").filter(F.contains(F.lower("content"), F.lower("needle")))
-    first = rows.groupBy("anchor_id").agg(F.min(F.struct("chapter_num", "chunk_index", "chunk_id")).alias("x"))
+    first = containment(chunks, anchors).groupBy("anchor_id").agg(F.min(F.struct("chapter_num", "chunk_index", "chunk_id")).alias("x"))
     return first.select("anchor_id", "x.chunk_id", "x.chapter_num", "x.chunk_index")
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import aliases, chunking, llm_json, models, stem, text
-from ..operators import accounting, extraction, fulltext, maintain, quality, ranks, retrieval, rollup, vectors
+from ..operators import accounting, extraction, fulltext, maintain, quality, ranks, retrieval, rollup, trigram, vectors
 from ..sources import readers, shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -682,3 +682,28 @@ def search_book(spark, sf_dir):
 def section_chapters(spark, sf_dir):
     p = load(spark, sf_dir, "pages").select(F.lit("b").alias("book_id"), F.concat(F.lit("<h1>Chapter "), F.col("page_id") + 1, F.lit(": t</h1>"), "html").alias("html"))
     return readers.extract_chapters(p).select("chapter_num", "chapter_title", F.md5("raw_text").alias("body"))
+
+
+GRAMS = r"list_distinct(flatten(list_transform(list_filter(regexp_split_to_array(lower(url), '[^\p{L}\p{N}]+'), lambda w: w <> ''), lambda w: list_transform(range(1, len(w) + 2), lambda i: substr('  ' || w || ' ', i, 3)))))"
+
+
+@query(f"WITH t AS (SELECT min(page_id) AS id, {GRAMS} AS g FROM pages GROUP BY url), p AS (SELECT a.id AS a, b.id AS b, len(list_intersect(a.g, b.g)) AS n, len(a.g) AS x, len(b.g) AS y FROM t a JOIN t b ON a.id < b.id) SELECT a, b, round(n::DOUBLE / (x + y - n), 9) AS similarity FROM p WHERE n::DOUBLE / (x + y - n) >= 0.6")
+def trigram_pairs(spark, sf_dir):
+    return trigram.similar_pairs(load(spark, sf_dir, "pages"), "page_id", "url").withColumn("similarity", F.round("similarity", 9))
+
+
+@query(f"WITH q AS (SELECT {GRAMS.replace('url', chr(39) + 'example.com/en' + chr(39))} AS q), t AS (SELECT page_id, {GRAMS} AS g FROM pages) SELECT page_id, round(len(list_intersect(g, q))::DOUBLE / (len(g) + len(q) - len(list_intersect(g, q))), 9) AS similarity FROM t, q WHERE len(list_intersect(g, q))::DOUBLE / (len(g) + len(q) - len(list_intersect(g, q))) >= 0.3")
+def trigram_search(spark, sf_dir):
+    return trigram.similar_to(load(spark, sf_dir, "pages"), "url", "example.com/en").select("page_id", F.round("similarity", 9).alias("similarity"))
+
+
+NEEDLES = "n AS (SELECT item_id AS anchor_id, trim(regexp_replace(substr(text, 1, 40), '^\\S+', '')) AS needle FROM benchmark)"
+
+
+@query(f"WITH {NEEDLES} SELECT anchor_id, doc_id AS chunk_id FROM documents JOIN n ON contains(lower(text), lower(needle)) WHERE needle <> ''")
+def containment_pairs(spark, sf_dir):
+    """Documents that hold the beginning of a benchmark item."""
+    c = load(spark, sf_dir, "documents").select(F.lit("b").alias("book_id"), F.col("doc_id").alias("chapter_num"), F.lit(0).alias("chunk_index"), F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    needle = F.trim(F.regexp_replace(F.substring("text", 1, 40), r"^\S+", ""))
+    a = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("anchor_id"), F.lit("b").alias("book_id"), F.lit(0).alias("lo"), F.lit(2**62).alias("hi"), needle.alias("needle"))
+    return extraction.containment(c, a).select("anchor_id", "chunk_id")
