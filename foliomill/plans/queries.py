@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import aliases, chunking, llm_json, models, stem, text
-from ..operators import accounting, extraction, fulltext, maintain, quality, ranks, retrieval, rollup, trigram, vectors
+from ..functions import aliases, calls, chunking, llm_json, models, stem, text
+from ..operators import accounting, extraction, fulltext, generation, maintain, quality, ranks, retrieval, rollup, trigram, vectors
 from ..sources import readers, shared
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -707,3 +707,71 @@ def containment_pairs(spark, sf_dir):
     needle = F.trim(F.regexp_replace(F.substring("text", 1, 40), r"^\S+", ""))
     a = load(spark, sf_dir, "benchmark").select(F.col("item_id").alias("anchor_id"), F.lit("b").alias("book_id"), F.lit(0).alias("lo"), F.lit(2**62).alias("hi"), needle.alias("needle"))
     return extraction.containment(c, a).select("anchor_id", "chunk_id")
+
+
+CAST = [(1, "User", ["the user"], "character"), (2, "Assistant", [], "organization"), (3, "System", [], "location")]
+
+
+def talks(spark, sf_dir):
+    """conversations as chapters of turns; every other text ends in a death."""
+    c = load(spark, sf_dir, "conversations")
+    content = F.when(F.length("text") % 2 == 0, F.concat("text", F.lit(" He died."))).otherwise(F.col("text"))
+    chunks = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_id"), F.col("conv_id").alias("chapter_id"), F.lit("b").alias("book_id"), F.col("conv_id").alias("chapter_num"), F.col("turn").alias("chunk_index"), content.alias("content"), "role")
+    chapters = c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n").alias("raw_text"))
+    return chunks, chapters.select(F.col("conv_id").alias("chapter_id"), F.concat(F.lit("Talk "), "conv_id").alias("header"), "raw_text")
+
+
+def told(shared: str, own: str) -> calls.Reply:
+    """A stand-in model: of a chunk, events that are right, of an unknown name, of a type that the name can't have, and not in the text."""
+    chunk = own.split("<chunk>\n", 1)[1].rsplit("\n</chunk>", 1)[0]
+    event = lambda name, kind, snippet: {"entity_canonical_name": name, "event_type": kind, "snippet": snippet}
+    events = [event("THE USER", "death", chunk.split(" ")[0]), event("assistant", "meeting", "He died."), event("assistant", "battle", "He died."), event("nobody", "death", "He died."), event("user", "death", "not there " * 3)]
+    return calls.Reply("<thinking>[no]</thinking>" + json.dumps(events), no_cache=len(chunk), cache_read=len(shared.split("\n")[0]), output=1)
+
+
+def conversation_events(spark, sf_dir) -> generation.Made:
+    chunks, chapters = talks(spark, sf_dir)
+    kinds = F.create_map(*[F.lit(x) for _, name, _, kind in CAST for x in (name.lower(), kind)])
+    types = chunks.select("chunk_id", F.array(F.try_element_at(kinds, F.col("role"))).alias("types"))
+    entities = spark.createDataFrame(CAST, "entity_id long, canonical_name string, aliases array<string>, entity_type string")
+    return generation.extract_events(chunks, types, entities, chapters, told, catalog="User, Assistant, System")
+
+
+TALKS = "t AS (SELECT conv_id * 1000 + turn AS chunk_id, conv_id, turn, role, text, CASE WHEN length(text) % 2 = 0 THEN text || ' He died.' ELSE text END AS content, length(text) % 2 = 0 AND role IN ('user', 'assistant') AS asked FROM conversations)"
+
+
+@query(f"WITH {TALKS}, e AS (SELECT chunk_id, conv_id, 1::BIGINT AS entity_id, 'death' AS event_type, split_part(content, ' ', 1) AS snippet FROM t WHERE asked UNION ALL SELECT chunk_id, conv_id, 2, 'meeting', 'He died.' FROM t WHERE asked) SELECT entity_id, event_type, conv_id AS chapter_id, 'b' AS book_id, conv_id AS chapter_num, chunk_id AS evidence_chunk_id, snippet, '{{}}' AS extra FROM e WHERE snippet <> ''")
+def event_extraction(spark, sf_dir):
+    """Gates, a stand-in model, parser and names over conversations."""
+    return conversation_events(spark, sf_dir).rows
+
+
+@query(f"WITH {TALKS} SELECT conv_id AS chapter_id, count(*) AS chunks, count(*) FILTER (WHERE NOT asked) AS gated, coalesce(sum(length(content)) FILTER (WHERE asked), 0)::BIGINT AS no_cache, coalesce(sum(23) FILTER (WHERE asked), 0)::BIGINT AS cache_read, 0::BIGINT AS cache_write, count(*) FILTER (WHERE asked) AS output, count(*) FILTER (WHERE asked) AS calls FROM t GROUP BY 1")
+def event_usage(spark, sf_dir):
+    return conversation_events(spark, sf_dir).usage
+
+
+@query(f"WITH {TALKS} SELECT conv_id AS chapter_id, turn AS chunk_index, md5('Talk ' || conv_id || ' ' || length(content) || chr(10) || chr(10) || content) AS embed_text FROM t")
+def contextual_prefixes(spark, sf_dir):
+    """A stand-in model's prefix of each turn, from its chapter's title and the turn's length, and what is embedded."""
+    chunks, chapters = talks(spark, sf_dir)
+
+    def model(shared: str, own: str) -> calls.Reply:
+        chunk = own.split("<chunk>\n", 1)[1].rsplit("\n</chunk>", 1)[0]
+        return calls.Reply(f"  {shared.split(chr(34))[1]} {len(chunk)}\n")
+
+    made = generation.contextual_prefixes(chunks, chapters, model)
+    return generation.prefixed(chunks, made.rows).select("chapter_id", "chunk_index", F.md5("embed_text").alias("embed_text"))
+
+
+@query("WITH s AS (SELECT conv_id, 'Chapter ' || conv_id || ': Talk ' || conv_id AS label FROM conversations GROUP BY 1) SELECT 'chapter' AS level, conv_id AS range_start, label, CASE WHEN conv_id % 7 = 0 THEN 'Summary unavailable for ' || label || ' (' || conv_id || '-' || conv_id || ').' ELSE 'About ' || label END AS content, 64::BIGINT AS dimensions FROM s")
+def summarised_chapters(spark, sf_dir):
+    """Summaries of conversations by a stand-in that has nothing to say about every seventh."""
+
+    def model(shared: str, own: str) -> calls.Reply:
+        label = own.split("\n")[0].removeprefix("Target: ")
+        return calls.Reply(" " if int(label.split()[-1]) % 7 == 0 else f"About {label}", output=1)
+
+    targets = rollup.prompts(rollup.chapter_targets(conversation_chunks(spark, sf_dir)), "chapter").withColumn("level", F.lit("chapter"))
+    made = generation.summarise(targets, model).rows
+    return made.select("level", "range_start", "label", "content", F.size("embedding").cast("long").alias("dimensions"))
