@@ -48,17 +48,17 @@ def shingles(w: Column, k: int) -> Column:
     return F.array_distinct(F.transform(_places(w, k), lambda i: F.concat_ws(" ", *[F.get(w, i + j) for j in range(k)])))
 
 
-def _candidates(docs: DataFrame, items: DataFrame, k: int, percent: int, few: int) -> DataFrame:
+def _candidates(docs: DataFrame, items: DataFrame, k: int, percent: int, few: int, samples: int) -> DataFrame:
     """(doc_id, item_id) of documents that hold a sampled hash of an item."""
     lack = lambda n: F.floor((100 - percent) * n / 100)
     size = F.floor(F.log2(F.col("n")))
     need = (F.col("n") - lack(F.col("n"))).alias("need")
-    sampled = items.select("item_id", need, F.least(F.lit(SAMPLES), lack(F.pow(F.lit(2), size + 1) - 1) + 1).cast("int").alias("k"), F.sort_array(F.array_distinct("hashes")).alias("hashes"))
+    sampled = items.select("item_id", need, F.least(F.lit(samples), lack(F.pow(F.lit(2), size + 1) - 1) + 1).cast("int").alias("k"), F.sort_array(F.array_distinct("hashes")).alias("hashes"))
     sampled = sampled.select("item_id", "need", F.explode(F.slice("hashes", F.lit(1), F.col("k"))).alias("hash"))
     wide = docs.withColumn("places", F.size("words") - (k - 1)).filter("places > 0")
     side = F.arrays_zip(*[F.slice("words", F.lit(j + 1), F.col("places")).alias(f"w{j}") for j in range(k)])
     met = wide.select("doc_id", "places", F.explode(side).alias("s")).select("doc_id", "places", F.xxhash64(*[f"s.w{j}" for j in range(k)]).alias("hash"))
-    if items.limit(few + 1).count() <= few:  # at most few * SAMPLES hashes
+    if items.limit(few + 1).count() <= few:  # at most few * samples hashes
         sampled = F.broadcast(sampled)
     return met.join(sampled, "hash").filter("places >= need").select("doc_id", "item_id").distinct()
 
@@ -70,8 +70,8 @@ def _small(items: DataFrame, few: int) -> bool:
     return total["n"] <= few and total["bytes"] <= FEW_BYTES
 
 
-def find_items(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent: int = PERCENT, few: int = FEW) -> DataFrame:
-    """doc_id, item_id, n_shingles (of the item), n_found and containment of every match."""
+def find_items(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k: int = SHINGLE, percent: int = PERCENT, few: int = FEW, samples: int = SAMPLES) -> DataFrame:
+    """doc_id, item_id, n_shingles (of the item), n_found and containment of every match; with samples of a fifth of the largest item's shingles the search is exact for all."""
     ws = Workspace(spark, "decontaminate")
     texts = docs.filter("doc_id is not null").select("doc_id", words(F.col("text")).alias("words"))
     items = benchmark.filter("item_id is not null").select("item_id", words(F.col("text")).alias("words")).filter(F.size("words") > 0)
@@ -79,7 +79,7 @@ def find_items(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, k: in
     found = []
     for n in sorted(r["k"] for r in items.select("k").distinct().collect()):  # 1 to k
         own = items.filter(F.col("k") == n).select("item_id", shingles(F.col("words"), n).alias("own"), hashes(F.col("words"), n).alias("hashes")).withColumn("n", F.size("own"))
-        pairs = ws.write(_candidates(texts, own, n, percent, few), f"pairs{n}")
+        pairs = ws.write(_candidates(texts, own, n, percent, few, samples), f"pairs{n}")
         few_items = own.select("item_id", "own", "n")
         both = texts.join(pairs, "doc_id").join(F.broadcast(few_items) if _small(few_items, few) else few_items, "item_id")
         common = F.size(F.array_intersect(shingles(F.col("words"), n), F.col("own")))

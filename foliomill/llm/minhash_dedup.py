@@ -443,9 +443,9 @@ def components(ws: Workspace, edges: DataFrame, name: str = "cc") -> DataFrame:
         up = hooked.select(F.col("id").alias("root"), F.col("root").alias("top"))
         new = ws.write(hooked.join(up, "root", "left").select("id", "old", F.least("root", F.coalesce("top", "root")).alias("root")), f"{name}-{i}")
         if new.filter("root <> old").isEmpty():
-            break
+            return labels
         labels = new.select("id", "root")
-    return labels
+    raise RuntimeError(f"components of {name} aren't settled after 63 rounds")
 
 
 def link_components(spark: SparkSession, docs: DataFrame, k: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -4,9 +4,11 @@ A window is ``window`` consecutive words of one document. Its hash in the index
 hash among the word shingles inside it: equal windows have equal hashes, and neighbours mostly share
 theirs, so that a run holds about one entry for five windows. The index is a list of immutable runs,
 Parquet tables of (fp, doc_id) sorted by fp. Each new batch becomes a run, which is merge-joined with
-the runs before it; hashes met in two documents are kept as candidates, and the runs are compacted
-when there are more than ``max_runs``. An index at a path of its own stays and can be opened again: later calls
-join their documents with its runs, given the earlier documents to verify against. Candidates are then verified: the windows under a candidate
+the runs before it; hashes met in two documents are kept as candidates. Runs are compacted by tiers: a batch is a run of tier 0, and ``fanout``
+runs of one tier are merged into one of the next, so that n batches leave about log n runs, and a posting is rewritten
+about log n times. An index at a path of its own stays and can be opened again: later calls
+join their documents with its runs, given the earlier documents to verify against. Documents come in ascending doc_id: the index knows its
+largest one, and documents that don't come after it raise, as their smaller doc_id would be found by nobody. Candidates are then verified: the windows under a candidate
 hash get 128-bit digests, and a window is removed if its digest starts in a smaller doc_id. A whole text
 that a smaller doc_id has too needs no digests: all its windows start there.
 
@@ -35,7 +37,8 @@ from .workspace import Workspace, carried, small_batches, struct
 WINDOW = 13
 SHINGLE = 5
 BATCHES = 2
-MAX_RUNS = 1
+FANOUT = 2
+NONE = -(1 << 63)
 PARTS = 16
 POSTING = "fp long, doc_id long"
 KEYS = ("fp long, mask int, twice boolean", ["fp"])
@@ -79,35 +82,45 @@ def postings(docs: DataFrame, window: int = WINDOW, shingle: int = SHINGLE) -> D
 
 
 class FingerprintIndex:
-    """Runs of sorted buckets under a path; a path that has runs is opened with them. Runs that a lost driver left unfinished go."""
+    """Runs of sorted buckets under a path; a path that has runs is opened with them. Runs that a lost driver left unfinished go.
 
-    def __init__(self, spark: SparkSession, path: str, max_runs: int = MAX_RUNS):
-        self.ws, self.max_runs = Workspace(spark, "index", path), max_runs
-        found = self.ws.tables()
-        runs = sorted((int(r[1]), int(r[2])) for n, whole in found.items() if whole and (r := n.split("_"))[0] == "keys")
-        self.buckets = runs[0][1] if runs else int(spark.conf.get("spark.sql.shuffle.partitions"))
-        self.made = runs[-1][0] + 1 if runs else 0
-        self.runs = {i: (self.ws.open_buckets(self._name("keys", i), KEYS[0], self.buckets, KEYS[1]), self.ws.open_buckets(self._name("postings", i), POSTINGS[0], self.buckets, POSTINGS[1])) for i, _ in runs}
-        self.ws.drop(*{n for n in found if n.startswith(("keys_", "postings_"))} - {self._name(k, i) for i in self.runs for k in ("keys", "postings")})
-
-    def _name(self, kind: str, run: int) -> str:
-        return f"{kind}_{run}_{self.buckets}"
+    The name of a run's tables says its number, its buckets, its tier, the numbers of the first run merged into it, and the largest doc_id so far.
+    """
 
-    def _write(self, postings: DataFrame, keys: Callable[[DataFrame], DataFrame]) -> None:
+    def __init__(self, spark: SparkSession, path: str, fanout: int = FANOUT):
+        if fanout < 2:
+            raise ValueError("a fanout is 2 or more")
+        self.ws, self.fanout = Workspace(spark, "index", path), fanout
+        found = self.ws.tables()
+        whole = sorted(tuple(map(int, n.split("_")[1:])) for n, done in found.items() if done and n.startswith("keys_"))
+        merged = {i for run, _, _, first, _ in whole for i in range(first, run)}  # what a later run has taken in
+        whole = [r for r in whole if r[0] not in merged]
+        self.buckets = whole[0][1] if whole else int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.made = whole[-1][0] + 1 if whole else 0
+        self.last = max([r[4] + NONE for r in whole], default=NONE)
+        self.names = {r[0]: "_".join(map(str, r)) for r in whole}
+        self.tiers = {r[0]: r[2] for r in whole}
+        self.runs = {i: (self.ws.open_buckets(f"keys_{n}", KEYS[0], self.buckets, KEYS[1]), self.ws.open_buckets(f"postings_{n}", POSTINGS[0], self.buckets, POSTINGS[1])) for i, n in self.names.items()}
+        self.ws.drop(*{n for n in found if n.startswith(("keys_", "postings_"))} - {f"{k}_{n}" for n in self.names.values() for k in ("keys", "postings")})
+
+    def _write(self, postings: DataFrame, keys: Callable[[DataFrame], DataFrame], tier: int, first: int | None = None) -> None:
         """Postings first: a run whose keys are whole is whole."""
         run, self.made = self.made, self.made + 1
-        rows = self.ws.write_buckets(postings, self._name("postings", run), self.buckets, POSTINGS[1])
-        self.runs[run] = self.ws.write_buckets(keys(rows), self._name("keys", run), self.buckets, KEYS[1]), rows
+        name = "_".join(map(str, (run, self.buckets, tier, run if first is None else first, self.last - NONE)))
+        rows = self.ws.write_buckets(postings, f"postings_{name}", self.buckets, POSTINGS[1])
+        self.runs[run] = self.ws.write_buckets(keys(rows), f"keys_{name}", self.buckets, KEYS[1]), rows
+        self.names[run], self.tiers[run] = name, tier
 
     def drop(self, *runs: int) -> None:
-        self.ws.drop(*[self._name(kind, i) for kind in ("keys", "postings") for i in runs])
+        self.ws.drop(*[f"{kind}_{self.names[i]}" for i in runs for kind in ("keys", "postings")])
 
-    def add(self, batch: DataFrame) -> DataFrame:
-        """Append a batch of postings as a run; return (fp, mask) of the hashes it shares with another document, mask over all runs."""
+    def add(self, batch: DataFrame, last: int) -> DataFrame:
+        """Append a batch of postings, of documents up to last, as a run; return (fp, mask) of the hashes it shares with another document, mask over all runs."""
+        self.last = max(self.last, last)
         history = [keys.select("fp", F.col("mask").alias(f"mask{i}")) for i, (keys, _) in self.runs.items()]
         batch = batch.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(PARTS)).cast("int"))
         stats = (F.expr("bit_or(shiftleft(1, part))").alias("mask"), (F.min("doc_id") < F.max("doc_id")).alias("twice"))
-        self._write(batch.repartition(self.buckets, "fp", "part"), lambda rows: rows.groupBy("fp").agg(*stats))
+        self._write(batch.repartition(self.buckets, "fp", "part"), lambda rows: rows.groupBy("fp").agg(*stats), 0)
         own = self.runs[self.made - 1][0]
         masks = [f"mask{i}" for i in list(self.runs)[:-1]]
         for old in history:
@@ -121,12 +134,17 @@ class FingerprintIndex:
         return functools.reduce(DataFrame.unionAll, [rows.join(at, ["fp", "part"]).select("doc_id", "fp") for _, rows in self.runs.values()])
 
     def compact(self) -> None:
-        """Merge all runs into one if there are more than max_runs. Old runs go when the new one is whole; postings met twice change nothing."""
-        if len(self.runs) > self.max_runs:
-            keys, rows = (functools.reduce(DataFrame.unionAll, tables) for tables in zip(*self.runs.values(), strict=True))
-            old, self.runs = list(self.runs), {}
-            self._write(rows.distinct(), lambda _: keys.groupBy("fp").agg(F.expr("bit_or(mask)").alias("mask"), F.expr("bool_or(twice)").alias("twice")))
-            self.drop(*old)
+        """Merge runs while fanout of them are of one tier. Old runs go when the new one is whole; postings met twice change nothing."""
+        while same := [i for i in self.runs if self.tiers[i] == min(self.tiers[j] for j in self.runs)][-self.fanout :]:
+            if len(same) < self.fanout:
+                return
+            keys, rows = (functools.reduce(DataFrame.unionAll, tables) for tables in zip(*(self.runs[i] for i in same), strict=True))
+            first = min(int(self.names[i].split("_")[3]) for i in same)
+            merged = keys.groupBy("fp").agg(F.expr("bit_or(mask)").alias("mask"), F.expr("bool_or(twice)").alias("twice"))
+            self._write(rows.distinct(), lambda _: merged, self.tiers[same[0]] + 1, first)  # noqa: B023
+            self.drop(*same)
+            for i in same:
+                del self.runs[i], self.names[i], self.tiers[i]
 
 
 def _digests(window: int, shingle: int):
@@ -208,17 +226,20 @@ def later_copies(ws: Workspace, docs: DataFrame) -> DataFrame:
     return ws.write(alone.join(first, "digest").filter("doc_id > first").select("doc_id"), "copies")
 
 
-def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, max_runs: int = MAX_RUNS, carry: tuple[str, ...] = (), index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
+def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW, batches: int = BATCHES, fanout: int = FANOUT, carry: tuple[str, ...] = (), index: FingerprintIndex | None = None, history: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, text, n_words, n_removed, kept_text (kept words joined by one space), and a struct ``carried`` of the columns named in carry.
 
-    With an index of its own, calls build on each other: docs are then the next documents in ascending doc_id, and history
+    With an index of its own, calls build on each other: docs are then the next documents in ascending doc_id (others raise), and history
     holds (doc_id, text) of all that the index has. Calls one after the other give the rows of one call for all.
     """
     small_batches(spark)
     ws = Workspace(spark, "substrings")
     shingle = min(SHINGLE, window)
     cuts = sorted(set(docs.select(F.col("doc_id").cast("double").alias("d")).approxQuantile("d", [i / batches for i in range(1, batches)], 0.02))) if batches > 1 else []
-    own = FingerprintIndex(spark, f"{ws.path}/index", max_runs) if index is None else index
+    own = FingerprintIndex(spark, f"{ws.path}/index", fanout) if index is None else index
+    span = docs.agg(F.min(F.col("doc_id").cast("long")).alias("least"), F.max(F.col("doc_id").cast("long")).alias("most")).first()
+    if span["least"] is not None and span["least"] <= own.last:
+        raise ValueError(f"doc_id {span['least']} doesn't come after {own.last}, the largest in the index: documents go in ascending doc_id, once")
     shared = []
     for i in range(len(cuts) + 1):  # ascending doc_id: history holds only smaller ones
         part = docs
@@ -226,7 +247,7 @@ def dedup_substrings(spark: SparkSession, docs: DataFrame, window: int = WINDOW,
             part = part.filter(F.col("doc_id") > int(cuts[i - 1]))
         if i < len(cuts):
             part = part.filter(F.col("doc_id") <= int(cuts[i]))
-        shared.append(ws.write(own.add(postings(part, window, shingle)), f"shared{i}"))
+        shared.append(ws.write(own.add(postings(part, window, shingle), int(cuts[i]) if i < len(cuts) else own.last if span["most"] is None else span["most"]), f"shared{i}"))
         own.compact()
     both = functools.reduce(DataFrame.unionAll, shared).groupBy("fp").agg(F.expr("bit_or(mask)").alias("mask"))
     wanted = ws.write(own.holders(both).groupBy("doc_id").agg(F.collect_set("fp").alias("fps")), "wanted")

@@ -59,8 +59,8 @@ def count_batch(texts: list[str], path: str) -> list[int]:
     start = 0
     while start < len(new):
         end, size = start, 0
-        while end < len(new) and (size == 0 or size + len(new[end]) <= BATCH_BYTES):
-            size += len(new[end])
+        while end < len(new) and (size == 0 or size + 4 * len(new[end]) <= BATCH_BYTES):
+            size += len(new[end].encode("utf-8", "surrogatepass"))
             end += 1
         encoded = _tokenizer(path).encode_batch_fast(new[start:end], add_special_tokens=False)
         known.update(zip(new[start:end], map(len, encoded), strict=True))

@@ -71,9 +71,9 @@ def test_op1(spark, odd, none, window, batches):
     assert substring_dedup.dedup_substrings(spark, none).count() == 0
 
 
-@pytest.mark.parametrize("max_runs", [1, 5])
-def test_op1_index_that_stays(spark, tmp_path, max_runs):
-    """Three calls on one index, opened anew each time, give the rows of one call for all."""
+@pytest.mark.parametrize(("fanout", "tiers"), [(2, [1, 0]), (3, [1]), (9, [0, 0, 0])])
+def test_op1_index_that_stays(spark, tmp_path, fanout, tiers):
+    """Three calls on one index, opened anew each time, give the rows of one call for all; documents that come late or again raise."""
     rng = random.Random(11)
     word = lambda: f"w{rng.randint(0, 40)}"
     shared = [[word() for _ in range(20)] for _ in range(4)]
@@ -82,11 +82,27 @@ def test_op1_index_that_stays(spark, tmp_path, max_runs):
     digest = lambda out: sorted((r["doc_id"], r["n_words"], r["n_removed"], r["kept_text"]) for r in out.collect())
     want, got = digest(substring_dedup.dedup_substrings(spark, docs)), []
     for lo, hi in ((0, 30), (30, 60), (60, 100)):
-        index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"), max_runs)
+        index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"), fanout)
         part, before = docs.filter(f"doc_id >= {lo} and doc_id < {hi}"), docs.filter(f"doc_id < {lo}")
         got += digest(substring_dedup.dedup_substrings(spark, part, batches=1, index=index, history=before))
     assert sorted(got) == want and sum(r[2] for r in want) > 0
-    assert len(substring_dedup.FingerprintIndex(spark, str(tmp_path / "index")).runs) == min(max_runs, 3)
+    index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"))
+    assert list(index.tiers.values()) == tiers and index.last == 95
+    for late in (docs.filter("doc_id = 95"), docs.filter("doc_id in (4, 90)")):
+        with pytest.raises(ValueError, match="ascending"):
+            substring_dedup.dedup_substrings(spark, late, batches=1, index=index, history=docs)
+
+
+def test_op1_tiers(spark, tmp_path):
+    """Nine batches leave two runs of the tiers of nine in binary; every posting is in one of them."""
+    docs = spark.range(90).selectExpr("id doc_id", "concat_ws(' ', transform(sequence(0, 30), i -> concat('w', id * 100 + i))) text")
+    index = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"))
+    for i in range(9):
+        index.add(substring_dedup.postings(docs.filter(f"doc_id div 10 = {i}")), 10 * i + 9)
+        index.compact()
+    again = substring_dedup.FingerprintIndex(spark, str(tmp_path / "index"))
+    assert list(index.tiers.values()) == list(again.tiers.values()) == [3, 0] and again.last == 89
+    assert sum(rows.count() for _, rows in again.runs.values()) == substring_dedup.postings(docs).distinct().count()
 
 
 def test_op2(spark, odd, none):
