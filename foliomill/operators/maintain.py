@@ -12,17 +12,33 @@ from ..functions.text import trim
 PARTS = 1024
 
 
-def upsert(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """New rows replace old ones of the same key; inserted tells which keys weren't there."""
+def once(rows: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """One row of each key: the last by a column, or, without one, the only row; a key that repeats then raises when it is read.
+
+    Grouped by the keys that the rows are joined on next, so that this takes no shuffle of its own.
+    """
+    values = [c for c in rows.columns if c not in keys]
+    if not values:
+        return rows.distinct()
+    pick = F.max_by(F.struct(*values), order) if order else F.any_value(F.struct(*values))
+    one = rows.groupBy(*keys).agg(pick.alias("_row"), F.count("*").alias("_n"))
+    if order is None:
+        again = F.raise_error(F.concat(F.lit("new rows repeat the key "), F.to_json(F.struct(*keys))))
+        one = one.withColumn("_row", F.when(F.col("_n") == 1, F.col("_row")).otherwise(again))
+    return one.select(*keys, *[F.col(f"_row.{c}").alias(c) for c in values])
+
+
+def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
+    """New rows replace old ones of the same key; inserted tells which keys weren't there. Of new rows of one key the last by order counts; without an order they raise."""
     values = [c for c in old.columns if c not in keys]
     o = old.withColumnsRenamed({c: f"old_{c}" for c in values}).withColumn("had", F.lit(True))
-    n = new.select(*keys, *values).withColumn("has", F.lit(True))
+    n = once(new, keys, order).select(*keys, *values).withColumn("has", F.lit(True))
     met = o.join(n, keys, "full_outer")
     return met.select(*keys, *[F.when(F.col("has"), F.col(c)).otherwise(F.col(f"old_{c}")).alias(c) for c in values], F.col("had").isNull().alias("inserted"))
 
 
 def insert_absent(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """Old rows and those new ones whose key isn't there."""
+    """Old rows and those new ones whose key isn't there; new rows of one key all go in, as in one INSERT ... SELECT."""
     return old.unionByName(new.join(old.select(*keys).distinct(), keys, "left_anti").select(*old.columns))
 
 
@@ -60,10 +76,10 @@ def delete_orphans(entities: DataFrame, mentions: DataFrame) -> DataFrame:
     return entities.join(lonely, "entity_id", "left_anti")
 
 
-def update_from(rows: DataFrame, values: DataFrame, key: str) -> DataFrame:
-    """Columns of values overwrite those of the row with the same key."""
-    columns = [c for c in values.columns if c != key]
-    v = values.withColumnsRenamed({c: f"new_{c}" for c in columns}).withColumn("hit", F.lit(True))
+def update_from(rows: DataFrame, values: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Columns of values overwrite those of the row with the same key. Of values of one key the last by order counts; without an order they raise."""
+    columns = [c for c in values.columns if c not in (key, order)]
+    v = once(values, [key], order).select(key, *columns).withColumnsRenamed({c: f"new_{c}" for c in columns}).withColumn("hit", F.lit(True))
     met = rows.join(v, key, "left")
     return met.select(*[F.when(F.col("hit"), F.col(f"new_{c}")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in rows.columns])
 

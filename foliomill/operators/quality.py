@@ -37,6 +37,14 @@ def by_role(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame
     return met.select(F.explode(out).alias("x")).select("x.*")
 
 
+def role_accuracy(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
+    """(found, correct, accuracy): of the keys that both sides have, those whose role is the same; no role is a role. 0 where none is found."""
+    named = lambda d, c: d.select(*keys, F.coalesce("role", F.lit("null")).alias(c)).distinct()
+    met = named(gold, "g").join(named(predicted, "p"), keys)
+    counts = met.agg(F.count("*").alias("found"), F.count_if(F.col("g") == F.col("p")).alias("correct"))
+    return counts.withColumn("accuracy", F.round(ratio(F.col("correct"), F.col("found")), 6))
+
+
 def quotas(takes: list[int], total: int) -> list[int]:
     """Takes in proportion to a new total, at least one each, repaired one by one."""
     if not takes or sum(takes) == total:

@@ -775,3 +775,127 @@ def summarised_chapters(spark, sf_dir):
     targets = rollup.prompts(rollup.chapter_targets(conversation_chunks(spark, sf_dir)), "chapter").withColumn("level", F.lit("chapter"))
     made = generation.summarise(targets, model).rows
     return made.select("level", "range_start", "label", "content", F.size("embedding").cast("long").alias("dimensions"))
+
+
+@query(f"WITH {ROLE_SIDES}, m AS (SELECT g, p FROM g JOIN p USING (doc_id)) SELECT count(*) AS found, count(*) FILTER (WHERE g = p) AS correct, round(count(*) FILTER (WHERE g = p)::DOUBLE / count(*), 6) AS accuracy FROM m")
+def role_accuracy(spark, sf_dir):
+    gold = load(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").alias("role"))
+    predicted = load(spark, sf_dir, "documents").select("doc_id", F.when(F.col("n_chars") > 300, "good").alias("role"))
+    return quality.role_accuracy(gold, predicted, ["doc_id"])
+
+
+@query(f"WITH {CHAPTERS} SELECT chapter_id, chapter_num FROM c WHERE book_id = 'src1'")
+def book_scan(spark, sf_dir):
+    return retrieval.book_scan(chapters(spark, sf_dir), "src1").select("chapter_id", "chapter_num")
+
+
+@query(f"WITH {CHAPTERS} SELECT chapter_id, book_id, n_chars FROM c WHERE book_id = 'src2' AND chapter_num = 7")
+def point_lookup(spark, sf_dir):
+    return retrieval.point_lookup(chapters(spark, sf_dir), "src2", 7).select("chapter_id", "book_id", "n_chars")
+
+
+TYPES = "list_transform([l.quality, l.toxic], lambda v: CASE v WHEN 1 THEN 'character' ELSE 'location' END)"
+WORDY = f"(regexp_matches(content, '{text.KEYWORD_PATTERN}') OR contains(content, 'above the grey fog'))"
+GATED = f"k AS (SELECT doc_id AS chunk_id, text || CASE doc_id % 3 WHEN 0 THEN ' He joined.' WHEN 1 THEN ' above the grey fog' ELSE '' END AS content, l.quality = 1 OR l.toxic = 1 AS typed FROM documents LEFT JOIN labels l USING (doc_id))"
+
+
+def gate_inputs(spark, sf_dir):
+    """documents, some with an event or a session, and the types that their labels stand for."""
+    d = load(spark, sf_dir, "documents")
+    more = F.when(F.col("doc_id") % 3 == 0, " He joined.").when(F.col("doc_id") % 3 == 1, " above the grey fog").otherwise("")
+    kind = lambda c: F.when(F.col(c) == 1, "character").otherwise("location")
+    types = load(spark, sf_dir, "labels").select(F.col("doc_id").alias("chunk_id"), F.array(kind("quality"), kind("toxic")).alias("types"))
+    return d.select(F.col("doc_id").alias("chunk_id"), F.concat("text", more).alias("content")), types
+
+
+@query(f"WITH {GATED} SELECT chunk_id FROM k WHERE typed AND {WORDY}")
+def event_gate(spark, sf_dir):
+    """The gates in their order: types first, then a keyword or a session."""
+    return extraction.event_gate(*gate_inputs(spark, sf_dir)).select("chunk_id")
+
+
+DRAW = "('0x' || substr(md5('7:' || chunk_id), 1, 8))::BIGINT"
+
+
+@query(f"WITH {GATED}, p AS (SELECT * FROM k WHERE typed ORDER BY {DRAW}, chunk_id LIMIT 100) SELECT chunk_id FROM p WHERE regexp_matches(content, '{text.KEYWORD_PATTERN}') ORDER BY {DRAW}, chunk_id LIMIT 15")
+def gated_pool(spark, sf_dir):
+    """Fifteen chunks with a keyword out of a seeded pool of a hundred: a sampling operator."""
+    return extraction.gated_pool(*gate_inputs(spark, sf_dir), seed=7, pool=100).select("chunk_id")
+
+
+AUDIT = "SELECT doc_id AS chunk_id, c.text AS content, CASE WHEN n_chars % 2 = 0 THEN lang || ' xx' ELSE source || ' xx' END AS name, lang, source, n_chars % 3 = 0 AS told FROM documents c"
+
+
+@query(f"WITH g AS ({AUDIT}), a AS (SELECT *, split_part(name, ' ', 1) AS first FROM g WHERE NOT contains(content, name)) SELECT chunk_id, name, CASE WHEN told AND first <> 'en' AND length(first) = 2 THEN 'the ' || lang END AS alias, CASE WHEN contains(content, first) THEN first END AS suggested, CASE WHEN told AND first <> 'en' AND length(first) = 2 THEN 'alias' WHEN contains(content, first) THEN 'first-word' ELSE 'absent' END AS audit FROM a")
+def gold_audit(spark, sf_dir):
+    """Gold names that aren't in their text: a language's other name stands in the chapter, or the first word in the text, or neither."""
+    d = load(spark, sf_dir, "documents")
+    name = F.concat(F.when(F.col("n_chars") % 2 == 0, F.col("lang")).otherwise(F.col("source")), F.lit(" xx"))
+    chapter = F.when(F.col("n_chars") % 3 == 0, F.concat(F.lit("about the "), "lang")).otherwise("")
+    gold = d.select(F.col("doc_id").alias("chunk_id"), name.alias("name"), F.col("text").alias("content"), chapter.alias("chapter_text"))
+    langs = d.select("lang").distinct().filter("lang <> 'en'")
+    entities = langs.select(F.crc32(F.encode("lang", "UTF-8")).alias("entity_id"), F.concat("lang", F.lit(" xx")).alias("canonical_name"), F.array(F.concat(F.lit("the "), "lang")).alias("aliases"))
+    return quality.audit_gold(gold, entities).select("chunk_id", "name", "alias", "suggested", "audit")
+
+
+@query(f"WITH {CHUNKS}, {Q0}, {DENSE}, {SPARSE} SELECT (SELECT list(chunk_id ORDER BY rank) FROM d WHERE rank <= 8) <> (SELECT list(chunk_id ORDER BY rank) FROM s WHERE rank <= 8) AS diverges, (SELECT count(*)::DOUBLE / 8 FROM d WHERE rank <= 8 AND chunk_id IN (SELECT chunk_id FROM s)) AS recall")
+def divergence_and_recall(spark, sf_dir):
+    """Whether the lists of both searches differ, and which share of the nearest eight the words find too."""
+    c = chunks(spark, sf_dir)
+    d, s = retrieval.dense(c, first_vector(spark, sf_dir)), retrieval.sparse(c, ASKED)
+    ids = lambda x: x.agg(F.collect_list("chunk_id").alias("ids"))
+    both = ids(s).select(F.col("ids").alias("got")).crossJoin(ids(d.filter("rank <= 8")))  # one row each
+    return retrieval.divergence(d.filter("rank <= 8"), s.filter("rank <= 8")).crossJoin(both.select(retrieval.recall(F.col("got"), F.col("ids")).alias("recall")))
+
+
+@query("SELECT conv_id, string_agg(CASE WHEN conv_id = 3 AND turn = 0 THEN 'first' ELSE role END, ',' ORDER BY turn) AS roles, conv_id = 3 AS patched FROM conversations GROUP BY 1")
+def patched_lists(spark, sf_dir):
+    """Arrays of a conversation's roles, one of them patched by its key."""
+    listed = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"])
+    rows = load(spark, sf_dir, "conversations").groupBy("conv_id").agg(listed.alias("roles"))
+    out = maintain.patch_lists(rows, "conv_id", "roles", {3: lambda x: F.concat(F.array(F.lit("first")), F.slice(x, 2, 1000))})
+    return out.select("conv_id", F.array_join("roles", ",").alias("roles"), "patched")
+
+
+@query("SELECT doc_id FROM labels WHERE quality = 1 OR toxic = 0 AND quality = 0")
+def labelled_rows(spark, sf_dir):
+    """Rows with mentions, or marked as empty."""
+    g = load(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 1, F.array(F.lit("m"))).otherwise(F.array().cast("array<string>")).alias("gold_mentions"), F.when(F.col("toxic") == 0, "EMPTY_OK").alias("notes"))
+    return maintain.labelled(g).select("doc_id")
+
+
+CREATED = "w AS (SELECT DISTINCT lower(trim(p_name)) AS key FROM part UNION SELECT lower(n_name) FROM nation)"
+
+
+@query(f"WITH {CREATED} SELECT key AS name, n_nationkey::BIGINT AS known, n_nationkey IS NULL AS created FROM w LEFT JOIN nation ON lower(n_name) = key")
+def get_or_create_rows(spark, sf_dir):
+    """Every name with the id it had, or as a new one; the new ids follow the largest, each once."""
+    names = load(spark, sf_dir, "part").select(F.col("p_name").alias("name")).unionByName(load(spark, sf_dir, "nation").select(F.lower("n_name").alias("name")))
+    e = entities(spark, sf_dir)
+    made = shared.stored(maintain.get_or_create(e, names), "made")
+    top = e.agg(F.max("entity_id").alias("top"), F.count("*").alias("n"))
+    new = made.agg(F.count_if(F.col("entity_id") > 24).alias("new"), F.count_distinct(F.when(F.col("entity_id") > 24, F.col("entity_id"))).alias("ids"), F.max("entity_id").alias("last"))
+    whole = new.join(top, F.lit(True)).select(((F.col("new") == F.col("ids")) & (F.col("last") == F.col("top") + F.col("new"))).alias("whole"))
+    rows = made.join(F.broadcast(whole), F.col("whole"))
+    return rows.select(F.lower("canonical_name").alias("name"), F.when(F.col("entity_id") <= 24, F.col("entity_id")).cast("long").alias("known"), (F.col("entity_id") > 24).alias("created"))
+
+
+@query(f"WITH {CHUNKS}, {Q0}, {DENSE} SELECT chunk_id FROM d JOIN k USING (chunk_id) WHERE NOT coalesce({WITHIN}, false)")
+def retrieved_violations(spark, sf_dir):
+    """What a search without a reading position finds beyond it."""
+    c = chunks(spark, sf_dir)
+    found = retrieval.dense(c, first_vector(spark, sf_dir)).join(c.select("chunk_id", "book_id", "chapter_num"), "chunk_id")
+    return retrieval.violations(found, POSITION).select("chunk_id")
+
+
+SAID = "SELECT conv_id AS chunk_id, CASE role WHEN 'user' THEN 1 WHEN 'assistant' THEN 2 ELSE 3 END::BIGINT AS entity_id, CASE turn % 3 WHEN 0 THEN 'mentioned' WHEN 1 THEN 'speaker' END AS role FROM conversations"
+
+
+@query(f"WITH s AS ({SAID}), h AS (SELECT DISTINCT conv_id AS chunk_id, e.entity_id FROM conversations, (VALUES (1::BIGINT), (4::BIGINT)) e(entity_id)), b AS (SELECT chunk_id, entity_id, arg_max(coalesce(role, ''), CASE role WHEN 'speaker' THEN 3 WHEN 'mentioned' THEN 1 ELSE 0 END) AS role FROM s GROUP BY 1, 2) SELECT chunk_id, entity_id, nullif(role, '') AS role FROM b UNION ALL SELECT chunk_id, entity_id, 'mentioned' FROM h WHERE NOT EXISTS (SELECT 1 FROM b WHERE b.chunk_id = h.chunk_id AND b.entity_id = h.entity_id)")
+def merged_roles(spark, sf_dir):
+    """Several answers for one entity, of which the highest role stays, and entities that only an alias found."""
+    c = load(spark, sf_dir, "conversations")
+    who = F.when(F.col("role") == "user", 1).when(F.col("role") == "assistant", 2).otherwise(3).cast("long")
+    said = c.select(F.col("conv_id").alias("chunk_id"), who.alias("entity_id"), F.when(F.col("turn") % 3 == 0, "mentioned").when(F.col("turn") % 3 == 1, "speaker").alias("role"))
+    hits = c.select(F.col("conv_id").alias("chunk_id"), F.explode(F.array(F.lit(1).cast("long"), F.lit(4).cast("long"))).alias("entity_id")).distinct()
+    return extraction.merge_mentions(said, hits)
