@@ -64,9 +64,12 @@ def sparse(rows: DataFrame, query: list[str], n: int = CANDIDATES, id_: str = "c
     """(id, score, rank) of the rows with a lexeme of the query; empty for an empty query."""
     if not query:
         return rows.select(id_, F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).filter(F.lit(False))
-    tokens = F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0))
-    hit = rows.filter(F.arrays_overlap(tokens, F.array(*map(F.lit, query))))
-    return ranked(hit.select(id_, F.round(text_rank(tokens, query), 9).alias("score")), [F.desc("score"), F.col(id_)], n)
+    scored = _tokenised(rows, id_).select(id_, F.round(text_rank(F.col("tokens"), query), 9).alias("score"))
+    return ranked(scored, [F.desc("score"), F.col(id_)], n).filter("score > 0")  # after the limit: a filter below it would tokenise texts twice
+
+
+def _tokenised(rows: DataFrame, id_: str) -> DataFrame:
+    return rows.select(id_, F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0)).alias("tokens"))
 
 
 def fuse(branches: list[DataFrame], k: int = K, id_: str = "chunk_id") -> DataFrame:
@@ -179,12 +182,14 @@ def batched_dense(rows: DataFrame, queries: DataFrame, n: int = CANDIDATES, bloc
 
 
 def batched_sparse(rows: DataFrame, questions: dict[str, list[str]], n: int = CANDIDATES) -> DataFrame:
-    """(question, chunk_id, score, rank) of a small set of tokenised questions, in one pass over the texts."""
-    found = None
-    for name, tokens in questions.items():
-        part = sparse(rows, tokens, n).withColumn("question", F.lit(name))
-        found = part if found is None else found.unionByName(part)
-    return found.select("question", "chunk_id", "score", "rank")
+    """(question, chunk_id, score, rank) of a small set of tokenised questions, in one pass over the texts; each task keeps n of each question before the shuffle."""
+    asked = {name: tokens for name, tokens in questions.items() if tokens}
+    if not asked:
+        return rows.select(F.lit("").alias("question"), "chunk_id", F.lit(0.0).alias("score"), F.lit(0).cast("long").alias("rank")).limit(0)
+    scores = F.array(*[F.struct(F.lit(name).alias("question"), F.round(text_rank(F.col("tokens"), tokens), 9).alias("score")) for name, tokens in asked.items()])
+    found = _tokenised(rows, "chunk_id").select("chunk_id", F.explode(scores).alias("x")).select("chunk_id", "x.*").filter("score > 0")
+    rank = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("score"), "chunk_id"))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= n).select("question", "chunk_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 def batched_hybrid(rows: DataFrame, queries: DataFrame, questions: dict[str, list[str]], k: int = K) -> DataFrame:

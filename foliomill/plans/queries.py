@@ -678,6 +678,13 @@ def search_book(spark, sf_dir):
     return retrieval.search_book(c, QUESTION, sorted(POSITION), POSITION).select("chunk_id", "book_id", "score")
 
 
+@query(f"WITH {READ}, {Q0}, {DENSE}, {SPARSE}, {FUSED} SELECT chunk_id, book_id, score FROM f JOIN k USING (chunk_id)")
+def book_search(spark, sf_dir):
+    """A question whose vector a stand-in model knows, over stored vectors."""
+    vector = first_vector(spark, sf_dir)
+    return retrieval.search_book(chunks(spark, sf_dir), QUESTION, sorted(POSITION), POSITION, model=lambda texts: [vector for _ in texts]).select("chunk_id", "book_id", "score")
+
+
 @query(BODY.replace("HTML", "('<h1>Chapter ' || (page_id + 1) || ': t</h1>' || html)") + ", n AS (SELECT (page_id + 1)::INT AS chapter_num, 'Chapter ' || (page_id + 1) || ': t' AS chapter_title, body FROM b) SELECT chapter_num, chapter_title, md5(regexp_replace(body, '^(?:' || chapter_title || '\\s*)+', '')) AS body FROM n")
 def section_chapters(spark, sf_dir):
     p = load(spark, sf_dir, "pages").select(F.lit("b").alias("book_id"), F.concat(F.lit("<h1>Chapter "), F.col("page_id") + 1, F.lit(": t</h1>"), "html").alias("html"))
