@@ -1,7 +1,7 @@
 """License scans by template-markup matching.
 
 A template is a line of words with markup: ``[[ ... ]]`` is optional, ``{n}`` is a replaceable region of
-one to n words. It is compiled into a token automaton, whose accepted texts hold every mandatory word in
+one to n words, ``{n:pattern}`` one whose words each match a pattern without spaces and braces. It is compiled into a token automaton, whose accepted texts hold every mandatory word in
 order. Automata run from each place where a text has one of a template's first words; the longest
 acceptance counts. Words are ASCII letters and digits (A-Z lower-cased) and all other non-ASCII bytes.
 
@@ -35,17 +35,21 @@ AS_IS = "this software is provided by {12} as is and any express or implied warr
 BSD_HEAD = "redistribution and use [[of this software]] in source and binary forms with or without modification are permitted [[subject to the limitations in the disclaimer below]] provided that the following conditions are met [[{1}]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[{1}]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
 #: Short notices, and whole texts of licences: what must be said, what may be, and what names stand for.
 TEMPLATES = {
-    "apache-notice": "licensed under [[the terms of]] the apache license version {2}",
-    "cc-by-notice": "licensed under [[a]] [[the]] [[creative commons]] cc by [[nc]] [[sa]] [[nd]] {2}",
-    "gpl-notice": "licensed under the [[terms of the]] gnu [[lesser]] [[affero]] general public license [[as published by the free software foundation]] version {1}",
+    "apache-notice": "licensed under [[the terms of]] the apache license version {2:[0-9]+}",
+    "cc-by-notice": "licensed under [[a]] [[the]] [[creative commons]] cc by [[nc]] [[sa]] [[nd]] {2:[0-9]+}",
+    "gpl-notice": "licensed under the [[terms of the]] gnu [[lesser]] [[affero]] general public license [[as published by the free software foundation]] version {1:v?[0-9]+}",
     "mit-notice": "[[released]] [[licensed]] [[distributed]] under the [[terms of the]] mit license",
     "spdx-notice": "spdx license identifier {3}",
     "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {8} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "bsd-2-clause-text": f"{BSD_HEAD} {AS_IS}",
     "bsd-3-clause-text": f"{BSD_HEAD} [[{{1}}]] neither the name of {{12}} nor the names of {{4}} contributors may be used to endorse or promote products derived from this software without specific prior written permission {AS_IS}",
     "isc-text": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and {4} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {4} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "boost-text": "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license the software to use reproduce display distribute execute and transmit the software and to prepare derivative works of the software and to permit third parties to whom the software is furnished to do so all subject to the following the copyright notices in the software and this entire statement including the above license grant this restriction and the following disclaimer must be included in all copies of the software in whole or in part and all derivative works of the software unless such copies or derivative works are solely in the form of machine executable object code generated by a source language processor the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose title and non infringement in no event shall the copyright holders or anyone distributing the software be liable for any damages or other liability whether in contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "zlib-text": "[[this software]] [[is]] provided as is without any express or implied warranty in no event will {4} be held liable for any damages arising from the use of this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely subject to the following restrictions [[{1:[0-9]+}]] the origin of this software must not be misrepresented you must not claim that you wrote the original software if you use this software in a product an acknowledgment in the product documentation would be appreciated but is not required [[{1:[0-9]+}]] altered source versions must be plainly marked as such and must not be misrepresented as being the original software [[{1:[0-9]+}]] this notice may not be removed or altered from any source distribution",
+    "unlicense-text": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means in jurisdictions that recognize copyright laws the author or authors of this software dedicate any and all copyright interest in the software to the public domain we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law",
+    "mpl-header-text": "this source code form is subject to the terms of the mozilla public license v {2:[0-9]+} if a copy of the mpl was not distributed with this file you can obtain one at {8}",
     "apache-header-text": "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at {8} unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
-    "gpl-header-text": "free software you can redistribute it and or modify it under the terms of the gnu [[lesser]] [[affero]] general public license as published by the free software foundation [[either]] version {1} of the license [[or at your option any later version]] {6} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu [[lesser]] [[affero]] general public license for more details",
+    "gpl-header-text": "free software you can redistribute it and or modify it under the terms of the gnu [[lesser]] [[affero]] general public license as published by the free software foundation [[either]] version {1:v?[0-9]+} of the license [[or at your option any later version]] {6} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu [[lesser]] [[affero]] general public license for more details",
 }
 WORD = np.zeros(256, bool)
 WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
@@ -56,19 +60,19 @@ class Automaton:
 
     def __init__(self, template: str):
         self.word: list[dict[bytes, int]] = [{}]
-        self.any: list[list[int]] = [[]]
+        self.any: list[list[tuple[int, re.Pattern | None]]] = [[]]
         self.skip: list[list[int]] = [[]]
         state, opened = 0, []
-        for token in re.findall(r"\[\[|\]\]|\{\d+\}|[^\s\[\]{}]+", template):
+        for token in re.findall(r"\[\[|\]\]|\{\d+(?::[^\s{}]+)?\}|[^\s\[\]{}]+", template):
             if token == "[[":
                 opened.append(state)
             elif token == "]]":
                 self.skip[opened.pop()].append(state)
             elif token[0] == "{":
-                ends = []
-                for _ in range(int(token[1:-1])):
+                ends, (most, _, pattern) = [], token[1:-1].partition(":")
+                for _ in range(int(most)):
                     new = self._new()
-                    self.any[state].append(new)
+                    self.any[state].append((new, re.compile(pattern.encode()) if pattern else None))
                     state = new
                     ends.append(new)
                 for e in ends[:-1]:
@@ -99,7 +103,7 @@ class Automaton:
         states, best, i = self._closure({0}), 0, start
         while states and i < len(words):
             w = words[i]
-            states = self._closure({self.word[s][w] for s in states if w in self.word[s]} | {t for s in states for t in self.any[s]})
+            states = self._closure({self.word[s][w] for s in states if w in self.word[s]} | {t for s in states for t, p in self.any[s] if p is None or p.fullmatch(w)})
             i += 1
             if self.final in states:
                 best = i - start
