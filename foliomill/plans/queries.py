@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import aliases, calls, chunking, llm_json, models, stem, text
 from ..operators import accounting, extraction, fulltext, generation, maintain, quality, ranks, retrieval, rollup, trigram, vectors
-from ..sources import readers, shared
+from ..sources import readers, shared, sinks
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -906,3 +906,35 @@ def merged_roles(spark, sf_dir):
     said = c.select(F.col("conv_id").alias("chunk_id"), who.alias("entity_id"), F.when(F.col("turn") % 3 == 0, "mentioned").when(F.col("turn") % 3 == 1, "speaker").alias("role"))
     hits = c.select(F.col("conv_id").alias("chunk_id"), F.explode(F.array(F.lit(1).cast("long"), F.lit(4).cast("long"))).alias("entity_id")).distinct()
     return extraction.merge_mentions(said, hits)
+
+
+@query("SELECT doc_id, source, CASE WHEN source = 'src1' THEN n_chars + 1 ELSE n_chars END AS n_chars FROM documents")
+def refreshed_books(spark, sf_dir):
+    """All books written by key, one of them replaced from the table itself, and read back."""
+    path = shared.place(spark, "books")
+    sinks.refresh(load(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), path, "source")
+    own = sinks.refreshed(spark, path, "source").filter("source = 'src1'").withColumn("n_chars", F.col("n_chars") + 1)
+    sinks.refresh(own, path, "source")
+    return sinks.refreshed(spark, path, "source")
+
+
+@query("SELECT conv_id, turn, CASE WHEN turn = 0 THEN upper(role) ELSE role END AS role, md5(text) AS text FROM conversations")
+def patched_jsonl(spark, sf_dir):
+    """JSON lines, patched in place, and read back."""
+    path, kind = shared.place(spark, "talks"), "conv_id long, turn long, role string, text string"
+    sinks.write_jsonl(load(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text"), path)
+    old = readers.read_jsonl(spark, path, kind)
+    sinks.write_jsonl(old.withColumn("role", F.when(F.col("turn") == 0, F.upper("role")).otherwise(F.col("role"))), path)
+    return readers.read_jsonl(spark, path, kind).withColumn("text", F.md5("text"))
+
+
+@query("SELECT doc_id, n_chars % 3 AS batch FROM documents UNION ALL SELECT doc_id, 3 FROM documents WHERE n_chars % 3 = 1")
+def written_batches(spark, sf_dir):
+    """Batches, each written twice, and rows appended to another table; all of them read back."""
+    at, more = shared.place(spark, "batches"), shared.place(spark, "more")
+    d = load(spark, sf_dir, "documents").select("doc_id", (F.col("n_chars") % 3).alias("part"))
+    for number in (0, 1, 2, 1):
+        sinks.write_batch(d.filter(F.col("part") == number).select("doc_id"), at, str(number))
+    for half in (0, 1):
+        sinks.append(d.filter((F.col("part") == 1) & (F.pmod("doc_id", F.lit(2)) == half)).select("doc_id", F.lit(3).cast("long").alias("batch")), more)
+    return spark.read.parquet(at).select("doc_id", F.col("batch").cast("long").alias("batch")).unionByName(spark.read.parquet(more))
