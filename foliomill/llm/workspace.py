@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import contextlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,11 +20,13 @@ _own: str | None = None
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a temporary folder only where none is set, as in tests."""
+    """The cluster's ``spark.checkpoint.dir``; where none is set, a temporary folder for a local session, as in tests, and an error on a cluster."""
     global _own
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not re.match(r"local($|\[)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if _own is None:
         _own = tempfile.mkdtemp(prefix="foliomill-")
     return _own
