@@ -938,3 +938,33 @@ def written_batches(spark, sf_dir):
     for half in (0, 1):
         sinks.append(d.filter((F.col("part") == 1) & (F.pmod("doc_id", F.lit(2)) == half)).select("doc_id", F.lit(3).cast("long").alias("batch")), more)
     return spark.read.parquet(at).select("doc_id", F.col("batch").cast("long").alias("batch")).unionByName(spark.read.parquet(more))
+
+
+PLAIN = "regexp_matches(w, '^[A-Za-z]+$')"
+CASES = f"g AS (SELECT doc_id, text, lang, split_part(text, ' ', 2) AS w, doc_id % 4 AS k FROM documents), h AS (SELECT doc_id, text, w, CASE WHEN NOT {PLAIN} OR k = 3 THEN 'Zzqxv' WHEN k = 0 THEN w WHEN k = 1 THEN lang || ' xx' ELSE 'Zzqxv ' || w END AS name, CASE WHEN k = 1 AND {PLAIN} THEN 'about the ' || lang ELSE '' END AS chapter, lang <> 'en' AND k = 1 AND {PLAIN} AS other FROM g)"
+
+
+@query(f"WITH {CASES}, a AS (SELECT doc_id, CASE WHEN contains(text, name) THEN name WHEN other THEN name WHEN name = 'Zzqxv ' || w AND NOT regexp_matches(w, '{text.TITLE_WORD_PATTERN}') THEN w WHEN contains(name, ' xx') AND contains(text, split_part(name, ' ', 1)) THEN split_part(name, ' ', 1) WHEN contains(name, ' xx') AND contains(text, 'xx') THEN 'xx' END AS name, CASE WHEN contains(text, name) THEN 'keep' WHEN other THEN 'alias' ELSE 'replace' END AS action FROM h) SELECT * FROM a WHERE name IS NOT NULL")
+def gold_actions(spark, sf_dir):
+    """Gold names that stand in their text, that another name of their entity stands for, that are cut to what stands there, and that are dropped."""
+    d = load(spark, sf_dir, "documents")
+    w, k = F.coalesce(F.get(F.split("text", " "), F.lit(1)), F.lit("")), F.col("doc_id") % 4
+    plain = F.regexp_like(w, F.lit("^[A-Za-z]+$"))
+    name = F.when(~plain | (k == 3), "Zzqxv").when(k == 0, w).when(k == 1, F.concat("lang", F.lit(" xx"))).otherwise(F.concat(F.lit("Zzqxv "), w))
+    chapter = F.when((k == 1) & plain, F.concat(F.lit("about the "), "lang")).otherwise("")
+    gold = d.select(F.col("doc_id").alias("chunk_id"), F.lit(0).alias("place"), name.alias("name"), F.lit("speaker").alias("role"), F.col("text").alias("content"), chapter.alias("chapter_text"))
+    langs = d.select("lang").distinct().filter("lang <> 'en'")
+    others = langs.select(F.crc32(F.encode("lang", "UTF-8")).alias("entity_id"), F.concat("lang", F.lit(" xx")).alias("canonical_name"), F.array(F.concat(F.lit("the "), "lang")).alias("aliases"))
+    return quality.normalise_gold(gold, others).select(F.col("chunk_id").alias("doc_id"), "name", "action")
+
+
+@query("SELECT doc_id, source, total FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING)::BIGINT AS total FROM documents)")
+def running_lengths(spark, sf_dir):
+    """Characters of a source up to each document."""
+    return ranks.running_totals(load(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], "n_chars").drop("n_chars")
+
+
+@query("SELECT doc_id, source FROM (SELECT doc_id, source, sum(n_chars) OVER (PARTITION BY source ORDER BY doc_id ROWS UNBOUNDED PRECEDING) AS total FROM documents) WHERE total <= 20000")
+def length_budget(spark, sf_dir):
+    """The first documents of each source that fit 20,000 characters."""
+    return ranks.within_budget(load(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], "n_chars", 20_000).drop("n_chars")

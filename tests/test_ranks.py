@@ -29,6 +29,20 @@ def test_row_numbers(spark):
         assert {r["id"] for r in ranks.first_rows(d, cap, ["n", "id"]).collect()} == set(first[:cap])
 
 
+def test_running_totals(spark):
+    """Nulls and negative values, one group with most rows."""
+    rng = random.Random(5)
+    data = [(rng.choice([None, "hot", "hot", "a"]), i, rng.choice([None, -3, 0, 5, 9])) for i in range(2000)]
+    d = spark.createDataFrame(data, "book string, id long, v long").repartition(5)
+    want, sums = {}, defaultdict(int)
+    for b, i, v in sorted(data, key=lambda r: r[1]):
+        sums[b] += v or 0
+        want[i] = sums[b]
+    assert {r["id"]: r["total"] for r in ranks.running_totals(d, ["book"], ["id"], "v").collect()} == want
+    assert {r["id"] for r in ranks.within_budget(d, ["book"], ["id"], "v", 100).collect()} == {i for i, t in want.items() if t <= 100}
+    assert ranks.running_totals(d.limit(0), [], ["id"], "v").count() == 0
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
