@@ -219,3 +219,32 @@ def test_inner_limits(spark):
     path = public_tokenizers.path("byte_bpe_50k.json")
     t = Tokenizer.from_file(path)
     assert token_counts.count_batch([long], path) == [len(t.encode(long, add_special_tokens=False))]
+
+
+def test_op10_grams(docs):
+    """Hashed n-grams of a text against one n-gram at a time: runs of other characters are one space, but none at the beginning, and a space alone is no n-gram."""
+    mask = 0xFFFFFFFF
+
+    def slow(text):
+        chars = []
+        for c in (text + "\n").lower():
+            if c.isalpha():
+                chars.append(c)
+            elif chars and chars[-1] != " ":
+                chars.append(" ")
+        out = []
+        for i in range(len(chars)):
+            h = ord(chars[i]) * 0x9E3779B1 & mask
+            for n in range(1, language_id.ORDERS + 1):
+                if i + n > len(chars):
+                    break
+                if n > 1:
+                    h = ((h ^ (h >> 15)) * 0x85EBCA6B + ord(chars[i + n - 1]) * 0x9E3779B1) & mask
+                if n > 1 or chars[i] != " ":
+                    out.append(((h ^ (h >> 16)) * 0xC2B2AE35 & mask) >> 17)
+        return sorted(out)
+
+    texts = ["", " -- ", "a", "ab, cd!", "Été 12 à la", "x\n\ny", *[docs[d]["text"] or "" for d in sorted(docs)[:40]]]
+    grams, owners, has = language_id.features(texts)
+    for i, t in enumerate(texts):
+        assert sorted(grams[owners == i].tolist()) == slow(t) and has[i] == any(c.isalpha() for c in t)
