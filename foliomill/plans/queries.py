@@ -968,3 +968,81 @@ def running_lengths(spark, sf_dir):
 def length_budget(spark, sf_dir):
     """The first documents of each source that fit 20,000 characters."""
     return ranks.within_budget(load(spark, sf_dir, "documents").select("doc_id", "source", "n_chars"), ["source"], ["doc_id"], "n_chars", 20_000).drop("n_chars")
+
+
+def pathways(spark, sf_dir) -> DataFrame:
+    """Charts in wikitext made of nations (the first chart) and regions (the second), written and parsed."""
+    cells = lambda name: F.concat(*[F.concat(F.lit("|{{Seq|"), name, F.lit(f" {i}}}}}\n")) for i in range(10)])
+    row = lambda name, group: F.concat(F.lit("{{SequenceChart/mid|group="), group, F.lit("|rowspan=2\n"), cells(name), F.lit("}}\n"))
+    chart = lambda d, name, group: d.select(F.array_join(F.array_sort(F.collect_list(row(F.col(name), F.col(group).cast("string")))), "").alias(name))
+    both = chart(load(spark, sf_dir, "nation"), "n_name", "n_regionkey").crossJoin(chart(load(spark, sf_dir, "region"), "r_name", "r_regionkey"))  # one row each
+    path = shared.place(spark, "wikitext")
+    both.select(F.concat("n_name", F.lit("\n== Chart of Non-Standard Sequences ==\n"), "r_name")).write.text(path)
+    return readers.read_pathways(spark, path)
+
+
+@query("SELECT n_name || ' 9' AS pathway, 'standard' AS category, '' AS great_old_one, n_name || ' 0,' || n_name || ' 9' AS ends, 10::BIGINT AS tiers FROM nation UNION ALL SELECT r_name || ' 9', 'non-standard', r_name || ' 9', r_name || ' 0,' || r_name || ' 9', 10 FROM region")
+def pathway_rows(spark, sf_dir):
+    s = F.transform(F.filter("sequences", lambda x: x["tier"].isin(9, 0)), lambda x: x["title"])
+    return pathways(spark, sf_dir).select("pathway", "category", "great_old_one", F.array_join(s, ",").alias("ends"), F.size("sequences").cast("long").alias("tiers"))
+
+
+@query("SELECT n_name || ' 9' AS pathway, 'standard' AS category FROM nation WHERE n_name = (SELECT max(n_name) FROM nation)")
+def pathway_lookup(spark, sf_dir):
+    """The pathway of which the last nation's fourth title is one."""
+    name = load(spark, sf_dir, "nation").agg(F.max("n_name")).first()[0]
+    return readers.find_pathway(pathways(spark, sf_dir), f" {name.lower()} 4 ").select("pathway", "category")
+
+
+@query("SELECT page_id, md5(substr(html, 1, 500)) AS body, length(html) > 500 AS truncated FROM pages")
+def page_bodies(spark, sf_dir):
+    rows = readers.page_body(load(spark, sf_dir, "pages").select("page_id", F.col("html").alias("text")), most=500)
+    return rows.select("page_id", F.md5("body").alias("body"), "truncated")
+
+
+@query("SELECT count(*) AS sections, count(*) FILTER (WHERE page_id % 2 = 0) AS chapters, abs(count(*) FILTER (WHERE page_id % 2 = 0) - 100) <= 2 AS within FROM pages")
+def section_probe(spark, sf_dir):
+    """Sections of which every other one has a chapter's title, against a hundred that are expected."""
+    titled = F.concat(F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("<h1>Chapter "), "page_id", F.lit("</h1>"))).otherwise("<h1>Front</h1>"), "html")
+    return readers.probe_sections(load(spark, sf_dir, "pages").select(titled.alias("html")), 100)
+
+
+@query("SELECT doc_id, text AS line FROM (SELECT doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS text FROM documents WHERE source = 'src3') WHERE trim(text) <> ''")
+def commented_lines(spark, sf_dir):
+    """JSON lines between comments and blank lines, a bad one among them for each row, of which the good ones are read."""
+    d = load(spark, sf_dir, "documents").filter("source = 'src3'").select("doc_id", F.regexp_replace("text", r"[\t\n\f\r ]+", " ").alias("line"))
+    path = shared.place(spark, "lines")
+    lines = F.array(F.to_json(F.struct("doc_id", "line")), F.lit("// a comment"), F.lit("  "), F.lit('{"doc_id": "none", "line": 3'))
+    d.select(F.explode(lines).alias("value")).write.text(path)
+    return readers.read_jsonl(spark, path, "doc_id long, line string", strict=False, number="doc_id").filter(F.trim("line") != "")
+
+
+@query(f"WITH a AS (SELECT conv_id * 1000 + turn AS chunk_id FROM conversations WHERE role <> 'user' OR regexp_matches(text, '{text.DIALOGUE_PATTERN}')) SELECT chunk_id, 'ASSISTANT' AS name, 'organization' AS type, 'speaker' AS role, 2::BIGINT AS entity_id FROM a UNION ALL SELECT chunk_id, 'Nobody', 'character', NULL, NULL FROM a")
+def answered_mentions(spark, sf_dir):
+    """A stand-in model's mentions of the turns that have dialogue or no alias hit."""
+    chunks, _ = talks(spark, sf_dir)
+    hits = chunks.filter("role = 'user'").select("chunk_id", F.lit(1).cast("long").alias("entity_id"))
+    said = json.dumps([{"entity_name": " ASSISTANT ", "entity_type": "Organization", "role": "Speaker"}, {"entity_name": "Nobody", "role": "odd"}, {"entity_name": ""}, 3])
+    entities = spark.createDataFrame(CAST, "entity_id long, canonical_name string, aliases array<string>, entity_type string")
+    return extraction.answered_mentions(chunks.withColumn("content", F.regexp_replace("content", " He died.$", "")), hits, entities, lambda texts: [f"```json\n{said}\n```" for _ in texts])
+
+
+@query("WITH g AS (SELECT c_custkey FROM customer WHERE c_acctbal < 0 AND EXISTS (SELECT 1 FROM events WHERE user_id = c_custkey)) SELECT c_custkey, c_custkey IN (SELECT c_custkey FROM g) AS removed FROM customer")
+def guarded_delete(spark, sf_dir):
+    """Customers in a list of keys, removed where they owe; what stays and what went."""
+    ids = load(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey")).distinct()
+    kept, gone = maintain.delete_returning(load(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), F.col("c_acctbal") < 0, ids, "c_custkey")
+    return kept.select("c_custkey", F.lit(False).alias("removed")).unionByName(gone.select("c_custkey", F.lit(True).alias("removed")))
+
+
+@query("SELECT r_name || ' 9' AS pathway, 'non-standard' AS category FROM region")
+def pathway_list(spark, sf_dir):
+    return readers.list_pathways(pathways(spark, sf_dir), "non-standard")
+
+
+@query("SELECT doc_id, CASE WHEN contains(regexp_replace(text, '[\\t-\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]+', ' ', 'g'), split_part(text, ' ', 3) || ' ' || split_part(text, ' ', 4)) THEN true ELSE false END AS stands FROM documents WHERE NOT regexp_matches(split_part(text, ' ', 3) || split_part(text, ' ', 4), '[^A-Za-z0-9.,]')")
+def verbatim_snippets(spark, sf_dir):
+    """Whether a text's third and fourth word, apart by a tab and spaces, stand in it."""
+    w = lambda i: F.coalesce(F.get(F.split("text", " "), F.lit(i)), F.lit(""))
+    d = load(spark, sf_dir, "documents").filter(~F.regexp_like(F.concat(w(2), w(3)), F.lit("[^A-Za-z0-9.,]")))
+    return d.select("doc_id", text.verbatim(F.concat(w(2), F.lit(" \t "), w(3)), F.col("text")).alias("stands"))
