@@ -5,8 +5,9 @@ to ``ORDERS`` characters are hashed to ``FEATURES`` counters. Counters of the tr
 in Arrow functions and by Spark; the driver gets a matrix of languages by FEATURES, whose logarithms
 are broadcast. Batches are scored in numpy: each n-gram fetches its row, and rows are summed by text.
 
-Training takes at most about ``MAX_TRAIN`` labelled rows, chosen by a hash of doc_id; prediction takes
-every row. Languages are the distinct labels, assumed to be few enough for the driver (thousands).
+Training takes at most about ``MAX_TRAIN`` labelled rows, chosen by a hash of doc_id, and of a rare language as many as there are up to ``LEAST``
+besides; prediction takes every row, and priors are counted over all labelled ones. Languages are the distinct labels; the driver and
+the executors hold FEATURES numbers for each, and more than ``LANGUAGES`` raise.
 
 Defined cases: null text, empty text and text without a letter get ``und`` and score 0, as does every
 text if there is nothing to learn from; ties go to the alphabetically first language; equal rows each
@@ -28,6 +29,8 @@ from .workspace import carried, small_batches, struct
 FEATURES = 1 << 15
 ORDERS = 3
 MAX_TRAIN = 40_000
+LEAST = 500
+LANGUAGES = 1000
 BLOCK = 1 << 12
 CHARS = 1 << 20
 UNKNOWN = "und"
@@ -99,14 +102,20 @@ def fit(spark: SparkSession, labelled: DataFrame, max_train: int = MAX_TRAIN) ->
     """Languages and the matrix of log probabilities (FEATURES + 1 rows; the last holds the priors)."""
     small_batches(spark)
     rows = labelled.filter("text is not null and lang is not null").select("doc_id", F.col("lang").cast("string"), F.col("text").cast("string"))
-    n = rows.count()
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("size"))
+    found = sizes.limit(LANGUAGES + 1).collect()
+    if len(found) > LANGUAGES:
+        raise ValueError(f"over {LANGUAGES} languages are labelled")
+    priors = {r["lang"]: r["size"] for r in found}
+    n = sum(priors.values())
     if n > max_train:
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int(max_train / n * (1 << 30)))
+        share = F.greatest(F.lit(max_train / n), F.lit(float(LEAST)) / F.col("size"))
+        few = spark.createDataFrame(list(priors.items()), "lang string, size long")  # LANGUAGES at most
+        rows = rows.join(F.broadcast(few), "lang").filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < (share * (1 << 30)).cast("long"))
     sums = rows.select("lang", "text").mapInArrow(_tally, "lang string, block int, counts array<long>")
     sums = sums.select("lang", "block", F.posexplode("counts").alias("at", "n")).filter("n > 0").groupBy("lang", "block", "at").agg(F.sum("n").alias("n"))
     found = sums.groupBy("lang").agg(F.collect_list(F.struct((F.col("block") * BLOCK + F.col("at")).alias("f"), "n")).alias("counts")).orderBy("lang").collect()
     langs = [r["lang"] for r in found]
-    priors = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
     logs = np.zeros((FEATURES + 1, len(langs)))
     for k, r in enumerate(found):
         counts = np.ones(FEATURES)

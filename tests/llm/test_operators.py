@@ -483,3 +483,15 @@ def test_pipeline_on_clashing_columns_and_empty_tables(spark, odd, none):
         if name != "encode":
             assert out.columns == docs.columns and bare.columns == ["doc_id", "text", "n_chars", "lang"]
             assert all(r[c] == f"own {c}" for r in out.collect() for c in OUTPUTS), name
+
+
+def test_op10_rare_languages(spark):
+    """A language with few labels among very many of another is learned all the same; too many languages raise."""
+    common = spark.range(3000).selectExpr("id doc_id", "'the water of the river and the stone' text", "'en' lang")
+    rare = spark.range(3000, 3004).selectExpr("id doc_id", "'ξένος ἄνθρωπος' text", "'el' lang")
+    langs, _ = model = language_id.fit(spark, common.unionByName(rare), max_train=50)
+    assert langs == ["el", "en"]
+    got = language_id.predict(spark, spark.createDataFrame([(1, "ἄνθρωπος"), (2, "stone water")], "doc_id long, text string"), model).collect()
+    assert {r["doc_id"]: r["lang_pred"] for r in got} == {1: "el", 2: "en"}
+    with pytest.raises(ValueError, match="languages"):
+        language_id.fit(spark, spark.range(1200).selectExpr("id doc_id", "'x' text", "cast(id as string) lang"))
