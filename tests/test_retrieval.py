@@ -2,8 +2,12 @@
 
 import math
 
+import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
+from foliomill.functions import models
 from foliomill.operators import retrieval
 
 VECTORS = [(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, [1.0, 1.0]), (4, None), (5, [1.0]), (6, [float("nan"), 1.0]), (7, [float("inf"), 1.0]), (8, [-1.0, 0.0]), (9, [])]
@@ -35,12 +39,10 @@ def test_batched(spark, rows, block):
 
 def test_tiles(spark, monkeypatch):
     """More rows and queries than a tile, with ties, give what one at a time gives."""
-    import numpy as np
-
     rng = np.random.default_rng(3)
     monkeypatch.setattr(retrieval, "TILE", 7)
     v = rng.integers(-2, 3, (200, 3)).astype(float)
-    at, unit = retrieval.units(__import__("pyarrow").array(v.tolist()), 3)
+    at, unit = retrieval.units(pa.array(v.tolist()), 3)
     found = [b.to_pylist() for b in retrieval.nearest(at, unit, at[:30], unit[:30], 4)]
     got = {}
     for r in sum(found, []):
@@ -60,10 +62,6 @@ def test_bad_queries(spark, rows):
 
 def test_search_book_with_empty_texts(spark):
     """An empty text has a zero vector, which is found by words only."""
-    from pyspark.sql import functions as F
-
-    from foliomill.functions import models
-
     c = spark.createDataFrame([(1, "b", 1, "the fool met a king"), (2, "b", 2, ""), (3, "b", 3, None)], "chunk_id long, book_id string, chapter_num long, content string")
     c = c.withColumn("embedding", models.embed(F.col("content")))
     assert [r["chunk_id"] for r in retrieval.search_book(c, "fool and king", ["b"], {"b": 9}).collect()] == [1]

@@ -1,6 +1,7 @@
 """Sinks on keys of all kinds, in place, tried again and cut off."""
 
 import datetime
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -88,8 +89,6 @@ def test_document_changes(spark, tmp_path):
     at.write_text('[{"a": 1}]')
     assert readers.read_document(spark, str(at), "a int").first()["a"] == 1
     at.write_text('[{"a": 2}]')
-    import os
-
     os.utime(at, (2_000_000_000, 2_000_000_000))
     assert readers.read_document(spark, str(at), "a int").first()["a"] == 2
     readers._documents[("another session", str(at), "a int")] = readers._documents.popitem()[1]
