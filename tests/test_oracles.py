@@ -58,3 +58,8 @@ def odd_talks(tmp_path_factory):
 def test_event_extraction_of_odd_talks(spark, odd_talks, monkeypatch):
     monkeypatch.setitem(globals(), "SF", odd_talks)
     same(spark, QUERIES["event_extraction"], ORACLES["event_extraction"])
+
+
+def test_event_usage_of_odd_talks(spark, odd_talks, monkeypatch):
+    monkeypatch.setitem(globals(), "SF", odd_talks)
+    same(spark, QUERIES["event_usage"], ORACLES["event_usage"])
