@@ -4,8 +4,9 @@ A posting is (lexeme, chunk_id, n) with the columns of a chunk that searches fil
 crc32 of their lexeme, sorted by lexeme in each file: a search reads the folders of its lexemes (partition pruning) and the row
 groups that may hold them (pushed filters), not the texts. Stopwords have no postings, as no question asks for them.
 
-Scale: a build shuffles each distinct word of a chunk to count it and to meet its stem, which is made once for a word of the
-batch, and its postings once. A frequent lexeme is split over files by size (rebalance), and a search
+Scale: words are counted within a chunk's row, without a shuffle, and written once; a build shuffles each distinct word of a chunk to meet its stem,
+which is made once for a word of the batch, and its postings twice. There are as many partitions as ``ROWS`` of them need, so that a task's memory
+does not grow with the batch. A frequent lexeme is split over files by size (rebalance), and a search
 sums map-side before it shuffles. A search for k lexemes reads k of ``buckets`` folders of each batch.
 
 Defined cases: a batch that is written again replaces itself; null and empty texts have no postings; a chunk_id that is there
@@ -21,19 +22,26 @@ from pyspark.sql import functions as F
 
 from ..functions.stem import with_stem
 from ..functions.text import STOPWORDS, query_tokens
+from ..sources.shared import stored
 from ..sources.sinks import paths
 from .retrieval import CANDIDATES, PI2_6, fuse, ranked
 
-BUCKETS = 64
+BUCKETS, ROWS = 64, 1 << 20
 
 
 def postings(chunks: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(lexeme, chunk_id, n, kept columns): how often a chunk (chunk_id, content) has words of a stem."""
-    words = F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0))
-    rows = chunks.select("chunk_id", *keep, F.explode(words).alias("word")).filter(~F.col("word").isin(STOPWORDS))
-    counted = rows.groupBy("chunk_id", *keep, "word").agg(F.count("*").alias("n"))
-    stems = with_stem(counted.select("word").distinct())  # a stem costs far more than a row of a join
-    return counted.join(stems, "word").groupBy("lexeme", "chunk_id", *keep).agg(F.sum("n").alias("n"))
+    spark = chunks.sparkSession
+    words = F.sort_array(F.regexp_extract_all(F.lower("content"), F.lit("[a-z0-9]+"), F.lit(0)))
+    rows = chunks.select("chunk_id", *keep, words.alias("words"))
+    starts = F.array_compact(F.transform("words", lambda w, i: F.when((i == 0) | (w != F.get("words", i - 1)), i)))  # where another word begins
+    one = lambda s, k: F.struct(F.get("words", s).alias("word"), (F.coalesce(F.get("starts", k + 1), F.size("words")) - s).cast("long").alias("n"))
+    each = rows.withColumn("starts", starts).select("chunk_id", *keep, F.explode(F.transform("starts", one)).alias("x"))
+    counted = stored(each.select("chunk_id", *keep, "x.word", "x.n").filter(~F.col("word").isin(STOPWORDS)), "words")
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism, counted.count() // ROWS + 1)
+    stems = with_stem(counted.select("word").distinct().repartition(parts, "word"))  # by number: a stem costs far more than a row of a join
+    met = counted.repartition(parts, "word").join(stems, "word").select("lexeme", "chunk_id", *keep, "n")
+    return met.repartition(parts, "lexeme", "chunk_id").groupBy("lexeme", "chunk_id", *keep).agg(F.sum("n").alias("n"))
 
 
 def lexemes(spark: SparkSession, question: str) -> list[str]:

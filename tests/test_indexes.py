@@ -97,3 +97,14 @@ def test_vector_index_of_nothing(spark, tmp_path):
     for name, d in (("none", rows.limit(0)), ("odd", rows)):
         index = vectors.VectorIndex.build(d, str(tmp_path / name))
         assert index.search([1.0] * len(index.middle[0])).count() == 0
+
+
+def test_postings_by_size(spark, monkeypatch):
+    """More words mean more partitions, not larger ones; a chunk that is there twice is one."""
+    rows = [(i % 40, f"Reading reads w{i} w{i} the x") for i in range(60)] + [(90, None), (91, "")]
+    c = spark.createDataFrame(rows, "chunk_id long, content string")
+    monkeypatch.setattr(fulltext, "ROWS", 2)
+    got = fulltext.postings(c)
+    assert got.rdd.getNumPartitions() == 60 * 4 // 2 + 1
+    found = {(r["lexeme"], r["chunk_id"]): r["n"] for r in got.collect()}
+    assert len(found) == got.count() == 60 + 2 * 40 and found["read", 3] == 4 and found["read", 30] == 2 and found["w7", 7] == 2 and found["x", 3] == 2
