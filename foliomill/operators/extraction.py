@@ -59,7 +59,7 @@ def answered_mentions(chunks: DataFrame, hits: DataFrame, entities: DataFrame, m
     return rows.withColumn("key", F.lower("name")).join(names_of(entities, last=True).select("key", "entity_id"), "key", "left").drop("key")
 
 
-GRAM = 4
+GRAM, FEW = 4, 32
 APART = r"[^\p{L}\p{N}]+"
 
 
@@ -76,7 +76,8 @@ def _keyed(rows: DataFrame, text: str, kind: int) -> DataFrame:
 def containment(chunks: DataFrame, anchors: DataFrame) -> DataFrame:
     """(anchor_id, chunk_id, chapter_num, chunk_index): chunks of an anchor's book and chapters (lo to hi) that hold its needle without case.
 
-    A needle's words but the first and last are words of every text that holds it; a needle of fewer has its runs of ``GRAM``
+    Up to ``FEW`` different needles of fewer than three words are looked for as they are, in one pass over the texts. Of the others,
+    a needle's words but the first and last are words of every text that holds it; a needle of fewer has its runs of ``GRAM``
     characters, or is one. The one that the fewest chunks of its book have is its key: chunks and needles are joined on (book, key),
     and only these pairs are looked into. A needle that is null or empty is in no chunk.
     """
@@ -84,7 +85,13 @@ def containment(chunks: DataFrame, anchors: DataFrame) -> DataFrame:
     inner = F.filter(F.slice(F.split(low, APART), F.lit(2), F.greatest(F.size(F.split(low, APART)) - 2, F.lit(0))), lambda w: w != "")
     needles = anchors.filter("length(needle) > 0").select("anchor_id", "book_id", "lo", "hi", low.alias("low"), inner.alias("inner"))
     needles = needles.withColumn("kind", F.when(F.size("inner") > 0, 0).otherwise(F.least(F.length("low"), F.lit(GRAM))))
-    found = []
+    found, few = [], [r["low"] for r in needles.filter("kind > 0").select("low").distinct().limit(FEW + 1).collect()]
+    if 0 < len(few) <= FEW:
+        low = F.lower("content")
+        held = chunks.select("book_id", "chapter_num", "chunk_index", "chunk_id", F.explode(F.array_compact(F.array(*[F.when(F.contains(low, F.lit(w)), F.lit(w)) for w in few]))).alias("low"))
+        met = held.join(needles.filter("kind > 0").drop("inner", "kind"), ["book_id", "low"]).filter("chapter_num between lo and hi")
+        found.append(met.select("anchor_id", "chunk_id", "chapter_num", "chunk_index"))
+        needles = needles.filter("kind = 0")
     for kind in sorted(r["kind"] for r in needles.select("kind").distinct().collect()):  # 0 to GRAM
         own = needles.filter(F.col("kind") == kind)
         own = own.withColumn("key", F.explode("inner")) if kind == 0 else _keyed(own.withColumn("text", F.col("low")), "text", kind)

@@ -111,3 +111,17 @@ def test_trigrams_of_one_host(spark, monkeypatch):
     sets = [(i, grams(t)) for i, t in rows]
     want = [(i, j, len(a & b) / len(a | b)) for i, a in sets for j, b in sets if i < j and len(a & b) / len(a | b) >= 0.6]
     assert sorted(got) == sorted(want) and len(want) > 10_000 and sizes.value > 100
+
+
+def test_few_needles_in_one_pass(spark, monkeypatch):
+    """A word or two are looked for as they are: no runs of characters are made; many are found by runs, alike."""
+    c = spark.createDataFrame([(b, i, 0, i, t) for b in ("p", "q") for i, t in enumerate(["a LICENSE", "sublicensed", None, "", "licens e", "mit license."])], "book_id string, chapter_num long, chunk_index long, chunk_id long, content string")
+    a = spark.createDataFrame([(1, "p", 0, 9, "License"), (2, "q", 1, 4, "LICENSE"), (3, "p", 0, 9, "t l"), (4, "q", 0, 9, "none"), (5, "z", 0, 9, "a"), (6, "q", 0, 9, None)], "anchor_id long, book_id string, lo long, hi long, needle string")
+    rows = lambda: sorted((r["anchor_id"], r["chunk_id"]) for r in extraction.containment(c, a).collect())
+    want = [(1, 0), (1, 1), (1, 5), (2, 1), (3, 5)]
+    with monkeypatch.context() as m:
+        m.setattr(extraction, "FEW", 0)
+        assert rows() == want
+    monkeypatch.setattr(extraction, "_keyed", None)
+    assert rows() == want
+    assert sorted((r["anchor_id"], r["chunk_id"]) for r in extraction.first_match(c, a).collect()) == [(1, 0), (2, 1), (3, 5)]
