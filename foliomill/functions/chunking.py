@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 TARGET, LEAST, MOST, OVERLAP = 500, 400, 600, 100
+BATCH_CHARS = 1 << 20
 SENTENCE = re.compile(r"[^.!?]+[.!?]+[\"']?\s*")
 
 
@@ -66,15 +67,21 @@ def chunk_chapter(text: str) -> list[tuple[str, int]]:
 
 
 def _chunks(batches):
+    names = ["chapter_id", "chunk_index", "content", "approx_tokens"]
     for b in batches:
-        ids, index, content, size = [], [], [], []
-        for key, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-            for i, (c, n) in enumerate(chunk_chapter(text or "")):
-                ids.append(key)
+        ids, index, content, size, held = [], [], [], [], 0
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(ids, b.schema.types[0]), pa.array(index, pa.int32()), pa.array(content, pa.string()), pa.array(size, pa.int64())], names)  # noqa: B023, E731
+        for key, text in zip(b.column(0), b.column(1), strict=True):  # a chapter at a time becomes Python's
+            for i, (c, n) in enumerate(chunk_chapter(text.as_py() or "")):
+                ids.append(key.as_py())
                 index.append(i)
                 content.append(c)
                 size.append(n)
-        yield pa.RecordBatch.from_arrays([pa.array(ids, b.schema.types[0]), pa.array(index, pa.int32()), pa.array(content, pa.string()), pa.array(size, pa.int64())], ["chapter_id", "chunk_index", "content", "approx_tokens"])
+                held += len(c)
+            if held > BATCH_CHARS:
+                yield made()
+                ids, index, content, size, held = [], [], [], [], 0
+        yield made()
 
 
 def chunk_chapters(chapters: DataFrame) -> DataFrame:

@@ -5,10 +5,11 @@ import os
 import time
 import uuid
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from foliomill.functions import calls
+from foliomill.functions import calls, chunking
 from foliomill.operators import generation
 
 
@@ -87,3 +88,13 @@ def test_summary_vectors(spark, tmp_path):
     assert [tuple(r) for r in good.usage.collect()] == [("arc", 1, 2, 3, 4, 1)]
     with pytest.raises(Exception, match="one vector"):
         generation.summarise(t, recorder(tmp_path), lambda texts: [[1.0]] * (len(texts) + 1)).rows.collect()
+
+
+def test_chapters_in_bounded_batches(monkeypatch):
+    """A large batch of chapters leaves in small ones; nothing is lost."""
+    monkeypatch.setattr(chunking, "BATCH_CHARS", 1000, raising=False)
+    texts = [None, "", *("\n\n".join(f"word {i} {j}." * 5 for j in range(20)) for i in range(40))]
+    out = list(chunking._chunks([pa.RecordBatch.from_arrays([pa.array(range(len(texts)), pa.int64()), pa.array(texts)], ["chapter_id", "raw_text"])]))
+    rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
+    assert rows == [(i, j, c, n) for i, t in enumerate(texts) for j, (c, n) in enumerate(chunking.chunk_chapter(t or ""))]
+    assert len(out) > 30 and all(sum(map(len, b.column("content").to_pylist())) < 5000 for b in out)
