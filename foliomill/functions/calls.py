@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from itertools import pairwise
 from typing import NamedTuple
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructType
 
-CONCURRENCY = 4
+CONCURRENCY, BATCH_BYTES = 4, 4 << 20
 COUNTERS = ["no_cache", "cache_read", "cache_write", "output", "calls"]
 ADDED = ["answer", "usage"]
 
@@ -42,13 +45,22 @@ def _answered(model: Model, shared: str, own: str, tries: int) -> tuple[str, dic
     return text, used
 
 
+def _parts(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch whose prompts take about ``BATCH_BYTES``, of one row at least."""
+    size = sum(np.asarray(pc.fill_null(pc.binary_length(b.column(i)), 0), np.int64) for i in range(2))
+    part = np.cumsum(size) // BATCH_BYTES
+    edges = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), b.num_rows]
+    for start, stop in pairwise(edges):
+        yield b.slice(start, stop - start)
+
+
 def _asking(model: Model, concurrency: int, tries: int):
     usage = pa.struct([(k, pa.int64()) for k in COUNTERS])
 
     def run(batches):
         warm = None
         with ThreadPoolExecutor(concurrency) as pool:
-            for b in batches:
+            for b in (part for whole in batches for part in _parts(whole)):
                 prompts = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
                 first: dict[str, int] = {}
                 for i, (shared, _) in enumerate(prompts):

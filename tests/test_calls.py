@@ -98,3 +98,14 @@ def test_chapters_in_bounded_batches(monkeypatch):
     rows = [tuple(r.values()) for b in out for r in b.to_pylist()]
     assert rows == [(i, j, c, n) for i, t in enumerate(texts) for j, (c, n) in enumerate(chunking.chunk_chapter(t or ""))]
     assert len(out) > 30 and all(sum(map(len, b.column("content").to_pylist())) < 5000 for b in out)
+
+
+def test_prompts_in_bounded_batches(monkeypatch):
+    """A large batch is asked in parts by its prompts' bytes, in order; a shared prompt that goes on is still asked first once."""
+    monkeypatch.setattr(calls, "BATCH_BYTES", 1000, raising=False)
+    shared, own = [*("s" * 300 for _ in range(20)), None, "t"], [*(str(i) for i in range(20)), None, "o" * 3000]
+    b = pa.RecordBatch.from_arrays([pa.array(shared), pa.array(own), pa.array(range(22))], ["_shared", "_own", "n"])
+    out = list(calls._asking(lambda s, o: calls.Reply(f"{len(s)} {o}", output=1), 4, 1)([b, b.slice(0, 0)]))
+    rows = [r for x in out for r in x.to_pylist()]
+    assert [(r["n"], r["answer"]) for r in rows] == [(i, f"{len(s or '')} {o or ''}".strip()) for i, (s, o) in enumerate(zip(shared, own, strict=True))]
+    assert len(out) > 6 and all(x.num_rows <= 5 for x in out) and {r["usage"]["calls"] for r in rows} == {1}
