@@ -63,7 +63,7 @@ def extract_events(chunks: DataFrame, types: DataFrame, entities: DataFrame, cha
     usage has a row for each chapter: chunks, gated and the counters.
     """
     own = chunks.select("chunk_id", "chapter_id", "book_id", "chapter_num", "content")
-    gated = event_gate(own, types)
+    gated = stored(event_gate(own, types), "gated")
     cues = aliases.detect_sessions(gated).filter("in_session").select("chunk_id", "cues")
     rows = _with_chapters(gated, chapters).join(cues, "chunk_id", "left")
     hint = F.when(F.col("cues").isNotNull(), F.concat(F.lit("In session: "), F.array_join("cues", ", "), F.lit("\n\n"))).otherwise("")

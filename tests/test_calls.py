@@ -72,6 +72,28 @@ def test_calls_are_made_once(spark, tmp_path):
     assert {r["chapter_id"]: (r["chunks"], r["gated"], r["calls"], r["output"]) for r in made.usage.collect()} == {7: (3, 1, 2, 8), 8: (1, 1, 0, 0)}
 
 
+def test_gate_runs_once(spark, tmp_path, monkeypatch):
+    """Session cues and prompts read the chunks that one run of the gates let through."""
+    seen, gate = spark.sparkContext.accumulator(0), generation.event_gate
+
+    def counted(own, types):
+        @F.udf("boolean")
+        def count(_):
+            seen.add(1)
+            return True
+
+        return gate(own, types).filter(count.asNondeterministic()("chunk_id"))
+
+    monkeypatch.setattr(generation, "event_gate", counted)
+    chunks = spark.range(20).selectExpr("id chunk_id", "id % 3 chapter_id", "'b' book_id", "1 chapter_num", "if(id % 2 = 0, 'he died', 'calm') content")
+    types = chunks.select("chunk_id", F.array(F.lit("character")).alias("types"))
+    entities = spark.createDataFrame([(5, "he", [], "character")], "entity_id long, canonical_name string, aliases array<string>, entity_type string")
+    chapters = spark.range(3).selectExpr("id chapter_id", "'T' header", "'body' raw_text")
+    made = generation.extract_events(chunks, types, entities, chapters, recorder(tmp_path), "catalog")
+    assert made.usage.agg(F.sum("calls"), F.sum("gated")).first()[:] == (10, 10) and made.rows.count() == 0
+    assert len(written(tmp_path)) == 10 and seen.value == 10
+
+
 def test_alignment(spark, tmp_path):
     chapters = spark.createDataFrame([(7, "T", "body")], "chapter_id long, header string, raw_text string")
     for bad in ([(7, 0, "a"), (7, 0, "b")], [(7, 0, "a"), (9, 0, "b")]):
