@@ -20,6 +20,8 @@ Scale: documents are counted in Arrow batches, and a task emits a term once for
 frequent term nor a large source makes many rows for one key. A column is as wide as the sources of its
 language that have the term. Pairs of sources are what the audit returns: its rows grow with the square of a language's sources.
 Windows rank the pairs of a source, or ten terms of each task (a limit goes before the shuffle).
+Only the table of groups is broadcast, where its names take ``SENT`` bytes at most; all other joins merge. Files of vectors are a small part of
+what they are in memory, so that Spark, which goes by the size of files, would broadcast tables of hundreds of MB.
 
 Defined cases: null text, lang and source are ''. Each row counts as a document, equal ones too; doc_id isn't read. A language
 without kept terms has pairs of value 0. A group without terms has p from its zeros. Ties go to the item that is first
@@ -41,6 +43,7 @@ MIN_DOCS = 10
 TOP = 10
 SCALE, PRIOR = 1_000_000_000, 2
 HELD = 400_000
+SENT = 4 << 20
 SAFE = 9_000_000_000  # counts below it keep SCALE * count within 64 bits
 #: A-Z lower-cased, a-z and bytes of characters beyond ASCII as they are, all else a space.
 LETTERS = bytes(b | 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -95,16 +98,22 @@ def _first(rows: DataFrame, value: str, item: str, n: int | None = None) -> Data
     return ranked if n is None else ranked.filter(F.col("rank") <= n)
 
 
-def _pairs(entries: DataFrame, ladder: DataFrame, groups: DataFrame) -> DataFrame:
+def _how(groups: DataFrame) -> str:
+    """How a table of one row for each group, or fewer, is joined with others."""
+    n = groups.agg(F.sum(F.octet_length("lang") + F.octet_length("source") + 64)).first()[0]
+    return "broadcast" if (n or 0) <= SENT else "merge"
+
+
+def _pairs(entries: DataFrame, ladder: DataFrame, groups: DataFrame, how: str) -> DataFrame:
     """(lang, source, item, value) of each two sources of a language, both ways."""
-    other = groups.selectExpr("lang", "source item", "p0 q0")
+    other = groups.selectExpr("lang", "source item", "p0 q0").hint(how)
     both = groups.join(other, "lang").filter("source <> item").selectExpr("lang", "source", "item", f"coalesce(v * {apart('p0', 'q0')}, 0) value")
-    steps = ladder.join(groups, ["lang", "source"]).selectExpr("lang", "source", "m", "p0", f"{share('n', 'total')} p")
+    steps = ladder.join(groups.hint(how), ["lang", "source"]).selectExpr("lang", "source", "m", "p0", f"{share('n', 'total')} p")
     one = steps.join(other, "lang").filter("source <> item").selectExpr("lang", "source", "item", f"m * ({apart('p', 'q0')} - {apart('p0', 'q0')}) value")
     one = one.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     a, b = entries.select("cid", "lang", "source", "m", "p", "p0"), entries.selectExpr("cid", "source item", "p q", "p0 q0")
     inner = f"m * ({apart('p', 'q')} - {apart('p', 'q0')} - {apart('p0', 'q')} + {apart('p0', 'q0')}) value"
-    two = a.join(b, "cid").filter("source < item").selectExpr("lang", "source", "item", inner).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    two = a.join(b.hint("merge"), "cid").filter("source < item").selectExpr("lang", "source", "item", inner).groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
     back = lambda d: d.selectExpr("lang", "item source", "source item", "value")
     parts = both.unionByName(one).unionByName(back(one)).unionByName(two).unionByName(back(two))
     return parts.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
@@ -126,16 +135,17 @@ def audit(spark: SparkSession, docs: DataFrame, min_docs: int = MIN_DOCS, top: i
     ladder = ws.write(cells.groupBy("lang", "source", "n").agg(F.sum("m").alias("m")), "ladder")
     vocabulary = columns.groupBy("lang").agg(F.sum("m").alias("v"))
     sizes = ladder.groupBy("lang", "source").agg(F.sum(F.col("n") * F.col("m")).alias("size"))
-    groups = docs.select(text("lang"), text("source")).distinct().join(sizes, ["lang", "source"], "left").join(vocabulary, "lang", "left").fillna(0, ["size", "v"])
+    groups = docs.select(text("lang"), text("source")).distinct().join(sizes.hint("merge"), ["lang", "source"], "left").join(vocabulary.hint("merge"), "lang", "left").fillna(0, ["size", "v"])
     groups = groups.withColumn("total", F.col("size") + PRIOR * F.col("v"))
     groups = ws.write(groups.withColumn("p0", F.expr(share("0L", "total"))), "groups")
+    how = _how(groups)
     langs = groups.groupBy("lang").agg((F.sum("size") + PRIOR * F.max("v")).alias("total_lang"))
-    entries = cells.join(groups, ["lang", "source"]).join(langs, "lang")
+    entries = cells.join(groups.hint(how), ["lang", "source"]).join(langs.hint(how), "lang")
     entries = ws.write(entries.selectExpr("cid", "lang", "source", "m", "first", "p0", f"{share('n', 'total')} p", f"{share('n_lang', 'total_lang')} q"), "entries")
     more = entries.filter("p > q").selectExpr("lang", "source", "cid", "first", f"{apart('p', 'q')} value")
-    best = _first(more, "value", "first", top).drop("rank", "first").join(columns.select("cid", "vec"), "cid")
-    named = _first(kept.join(best, ["lang", "vec"]).selectExpr("lang", "source", "term item", "value"), "value", "item", top)
-    pairs = _first(_pairs(entries, ladder, groups), "value", "item")
+    best = _first(more, "value", "first", top).drop("rank", "first").join(columns.select("cid", "vec").hint("merge"), "cid")
+    named = _first(kept.join(best.hint("merge"), ["lang", "vec"]).selectExpr("lang", "source", "term item", "value"), "value", "item", top)
+    pairs = _first(_pairs(entries, ladder, groups, how), "value", "item")
     out = lambda d, part: d.select("lang", "source", F.lit(part).alias("part"), "item", "value", "rank")
     return out(pairs, "pair").unionByName(out(named, "term"))
 

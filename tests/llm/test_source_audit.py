@@ -53,3 +53,34 @@ def test_wide_counts(spark):
     n, total = 9_100_000_001, 123_456_789_012
     row = spark.createDataFrame([(n, total), (5, total), (5, 0)], "n long, total long").selectExpr(f"{audit.share('n', 'total')} p").collect()
     assert [r["p"] for r in row] == [1 + 10**9 * (n + 2) // total, 1 + 10**9 * 7 // total, None]
+
+
+def broadcasts(df):
+    """The columns of each broadcast of a plan."""
+    found, open_ = [], [df._jdf.queryExecution().executedPlan()]
+    while open_:
+        node = open_.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            node = node.initialPlan()
+        if node.nodeName() == "BroadcastExchange":
+            found.append({node.output().apply(i).name() for i in range(node.output().size())})
+        open_ += [node.children().apply(i) for i in range(node.children().size())]
+    return found
+
+
+@pytest.mark.parametrize("sent", [4 << 20, 0])
+def test_broadcasts(spark, monkeypatch, sent):
+    """Tables of terms and columns, small as their files may be, are never broadcast, and groups only if they are few."""
+    plans, write = [], audit.Workspace.write
+
+    def watched(self, df, name):
+        plans.append(df)
+        return write(self, df, name)
+
+    monkeypatch.setattr(audit, "SENT", sent, raising=False)
+    monkeypatch.setattr(audit.Workspace, "write", watched)
+    rows = [(f"a{chr(97 + i % 5)} b c{chr(97 + i % 3)}", "xy"[i % 7 == 0], f"s{i % 4}") for i in range(60)] + [("", "z", "t")]
+    got = audit.audit(spark, spark.createDataFrame(rows, "text string, lang string, source string"), 3, 2)
+    found = [names for df in [*plans, got] for names in broadcasts(df)]
+    assert len(plans) == 5 and bool(found) == bool(sent) and not any(names & {"cid", "vec", "term", "m", "n"} for names in found)
+    assert {tuple(r) for r in got.collect()} == brute(rows, 3, 2)
